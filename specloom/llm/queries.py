@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, simhash
 
 QUERIES = {
+    "op3_mixing": mixing.op3,
     "op5_simhash_near_dedup": simhash.op5,
 }
 
