@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, simhash, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.op3,
     "op5_simhash_near_dedup": simhash.op5,
+    "op7_toxicity": toxicity.op7,
 }
 
 ORACLES: dict[str, str] = {}
