@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, toxicity
+from . import mixing, pieces, simhash, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1,
     "op3_mixing": mixing.op3,
     "op5_simhash_near_dedup": simhash.op5,
     "op7_toxicity": toxicity.op7,
