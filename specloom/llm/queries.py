@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, simhash, toxicity
+from . import mixing, pieces, simhash, toxicity, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
     "op3_mixing": mixing.op3,
+    "op4_fingerprints": winnow.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op7_toxicity": toxicity.op7,
 }
