@@ -1,0 +1,73 @@
+import random
+
+from specloom.llm import secrets
+
+DOCS = "doc_id long, text string, value string, n_chars long, score string"
+
+
+def corpus(n=160, seed=8):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("aeioulmnrst", k=rnd.randint(3, 9))) for _ in range(80)]
+    rows, planted, clean = [], {}, set()
+    for i in range(n):
+        text = rnd.choices(words, k=60)
+        kind = i % 8
+        if kind == 0:
+            value = "AKIA" + "".join(rnd.choices("ABCDEFGHIJ234567", k=16))
+            put = value
+        elif kind == 1:
+            value = "".join(rnd.choices("0123456789abcdef", k=40))
+            put = f'token = "{value}"'
+        elif kind == 2:
+            value = "".join(rnd.choices("0123456789abcdef", k=18))
+            put = f"password={value},"
+        elif kind == 3:
+            value, put = None, "".join(rnd.choices("0123456789", k=16))
+        elif kind == 4:
+            value, put = None, f"https://site{i}.example.com/{rnd.choice(words)}/{rnd.choice(words)}"
+        elif kind == 5:
+            value, put = None, "-" * 30 + "1"
+        else:
+            value, put = None, rnd.choice(words)
+        text[30] = put
+        text = " ".join(text)
+        rows.append((i, text))
+        if value:
+            planted[i] = value
+        else:
+            clean.add(i)
+    return rows, planted, clean
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(d, t, "clash", len(t or ""), "clash") for d, t in rows], DOCS)
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    rows, planted, clean = corpus()
+    got = secrets.scan(make(spark, rows)).collect()
+    assert {(r.doc_id, r.value) for r in got if r.secret} == set(planted.items())
+    assert {r.doc_id for r in got if not r.secret} & clean
+    by_row = dict(rows)
+    assert all(by_row[r.doc_id].split()[r.place - 1] == r.word and r.value in r.word for r in got)
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    rows, planted, _ = corpus()
+    rows += [(500, None), (501, ""), (None, "token = \"0123456789abcdef0123456789abcdef01234567\" here"), (0, "other text under an id that repeats"), (502, "w " * 50000)]
+    df = make(spark, rows)
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    for r in out.collect():
+        assert r.doc_id is None or planted.get(r.doc_id, "\0") not in (r.text or "")
+        assert r.n_chars == len(r.text or "")
+    text = {(r.doc_id, r.text) for r in out.collect()}
+    assert (0, "other text under an id that repeats") in text and (501, "") in text and (500, None) in text
+    assert any(t and t.startswith("token = \"[secret]\"") for d, t in text if d is None)
+
+
+def test_few_labels_and_empty_tables(spark):
+    one = make(spark, [(1, "my password=3f9a8b7c6d5e4f3a2b is this"), (1, "my password=3f9a8b7c6d5e4f3a2b is this"), (2, "nothing")])
+    assert [(r.doc_id, r.value, r.secret) for r in secrets.scan(one).collect()] == [(1, "3f9a8b7c6d5e4f3a2b", True)] * 2
+    assert secrets.scan(make(spark, [])).count() == 0
+    assert secrets.redact(make(spark, [])).count() == 0
