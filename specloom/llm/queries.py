@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, pieces, secrets, simhash, toxicity, winnow
+from . import html_text, mixing, pieces, secrets, simhash, toxicity, warc, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
+    "op2_warc": warc.op2,
     "op3_mixing": mixing.op3,
     "op4_fingerprints": winnow.op4,
     "op5_simhash_near_dedup": simhash.op5,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_html_text": html_text.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
