@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, pieces, secrets, simhash, toxicity, warc, winnow
+from . import html_text, mixing, pieces, quality, secrets, simhash, toxicity, warc, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3,
     "op4_fingerprints": winnow.op4,
     "op5_simhash_near_dedup": simhash.op5,
+    "op6_quality": quality.op6,
     "op7_toxicity": toxicity.op7,
     "op8_secrets": secrets.op8,
     "op9_html_text": html_text.op9,
