@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, pieces, quality, secrets, simhash, toxicity, warc, winnow
+from . import html_text, media, mixing, pieces, quality, secrets, simhash, toxicity, warc, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7,
     "op8_secrets": secrets.op8,
     "op9_html_text": html_text.op9,
+    "op10_media": media.op10,
 }
 
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
