@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges of a graph that are kept in one file.
+EDGES_IN_A_FILE = 500_000
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -59,17 +61,16 @@ def connected(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: (node, root), for every node that has an edge; root is the least node.
 
     ``edges`` has two columns of one orderable type. Alternating star contractions need about log(n) rounds, each
-    of which shuffles the edges only; rounds end when a round changes nothing.
+    of which shuffles the edges only; rounds end when a round changes nothing. Rounds over few edges are kept in
+    few files.
     """
     a, b = edges.columns
-    now = settled(
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    )
-    mark = None
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
+    now, mark = settled(now), None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = settled(_stars(now))
+        now = settled(_stars(now.coalesce(1 + seen[0] // EDGES_IN_A_FILE)).coalesce(1 + 2 * seen[0] // EDGES_IN_A_FILE))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -48,7 +50,7 @@ class Pieces:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, bytes, str]] = {}
+        self.words: dict[str, tuple[int, bytes, str, bytes]] = {}
         self.parts: dict[str, list[int]] = {}
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
 
@@ -156,27 +158,32 @@ class Pieces:
         text = "".join(out)
         return text[1:] if ids and self.names[ids[0]].startswith(SPACE) else text
 
-    def _known(self, word: str) -> tuple[int, bytes, str]:
-        """Of a word: the number of ids, the ids in decimal with a comma after each, their text before trimming."""
+    def _known(self, word: str) -> tuple[int, bytes, str, bytes]:
+        """Of a word: the number of ids, they in decimal with a comma after each, their text before trimming, they as int32."""
         found = self.words.get(word)
         if found is None:
             ids = self.ids(word)
             text = self.decode(ids)
-            found = len(ids), b"".join(b"%d," % i for i in ids), (" " + text if self.names[ids[0]].startswith(SPACE) else text)
+            found = len(ids), b"".join(b"%d," % i for i in ids), (" " + text if self.names[ids[0]].startswith(SPACE) else text), np.array(ids, "<i4").tobytes()
             if len(self.words) < WORDS_KEPT:
                 self.words[word] = found
         return found
 
+    def _found(self, text: str) -> list[tuple[int, bytes, str, bytes]]:
+        get, known = self.words.get, self._known
+        return [get(w) or known(w) for w in self.words_of(text)]
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the text that they decode to; whole words are looked up."""
-        if not text:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        get, known = self.words.get, self._known
-        found = [get(w) or known(w) for w in self.words_of(text)]
+        found = self._found(text) if text else []
         ids = b"".join([f[1] for f in found])[:-1]
         back = "".join([f[2] for f in found])[1:]
         return sum([f[0] for f in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit integers; whole words are looked up."""
+        return b"".join([f[3] for f in self._found(text)]) if text else b""
+
 
 def _utf8(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
@@ -207,7 +214,20 @@ def _rows(docs: DataFrame, keep: tuple[str, ...], extra: list[tuple[str, str, pa
 
 def encoded(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ids (array<int>) of each whole text, without begin or end ids; null and empty texts have none."""
-    return _rows(docs, keep, [("ids", "array<int>", pa.list_(pa.int32()))], lambda t: (load(model_file).encode(t),))
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
+    names = [*keep, *(() if "text" in keep else ("text",))]
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = [load(model_file).packed(t.as_py()) for t in part.column(at)]
+                ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), ids], names=schema.names)
+
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -14,20 +14,19 @@ from .common import connected, settled, table
 
 #: Shingles whose bits are counted at once: bounds a task's memory for very long texts.
 BLOCK = 1 << 15
-#: Bit masks of each half's single-bit changes, the unchanged half first.
+#: Bit masks of a half's single-bit changes, the unchanged half first.
 _LOW = [0] + [1 << i for i in range(32)]
-_ALL = [0] + [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 #: Keys up to this count may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Segments of the ring.
 SEGMENTS = 8
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of one text as a signed 64-bit integer; no words give zero."""
+def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in blocks; nothing for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     if len(words) <= width:
         starts, ends = [0], [len(whole)]
@@ -35,13 +34,41 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         starts, ends = cuts[: len(words) - width + 1].tolist(), (cuts[width:] - 1).tolist()
-    hashed, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    hashed = xxhash.xxh64_intdigest
     for at in range(0, len(starts), BLOCK):
         part = [hashed(whole[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(0, dtype=np.int32)
-    bits = (2 * ones > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+        yield np.array(part, np.uint64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+
+
+def _packed(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of one text as a signed 64-bit integer; no words give zero."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(text, width):
+        ones += _bits(hashes).sum(0, dtype=np.int32)
+        n += len(hashes)
+    return _packed(ones, n) if n else 0
+
+
+def sketch(text: str | None, width: int = 5, groups: int = 16) -> tuple[int, list[int | None]]:
+    """The SimHash of a text and those of ``groups`` parts of its shingles, dealt by hash; none for an empty part."""
+    ones, n = np.zeros((groups, 64)), np.zeros(groups, np.int64)
+    for hashes in _hashes(text, width):
+        dealt = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % groups
+        own = np.zeros((groups, len(hashes)), np.float32)
+        own[dealt, np.arange(len(hashes))] = 1
+        ones += own @ _bits(hashes).astype(np.float32)
+        n += np.bincount(dealt, minlength=groups)
+    if not n.sum():
+        return 0, [None] * groups
+    return _packed(ones.sum(0), n.sum()), [_packed(o, k) if k else None for o, k in zip(ones, n, strict=True)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -93,42 +120,48 @@ def _halves(fps: DataFrame) -> DataFrame:
     ).drop("m")
 
 
-def _labelled(fps: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """``fps`` with the root of each fingerprint's component under ``links``."""
-    roots = connected(links).select(F.col("node").alias("fp"), F.col("root").alias("_r"))
-    return fps.join(roots, "fp", "left").select(*fps.columns, F.coalesce("_r", "fp").alias(name))
+def _spread(n: int) -> list[int]:
+    """n fixed 64-bit masks; the least and greatest value under each pick members of a bucket by chance."""
+    return [0] + [xxhash.xxh64_intdigest(str(i)) - (1 << 63) for i in range(1, n)]
+
+
+def _rooted(nodes: DataFrame, links: DataFrame, old: str, new: str) -> DataFrame:
+    """``nodes`` with column ``new``: the root under ``links`` of column ``old``, itself where it has no link."""
+    roots = connected(links).select(F.col("node").alias(old), F.col("root").alias("_r"))
+    return nodes.join(roots, old, "left").select(*nodes.columns, F.coalesce("_r", old).alias(new))
 
 
 def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     """(fp, root) for distinct fingerprints ``fps``; equal root if joined by links of at most ``limit`` <= 5 bits.
 
-    1. Contraction: fingerprints that share a 64-bit neighbour differ by at most two bits. Each neighbour links its
-       least and greatest only, so dense groups shrink without their pairs being listed.
-    2. Two fingerprints within the limit agree up to two bits on one half and so meet under a key of ``_halves``.
-       Keys whose rows have one root already are dropped by a pre-aggregated minimum and maximum; the others first
-       link their ends, and only what is still apart is compared, by the ring filter and then the full count.
+    Two fingerprints within the limit agree up to two bits on one half and so meet under a key of ``_halves``.
+
+    1. Contraction: the least and the greatest fingerprint of each key, found by a pre-aggregated minimum and
+       maximum, are linked if they are within the limit. Dense groups become one component, or few, without their
+       pairs being listed.
+    2. Keys whose fingerprints have one component are dropped, again by minimum and maximum. Of the others, every
+       fingerprint outside the key's largest component is compared with all that share the key and have another
+       component: by the ring filter, then the full count. Every link between components has such an end.
     """
     if not 2 <= limit <= 5:
         raise ValueError("limit must be 2 to 5")
-    near = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in _ALL])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
-    ends = near.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("a", "b").distinct()
-    one = settled(_labelled(fps, ends, "c1"))
-    mixed = settled(
-        _halves(one).groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("lo < hi").select("key", "a", "b")
-    )
-    keys = mixed.select("key")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    rows = settled(_halves(one).join(keys, "key", "left_semi").select("key", "fp", "c1"))
-    ends = mixed.where(_near(F.col("a"), F.col("b"), limit)).select("a", "b").join(one.select(F.col("fp").alias("a"), F.col("c1").alias("ra")), "a").join(one.select(F.col("fp").alias("b"), F.col("c1").alias("rb")), "b").select("ra", "rb").distinct()
-    two = connected(ends).select(F.col("node").alias("c1"), F.col("root").alias("_r"))
-    rows = settled(rows.join(two, "c1", "left").select("key", "fp", "c1", F.coalesce("_r", "c1").alias("c2")))
-    apart = rows.groupBy("key").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(apart, "key", "left_semi")
-    pairs = rows.select("key", F.col("fp").alias("f"), F.col("c1").alias("r"), F.col("c2").alias("c")).join(
-        rows.select("key", F.col("fp").alias("g"), F.col("c1").alias("s"), F.col("c2").alias("d")), "key"
-    ).where((F.col("c") < F.col("d")) & _near(F.col("f"), F.col("g"), limit)).select("r", "s").distinct()
-    roots = connected(ends.union(pairs)).select(F.col("node").alias("c1"), F.col("root").alias("_r"))
-    return one.join(roots, "c1", "left").select("fp", F.coalesce("_r", "c1").alias("root"))
+    masks = [F.lit(m).cast("long") for m in _spread(4)]
+    some = [f(F.col("fp").bitwiseXOR(m)) for m in masks for f in (F.min, F.max)]
+    picked = _halves(fps).groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(some)]).where("p0 < p1")
+    members = F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(masks[i // 2]) for i in range(len(some))]))
+    first = F.element_at("m", 1)
+    others = F.filter(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), 1, i), lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda e: _near(e["a"], e["b"], limit))
+    ends = picked.select(members.alias("m")).where(first.isNotNull()).select(F.explode(others).alias("e")).select("e.a", "e.b").distinct()
+    one = settled(_rooted(fps, ends, "fp", "root1"))
+    sizes = one.groupBy("root1").agg(F.count("*").alias("n"))
+    rank = (F.lit(1 << 20) - F.least(F.col("n"), F.lit(1 << 20))) * (1 << 42) + F.shiftrightunsigned(F.xxhash64("root1"), 22)
+    one = settled(one.join(sizes, "root1").select("fp", "root1", rank.alias("c")))  # c: a component's name, less for larger ones
+    mixed = settled(_halves(one).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo"))
+    known = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
+    small = _halves(one).join(known, "key").where("c <> lo").select("key", F.col("fp").alias("f"), F.col("c").alias("d"))
+    every = _halves(one).select("key", F.col("fp").alias("g"), "c")
+    pairs = small.join(every, "key").where((F.col("c") != F.col("d")) & _near(F.col("f"), F.col("g"), limit)).select("c", "d").distinct()
+    return _rooted(one, pairs, "c", "root").select("fp", "root")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
@@ -146,17 +179,63 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(of, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, limit: int = 4) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component the row of its least doc_id stays.
+def jaccard(a: str | None, b: str | None, width: int = 5) -> float:
+    """The similarity of two texts' sets of shingles; two texts without words are alike."""
+    x, y = ({h for part in _hashes(t, width) for h in part.tolist()} for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float = 0.8, groups: int = 16) -> DataFrame:
+    """(h, root): for each distinct text (h is its hash) of ``docs`` the component of near-duplicates it is in.
+
+    Texts are linked if their SimHashes differ in at most ``limit`` bits, found by ``linked``. That alone finds few
+    texts of similarity 0.8 to 0.95, so shingles are also dealt into ``groups`` parts by hash: near copies agree
+    wholly in some part and so in its SimHash. Texts that share one are compared with the least of them, by the
+    exact similarity of their sets of shingles; a large group of copies thus costs as many comparisons as it has
+    texts, times the number of parts.
+    """
+    kind = "h long, fp long, parts array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t.as_py(), width, groups) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int64()))], names=["h", "fp", "parts"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    made = settled(texts.mapInArrow(run, kind).dropDuplicates(["h"]))
+    heads = settled(made.groupBy("fp").agg(F.min("h").alias("head")))
+    roots = linked(heads.select("fp"), limit).join(heads, "fp")
+    roots = settled(roots.join(roots.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", "least"))
+    by_bits = made.select("h", "fp").join(roots, "fp").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    parts = made.select("h", F.posexplode("parts").alias("part", "value")).where("value is not null")
+    firsts = parts.groupBy("part", "value").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b < top").drop("top")
+    pairs = settled(parts.join(firsts, ["part", "value"]).where("h <> b").select(F.col("h").alias("a"), "b").distinct())
+    needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
+    by_shingles = both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
+    found = connected(by_bits.union(by_shingles)).select(F.col("node").alias("h"), F.col("root").alias("r"))
+    return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates as ``similar`` finds them: of each component the least doc_id stays.
 
     Rows are told apart by doc_id and text: a null doc_id comes last, so it stays only in a component without any
-    other; rows that repeat the staying one whole stay with it.
+    other; rows that repeat the staying one whole stay with it. Null and empty texts are copies of each other.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
-    ids = components(docs.select(key.alias("key"), "text"), "key", width=width, limit=limit)
-    keep = ids.where("id = component_id").select("id.d", "id.h").distinct()
-    same = docs["doc_id"].eqNullSafe(keep["d"]) & (F.xxhash64(docs["text"]) == keep["h"])
-    return docs.join(keep, same, "left_semi")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h"))
+    first = docs.select("doc_id", text.alias("h")).groupBy("h").agg(F.min(key).alias("key"))
+    roots = similar(docs.select("text"), **options)
+    keep = first.join(roots, "h").groupBy("root").agg(F.min("key").alias("k")).select(F.col("k.d").alias("_d"), F.col("k.h").alias("_h"))
+    return docs.join(settled(keep), docs["doc_id"].eqNullSafe(F.col("_d")) & (text == F.col("_h")), "left_semi")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,24 @@ def test_empty_table_and_keep_one(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("2", "a b c d e f"), ("9", "q r s t u v"), ("None", "lone text of nobody")]
+
+
+def test_similar_texts_share_a_root(spark):
+    rnd = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(500)]
+    texts, pairs = [], []
+    for n in [40, 60, 100, 200, 400] * 8:
+        base = rnd.choices(vocabulary, k=n)
+        near = list(base)
+        for _ in range(max(1, n // 60)):
+            near[rnd.randrange(n)] = "edited"
+        texts += [" ".join(base), " ".join(near)]
+        pairs.append((texts[-2], texts[-1], simhash.jaccard(texts[-2], texts[-1])))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    roots = {r.h: r.root for r in simhash.similar(df).collect()}
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    close = [(a, b) for a, b, j in pairs if j >= 0.8]
+    found = sum(roots[hashes[a]] == roots[hashes[b]] for a, b in close)
+    assert len(close) > 15 and found >= 0.9 * len(close)
+    bases = [roots[hashes[a]] for a, _, _ in pairs]
+    assert len(set(bases)) == len(bases)
