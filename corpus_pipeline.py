@@ -5,18 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from specloom.llm import simhash
-from specloom.llm.common import new_folder
+from specloom.llm import mixing, pieces, secrets, simhash, toxicity
+from specloom.llm.common import new_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go; ``labels`` gives the examples."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_dedup)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as the weights of their sources want: not at all, once or twice."""
+    return mixing.copies(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document's text (doc_id, source, ids); ``pieces.decoded`` gives the text back."""
+    return pieces.encoded(docs, pieces.default_model(), ("doc_id", "source"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("secret_scans", secret_scan),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
 #: SQL cannot express the stages (trained scores, hashes by seed, tokenizer); tests hold them against plain versions.
 ORACLE_SQL = None
@@ -24,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
