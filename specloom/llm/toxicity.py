@@ -22,7 +22,7 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
 #: Neighbours that vote.
 NEIGHBOURS = 15
-#: Postings in a block, each with the greatest weight in it.
+#: Examples in a block.
 BLOCK = 64
 #: Documents of class toxic that score at least this are predicted toxic.
 THRESHOLD = 0.7
@@ -128,21 +128,19 @@ def _spread(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors; for each term its postings by example, in blocks with their greatest weight.
+    """Examples as unit TF-IDF vectors in blocks of BLOCK; per term and block the greatest weight, per block its postings.
 
-    ``nearest`` gives the exact best examples by cosine: a cursor per term moves through the postings by example;
-    terms are taken up to the pivot where their greatest weights could beat the k-th score so far; if the greatest
-    weights of the current blocks cannot, the cursors skip beyond the nearest block end.
+    ``nearest`` is exact: blocks are taken by falling upper bound, the query's weights times the blocks' greatest
+    ones, until no block left can reach the k-th score found.
     """
 
     idf: np.ndarray
-    good: np.ndarray  # clean texts of each example (equal vectors are one example)
-    bad: np.ndarray  # toxic texts of each example
-    ids: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
-    most: list[np.ndarray] = field(default_factory=list)
-    base: float = 0.0
-    none: float = 0.0  # score of a text without any chosen term
+    base: float
+    none: float  # score of a text without any chosen term
+    good: np.ndarray = field(default_factory=lambda: np.zeros(0))  # clean texts of each example (equal vectors are one)
+    bad: np.ndarray = field(default_factory=lambda: np.zeros(0))  # toxic texts of each example
+    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # greatest weight by term and block
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # term, place, weight
 
     def vector(self, terms, counts) -> list[tuple[int, float]]:
         raw = [(t, (1 + np.log(c)) * self.idf[t]) for t, c in zip(terms, counts, strict=True)]
@@ -150,59 +148,24 @@ class Index:
         return [(t, float(w / norm)) for t, w in raw]
 
     def nearest(self, vector: list[tuple[int, float]], k: int) -> list[tuple[float, int]]:
-        """The k best (cosine, -example), best first; ties go to the lower example."""
-        cursors = [[int(self.ids[t][0]), 0, t, w, w * float(self.most[t].max())] for t, w in vector if len(self.ids[t])]
+        """The k best (cosine, example) of those that share a term, best first; ties go to the lower example."""
+        if not vector or not self.postings:
+            return []
+        terms, weights = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
+        query = np.zeros(len(self.idf))
+        query[terms] = weights
+        bounds = weights @ self.most[terms]
         top: list[tuple[float, int]] = []
-        floor = -1.0
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for i, c in enumerate(cursors):
-                bound += c[4]
-                if bound > floor:
-                    pivot = i
-                    break
-            if pivot < 0:
+        for b in np.argsort(-bounds, kind="stable"):
+            if bounds[b] <= 0 or (len(top) == k and bounds[b] < -top[-1][0] - 1e-9):
                 break
-            at = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
-                pivot += 1
-            tight, end = 0.0, 1 << 60
-            for c in cursors[: pivot + 1]:
-                t = c[2]
-                b = int(np.searchsorted(self.ids[t], at)) // BLOCK
-                if b < len(self.most[t]):
-                    tight += c[3] * float(self.most[t][b])
-                    end = min(end, int(self.ids[t][min((b + 1) * BLOCK, len(self.ids[t])) - 1]))
-            if tight <= floor:
-                goal = end + 1
-                if pivot + 1 < len(cursors):
-                    goal = min(goal, cursors[pivot + 1][0])
-                goal = max(goal, at + 1)
-                for c in cursors[: pivot + 1]:
-                    self._move(c, goal)
-            elif cursors[0][0] == at:
-                score = sum(c[3] * float(self.weights[c[2]][c[1]]) for c in cursors if c[0] == at)
-                if len(top) < k or score > floor:
-                    top.append((score, -at))
-                    top.sort(reverse=True)
-                    del top[k:]
-                    floor = top[-1][0] if len(top) == k else -1.0
-                for c in cursors:
-                    if c[0] == at:
-                        self._move(c, at + 1)
-            else:
-                for c in cursors[:pivot]:
-                    if c[0] < at:
-                        self._move(c, at)
-            cursors = [c for c in cursors if c[1] < len(self.ids[c[2]])]
-        return top
-
-    def _move(self, cursor: list, goal: int) -> None:
-        ids = self.ids[cursor[2]]
-        cursor[1] = int(np.searchsorted(ids, goal))
-        if cursor[1] < len(ids):
-            cursor[0] = int(ids[cursor[1]])
+            term, place, weight = self.postings[b]
+            scores = np.bincount(place, query[term] * weight, BLOCK)
+            floor = -top[-1][0] - 1e-12 if len(top) == k else 0.0
+            own = np.flatnonzero((scores > 0) & (scores >= floor))
+            if len(own):
+                top = sorted([*top, *((-float(scores[i]), int(b) * BLOCK + int(i)) for i in own)])[:k]
+        return [(-s, e) for s, e in top]
 
     def vote(self, terms, counts, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
         """The score, the examples that voted and their cosines."""
@@ -212,29 +175,27 @@ class Index:
         yes, every = PRIOR * self.base, PRIOR
         for cosine, e in top:
             weight = cosine**4
-            yes += weight * float(self.bad[-e])
-            every += weight * float(self.good[-e] + self.bad[-e])
-        return float(yes / every), [-e for _, e in top], [c for c, _ in top]
+            yes += weight * float(self.bad[e])
+            every += weight * float(self.good[e] + self.bad[e])
+        return float(yes / every), [e for _, e in top], [c for c, _ in top]
 
 
 def build(examples: list[tuple[list[int], list[int], int]], idf: np.ndarray, base: float, none: float) -> Index:
     """The index of (terms, counts, toxic) rows; rows with equal vectors are one example with both counts."""
-    index = Index(idf, np.zeros(0), np.zeros(0), base=base, none=none)
+    index = Index(idf, base, none)
     merged: dict[tuple, list[int]] = {}
     for terms, counts, toxic in examples:
         if len(terms):
             merged.setdefault(tuple((t, round(w, 3)) for t, w in index.vector(terms, counts)), [0, 0])[toxic] += 1
     rows = sorted(merged)
     index.good, index.bad = (np.array([merged[r][i] for r in rows]) for i in (0, 1))
-    postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-    for e, row in enumerate(rows):
-        for t, w in row:
-            postings[t].append((e, w))
-    for own in postings:
-        ids, weights = np.array([e for e, _ in own], np.int64), np.array([w for _, w in own])
-        index.ids.append(ids)
-        index.weights.append(weights)
-        index.most.append(np.array([weights[i : i + BLOCK].max() for i in range(0, len(ids), BLOCK)]))
+    blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+    index.most = np.zeros((len(idf), len(blocks)))
+    for b, block in enumerate(blocks):
+        own = [(t, i, w) for i, row in enumerate(block) for t, w in row]
+        index.postings.append((np.array([t for t, _, _ in own]), np.array([i for _, i, _ in own]), np.array([w for _, _, w in own])))
+        for t, _, w in own:
+            index.most[t, b] = max(index.most[t, b], w)
     return index
 
 
