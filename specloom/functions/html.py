@@ -29,8 +29,9 @@ class _Fields(HTMLParser):
         elif tag == "meta" and values.get("name"):
             self.meta.setdefault(values["name"].lower(), values.get("content") or "")
         elif tag in _CAUGHT:
-            if tag != "a" and self.open and self.open[-1][0] == tag:
-                self._close(tag)
+            for group in (("p",), ("dt", "dd"), ("th", "td")):
+                if tag in group and any(t in group for t, _ in self.open):
+                    self._close(next(t for t, _ in reversed(self.open) if t in group))
             self.open.append((tag, []))
             if tag == "a":
                 self.href = values.get("href")
