@@ -30,7 +30,8 @@ def text_blocks(spark: SparkSession, path: str, separator: str = "\n== ") -> Dat
 def decoded(spark: SparkSession, path: str, charset: str = "windows-1251") -> DataFrame:
     """(path, text) of files: UTF-8 if they are valid, else ``charset``."""
     rows = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", charset))
+    other = F.pandas_udf(lambda column: column.map(lambda raw: bytes(raw).decode(charset, "replace")), "string")  # Spark decodes few charsets
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(other("content"))
     return rows.select("path", text.alias("text"))
 
 
