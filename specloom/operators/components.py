@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.operators.firsts import distinct_sorted
+from specloom.operators.firsts import distinct_sorted, united
 
 #: Fixed values. Brands that count as another; gearboxes that a fingerprint needs; parts of engine codes that tell litres.
 SAME_BRAND = {"deepal": "changan"}
@@ -93,7 +93,7 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str] = ("kind", "id")
             out.append(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c))
         elif c in maps:
             empty = F.create_map().cast(new.schema[c].dataType)
-            out.append(F.map_concat(F.coalesce(F.col(f"o.{c}"), empty), F.coalesce(F.col(f"n.{c}"), empty)).alias(c))
+            out.append(united(F.coalesce(F.col(f"o.{c}"), empty), F.coalesce(F.col(f"n.{c}"), empty)).alias(c))
         else:
             out.append(F.when(F.col(f"n.{key[0]}").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
     same = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in key]

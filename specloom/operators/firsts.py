@@ -44,3 +44,8 @@ def distinct_sorted(value: Column | str) -> Column:
     """An aggregate: the sorted distinct values, null for a group that has none."""
     found = F.sort_array(F.collect_set(value))
     return F.when(F.size(found) > 0, found)
+
+
+def united(base: Column, over: Column) -> Column:
+    """The entries of two maps; ``over`` wins where both have a key, whatever the session says of duplicates."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)

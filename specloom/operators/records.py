@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specloom.operators.firsts import united
+
 
 def verification(*core: Column) -> Column:
     """``verified`` if every core field is there, else ``partial``."""
@@ -22,7 +24,8 @@ def merged(new: DataFrame, old: DataFrame, key: Sequence[str], old_wins: Sequenc
         if c in old_wins:
             out.append(F.coalesce(f"_o_{c}", c).alias(c))
         elif c in maps:
-            out.append(F.map_concat(F.coalesce(c, F.create_map()), F.coalesce(f"_o_{c}", F.create_map())).alias(c))
+            empty = F.create_map().cast(new.schema[c].dataType)
+            out.append(united(F.coalesce(F.col(c), empty), F.coalesce(F.col(f"_o_{c}"), empty)).alias(c))
         else:
             out.append(F.col(c))
     return both.select(*out)

@@ -272,10 +272,9 @@ def merge_precedence(t: Tables) -> DataFrame:
     """New records over old ones: the name and entries of the map are the old ones' where they have any."""
     new = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.create_map(F.lit("a"), F.lit("new"), F.lit("b"), F.col("c_nationkey").cast("string")).alias("sources"))
     old = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.create_map(F.lit("a"), F.lit("old")).alias("sources"))
-    # Maps unite with the later entry winning whatever the session says.
-    old_first = records.merged(new.withColumn("left", F.col("sources")), old, ["k"], ["name", "sources"])
-    keys = lambda c: F.coalesce(F.try_element_at(F.col("sources"), F.lit(c)), F.try_element_at(F.col("left"), F.lit(c)))
-    return old_first.select(F.col("k").alias("c_custkey"), "name", "balance", F.concat(F.lit("a="), keys("a"), F.lit(";b="), keys("b")).alias("sources"))
+    merged = records.merged(new, old, ["k"], ["name"], ["sources"])
+    keys = lambda c: F.try_element_at(F.col("sources"), F.lit(c))
+    return merged.select(F.col("k").alias("c_custkey"), "name", "balance", F.concat(F.lit("a="), keys("a"), F.lit(";b="), keys("b")).alias("sources"))
 
 
 @registered("SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT source, lang FROM documents WHERE doc_id % 2 = 1 AND n_chars > 1500")

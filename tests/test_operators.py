@@ -67,7 +67,6 @@ def test_links_users_sets_and_upsert(spark):
     assert rows(components.value_sets(linked, docs, ["kw"])) == [("engine", "e1", [2])]
     old = spark.createDataFrame([("engine", "e1", "old", ["i"], {"a": "1", "b": "1"}), ("engine", "e0", "alone", None, None)], "kind string, id string, name string, known_issues array<string>, sources map<string,string>")
     new = spark.createDataFrame([("engine", "e1", "new", None, {"a": "2"}), ("engine", "e2", "fresh", None, None)], "kind string, id string, name string, known_issues array<string>, sources map<string,string>")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     got = {r.id: r for r in components.upserted(old, new).collect()}
     assert (got["e1"].name, got["e1"].known_issues, got["e1"].sources) == ("new", ["i"], {"a": "2", "b": "1"})
     assert got["e0"].name == "alone" and got["e2"].name == "fresh"
@@ -114,7 +113,6 @@ def test_consolidation_keeps_order(spark):
 
 
 def test_record_merges(spark):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     new = spark.createDataFrame([(1, "n", {"a": "new", "b": "new"}), (2, "n2", None)], "k int, name string, sources map<string,string>")
     old = spark.createDataFrame([(1, "o", {"a": "old"})], "k int, name string, sources map<string,string>")
     assert rows(records.merged(new, old, ["k"], ["name"], ["sources"]), "k") == [(1, "o", {"a": "old", "b": "new"}), (2, "n2", {})]
