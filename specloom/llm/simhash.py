@@ -120,11 +120,6 @@ def _halves(fps: DataFrame) -> DataFrame:
     ).drop("m")
 
 
-def _spread(n: int) -> list[int]:
-    """n fixed 64-bit masks; the least and greatest value under each pick members of a bucket by chance."""
-    return [0] + [xxhash.xxh64_intdigest(str(i)) - (1 << 63) for i in range(1, n)]
-
-
 def _rooted(nodes: DataFrame, links: DataFrame, old: str, new: str) -> DataFrame:
     """``nodes`` with column ``new``: the root under ``links`` of column ``old``, itself where it has no link."""
     roots = connected(links).select(F.col("node").alias(old), F.col("root").alias("_r"))
@@ -145,13 +140,8 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     """
     if not 2 <= limit <= 5:
         raise ValueError("limit must be 2 to 5")
-    masks = [F.lit(m).cast("long") for m in _spread(4)]
-    some = [f(F.col("fp").bitwiseXOR(m)) for m in masks for f in (F.min, F.max)]
-    picked = _halves(fps).groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(some)]).where("p0 < p1")
-    members = F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(masks[i // 2]) for i in range(len(some))]))
-    first = F.element_at("m", 1)
-    others = F.filter(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), 1, i), lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda e: _near(e["a"], e["b"], limit))
-    ends = picked.select(members.alias("m")).where(first.isNotNull()).select(F.explode(others).alias("e")).select("e.a", "e.b").distinct()
+    picked = _halves(fps).groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
+    ends = picked.where(_near(F.col("a"), F.col("b"), limit)).select("a", "b").distinct()
     one = settled(_rooted(fps, ends, "fp", "root1"))
     sizes = one.groupBy("root1").agg(F.count("*").alias("n"))
     rank = (F.lit(1 << 20) - F.least(F.col("n"), F.lit(1 << 20))) * (1 << 42) + F.shiftrightunsigned(F.xxhash64("root1"), 22)
