@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import BLANK, settled, table
 
-#: Bytes in a gram and grams in a window: a passage of GRAM + WINDOW - 1 bytes that two texts share is always found.
-GRAM, WINDOW = 12, 24
+#: Words in a gram and grams in a window: a passage of GRAM + WINDOW - 1 words that two texts share is always found.
+GRAM, WINDOW = 3, 4
 #: Windows worked on at once: bounds the memory that a long text takes.
 BLOCK = 4096
 #: A gram is one long: 31 bits of hash, then 32 bits of place, counted backwards so that ties go to the rightmost.
@@ -16,7 +16,7 @@ _PLACE = (1 << 32) - 1
 #: Documents in one bucket of ids, about.
 IN_BUCKET = 1024
 #: Bounds between buckets that are carried as literals at most.
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 
 
 def _let(value: Column, body) -> Column:
@@ -24,31 +24,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _grams(raw: Column, first: Column, n: Column, gram: int) -> Column:
+def _grams(words: Column, first: Column, n: Column, gram: int) -> Column:
     """The packed grams that start at ``first`` and the ``n`` - 1 places after it; ``first`` counts from 0."""
 
     def one(i: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(F.substring(raw, (i + 1).cast("int"), F.lit(gram))), 33)
+        h = F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(gram)]), 33)
         return F.shiftleft(h, 32).bitwiseOR(F.lit(_PLACE) - i)
 
     return F.transform(F.sequence(first, first + n - 1), one)
 
 
-def _select(raw: Column, size: Column, gram: int, window: int) -> Column:
-    """The distinct selected grams of bytes ``raw``, in order; one gram for a text shorter than a gram, none for none."""
+def _select(words: Column, size: Column, gram: int, window: int) -> Column:
+    """The distinct selected grams of ``size`` words, in order; one gram for fewer words than a gram has, none for none."""
     windows = size - (gram + window - 2)
-    whole = F.transform(F.sequence(F.lit(0).cast("long"), windows - 1, F.lit(BLOCK).cast("long")), lambda s: _block(raw, s, F.least(F.lit(BLOCK).cast("long"), windows - s), gram, window))
-    few = F.array(F.array_min(_grams(raw, F.lit(0).cast("long"), F.greatest(size - (gram - 1), F.lit(1).cast("long")), gram)))
+    whole = F.transform(F.sequence(F.lit(0), windows - 1, F.lit(BLOCK)), lambda s: _block(words, s, F.least(F.lit(BLOCK), windows - s), gram, window))
+    few = F.array(F.array_min(_grams(words, F.lit(0), F.greatest(size - (gram - 1), F.lit(1)), gram)))
     none = F.array().cast("array<bigint>")
     return F.when(size == 0, none).when(windows <= 1, few).otherwise(F.array_distinct(F.flatten(whole)))
 
 
-def _block(raw: Column, first: Column, n: Column, gram: int, window: int) -> Column:
-    """The distinct minima of ``n`` windows from the one that starts at ``first``."""
-    return _let(
-        _grams(raw, first, n + (window - 1), gram),
-        lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.array_min(F.slice(g, i, F.lit(window))))),
-    )
+def _block(words: Column, first: Column, n: Column, gram: int, window: int) -> Column:
+    """The distinct minima of ``n`` windows from the one that starts at ``first``.
+
+    Minima of a few grams are found first; a window's minimum is that of those which cover it.
+    """
+    few = min(2, window)
+    cover = sorted({*range(0, window - few + 1, few), window - few})
+
+    def minima(values: Column, count: Column, steps) -> Column:
+        return F.transform(F.sequence(F.lit(1), count), lambda i: F.least(*[F.element_at(values, i + k) for k in steps]) if len(steps) > 1 else F.element_at(values, i))
+
+    grams = _grams(words, first, n + (window - 1), gram)
+    return _let(grams, lambda g: _let(minima(g, n + (window - few), range(few)), lambda m: F.array_distinct(minima(m, n, cover))))
 
 
 def _place(gram: Column) -> Column:
@@ -59,25 +66,6 @@ def _hash(gram: Column) -> Column:
     return F.shiftright(gram, 32)
 
 
-def _moved(grams: Column, by: Column) -> Column:
-    return F.transform(grams, lambda g: g - by)
-
-
-def _from_windows(grams: Column, last: Column, window: int) -> Column:
-    """Of the selected ``grams`` of a text, those that a window starting at ``last`` or before selects.
-
-    A gram is first selected when it comes into the window, if it is no greater than the one before, and else when
-    the one before leaves.
-    """
-    before = lambda i: F.element_at(grams, F.greatest(i, F.lit(1)))
-
-    def start(g: Column, i: Column) -> Column:
-        enters = F.greatest(_place(g) - (window - 1), F.lit(0))
-        return F.when(i == 0, F.lit(0)).when(_hash(g) <= _hash(before(i)), enters).otherwise(_place(before(i)) + 1)
-
-    return F.filter(grams, lambda g, i: start(g, i) <= last)
-
-
 def _string(grams: Column) -> Column:
     """place:hash of each gram in hexadecimal, in order of place."""
     return F.array_join(F.transform(F.array_sort(F.transform(grams, lambda g: F.shiftleft(_place(g), 31).bitwiseOR(_hash(g)))), lambda x: F.lower(F.concat(F.hex(F.shiftright(x, 31)), F.lit(":"), F.hex(x.bitwiseAND(F.lit((1 << 31) - 1)))))), " ")
@@ -91,9 +79,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The selected grams of a text's UTF-8 bytes as packed longs; see ``show`` for their places and hashes."""
-    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
-    return _select(raw, F.octet_length(raw).cast("long"), gram, window)
+    """The selected grams of a text's words as packed longs; see ``show`` for their places and hashes."""
+    plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"^{BLANK}|{BLANK}$", "")
+    return _let(F.split(plain, BLANK), lambda words: _select(words, F.when(F.get(words, F.lit(0)) == "", F.lit(0)).otherwise(F.size(words)), gram, window))
 
 
 def show(grams: Column) -> Column:
@@ -116,7 +104,8 @@ def _bucket(id_col: Column, bounds: list) -> Column:
     """The number of bounds that are no greater than the id, by halving steps; null ids are in bucket 0."""
     if not bounds:
         return F.lit(0)
-    array, steps, size = F.array(*[F.lit(b) for b in bounds]), [], 1
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    steps, size = [], 1
     while size <= len(bounds):
         steps.insert(0, size)
         size *= 2
@@ -139,12 +128,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", g
     bounds = _bounds(docs.select(id_col), id_col)
     rows = rows.select(_bucket(F.col("id"), bounds).alias("bucket"), "id", F.xxhash64("text").alias("tie"), "text", F.lit(False).alias("extra"))
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")
-    firsts = settled(rows.groupBy("bucket").agg(F.min(order).alias("first")))
-    held = [r["bucket"] for r in firsts.select("bucket").orderBy("bucket").collect()]  # bounded by MAX_BUCKETS
-    before = {b: held[i - 1] for i, b in enumerate(held)}
-    links = F.create_map(*[F.lit(x) for b in held for x in (b, before[b])]) if held else F.create_map().cast("map<int,int>")
-    lead = rows.join(F.broadcast(firsts.select(F.col("bucket").alias("b"), "first")), F.expr("bucket = b and tie = first.tie and id <=> first.id"))
-    lead = lead.dropDuplicates(["bucket"]).select(F.element_at(links, F.col("bucket")).alias("bucket"), "id", "tie", "text", F.lit(True).alias("extra"))
+    firsts = rows.groupBy("bucket").agg(F.min(order).alias("first"))  # a row per bucket, MAX_BUCKETS at most
+    before = F.expr("coalesce(lag(bucket) over (order by bucket), max(bucket) over ())")
+    firsts = settled(firsts.select(F.col("bucket").alias("b"), "first", before.alias("before")))
+    lead = rows.join(F.broadcast(firsts), F.expr("bucket = b and tie = first.tie and id <=> first.id"))
+    lead = lead.dropDuplicates(["bucket"]).select(F.col("before").alias("bucket"), "id", "tie", "text", F.lit(True).alias("extra"))
     every = rows.union(lead).repartition("bucket").withColumn("grams", fingerprint(F.col("text"), gram, window))
     by = "over (partition by bucket order by extra, id is not null, id, tie)"
     return every.select("id", "text", "grams", "extra", F.expr(f"lead(text) {by}").alias("next_text"), F.expr(f"lead(grams) {by}").alias("next_grams")).where(~F.col("extra")).drop("extra")
@@ -154,29 +142,14 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     """Per document: id, n_chars, edited (text), grams, edited_grams, next_grams.
 
     The edited text is the first part of the document, up to its last floor(n_chars / 2) code points, and as many
-    code points from the start of the next document. Windows that lie in either part select what they select in
-    the whole documents, so only those across the seam are worked out anew.
+    code points from the start of the next document.
     """
     rows = with_next(docs, id_col, text_col, gram, window)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("*", n.cast("long").alias("n_chars"), F.substring(F.col("text"), F.lit(1), n - half).alias("head"), F.substring(F.col("next_text"), F.lit(1), half).alias("tail"))
-    rows = rows.select("id", "n_chars", "grams", "next_grams", F.concat("head", "tail").alias("edited"), F.octet_length("head").cast("long").alias("p"), F.octet_length("tail").cast("long").alias("q"))
-    span, total, p = gram + window - 1, F.col("p") + F.col("q"), F.col("p")
-    raw = F.col("edited").cast("binary")
-    seam = F.greatest(p - (span - 1), F.lit(0).cast("long"))
-    end = F.least(total, p + (span - 1))
-    middle = _moved(_select(F.substring(raw, (seam + 1).cast("int"), (end - seam).cast("int")), end - seam, gram, window), seam)
-    none = F.array().cast("array<bigint>")
-    joined = F.array_distinct(
-        F.concat(
-            F.when(p >= span, _from_windows(F.col("grams"), p - span, window)).otherwise(none),
-            F.when(end - seam >= span, middle).otherwise(none),
-            F.when(F.col("q") >= span, _moved(_from_windows(F.col("next_grams"), F.col("q") - span, window), p)).otherwise(none),
-        )
-    )
-    edited = F.when(total <= span, _select(raw, total, gram, window)).otherwise(joined)
-    return rows.select("id", "n_chars", "edited", "grams", edited.alias("edited_grams"), "next_grams")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "grams", "next_grams")
+    return rows.select("id", "n_chars", "edited", "grams", fingerprint(F.col("edited"), gram, window).alias("edited_grams"), "next_grams")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

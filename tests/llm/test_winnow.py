@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 import xxhash
@@ -10,10 +11,15 @@ DOCS = "doc_id long, text string, grams string, extra int"
 
 
 def brute(text, gram=winnow.GRAM, window=winnow.WINDOW):
-    raw = (text or "").encode()
-    if not raw:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
         return []
-    hashes = [xxhash.xxh64_intdigest(raw[i : i + gram], 42) >> 33 for i in range(max(1, len(raw) - gram + 1))]
+    hashes = []
+    for i in range(max(1, len(words) - gram + 1)):
+        h = 42
+        for w in words[i : i + gram]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        hashes.append(h >> 33)
     out = []
     for s in range(max(1, len(hashes) - window + 1)):
         part = hashes[s : s + window]
@@ -60,7 +66,7 @@ def got_rows(df):
 
 def texts(n, seed=5):
     rnd = random.Random(seed)
-    alphabet = "aaab cdé€😀\n"
+    alphabet = "aab  cé€😀\n"
     return [(3 * i, "".join(rnd.choices(alphabet, k=rnd.choice([0, 1, 2, 5, 11, 12, 13, 34, 35, 36, 37, 70, 71, 300])))) for i in range(n)]
 
 
@@ -78,8 +84,8 @@ def test_many_buckets_and_blocks(spark, monkeypatch):
 
 
 def test_shared_passages_are_found(spark):
-    passage = "this passage of at least thirty-five bytes is shared"
-    rows = [(1, "x" * 50 + passage + "yz" * 40), (2, "other beginning " + passage + " and end")]
+    passage = " six words that both texts share "
+    rows = [(1, "x " * 50 + passage + "yz " * 40), (2, "other beginning" + passage + "and end")]
     a, b = (set(h for _, h in brute(t)) for _, t in rows)
     assert a & b
     one = spark.createDataFrame(rows, "doc_id long, text string").select(winnow.show(winnow.fingerprint(F.col("text"))).alias("f")).collect()
