@@ -26,6 +26,8 @@ from .common import new_folder, settled, table
 LINES = 1000
 #: Bytes of an archive file, about, and index lines in a shard, about.
 ARCHIVE_BYTES, SHARD_LINES = 64 << 20, 50_000
+#: Shards at most; beyond it they grow.
+MAX_SHARDS = 4096
 #: The date of every record: records of equal pages are equal.
 DATE = datetime(2026, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,7 +206,7 @@ def index(captures: DataFrame, folder: str) -> list[Shard]:
     list of shards is short: one entry in SHARD_LINES captures.
     """
     n = captures.count()
-    shards = n // SHARD_LINES + 1
+    shards = min(MAX_SHARDS, n // SHARD_LINES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
