@@ -135,8 +135,9 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
        maximum, are linked if they are within the limit. Dense groups become one component, or few, without their
        pairs being listed.
     2. Keys whose fingerprints have one component are dropped, again by minimum and maximum. Of the others, every
-       fingerprint outside the key's largest component is compared with all that share the key and have another
-       component: by the ring filter, then the full count. Every link between components has such an end.
+       fingerprint outside the key's largest component is first linked to the key's ends, where it is near, and then
+       compared with all that share the key and still have another component: by the ring filter, then the full
+       count. Every link between components has such an end.
     """
     if not 2 <= limit <= 5:
         raise ValueError("limit must be 2 to 5")
@@ -146,12 +147,17 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     sizes = one.groupBy("root1").agg(F.count("*").alias("n"))
     rank = (F.lit(1 << 20) - F.least(F.col("n"), F.lit(1 << 20))) * (1 << 42) + F.shiftrightunsigned(F.xxhash64("root1"), 22)
     one = settled(one.join(sizes, "root1").select("fp", "root1", rank.alias("c")))  # c: a component's name, less for larger ones
-    mixed = settled(_halves(one).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo"))
+    found = _halves(one).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("fp").alias("x"), F.max("fp").alias("y"))
+    mixed = settled(found.where("lo < hi").select("key", "lo", "x", "y"))
     known = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
-    small = _halves(one).join(known, "key").where("c <> lo").select("key", F.col("fp").alias("f"), F.col("c").alias("d"))
-    every = _halves(one).select("key", F.col("fp").alias("g"), "c")
-    pairs = small.join(every, "key").where((F.col("c") != F.col("d")) & _near(F.col("f"), F.col("g"), limit)).select("c", "d").distinct()
-    return _rooted(one, pairs, "c", "root").select("fp", "root")
+    small = settled(_halves(one).join(known, "key").where("c <> lo").select("key", F.col("fp").alias("f"), F.col("c").alias("d"), "x", "y"))
+    ends = small.select("f", "d", F.explode(F.array("x", "y")).alias("g")).where(_near(F.col("f"), F.col("g"), limit)).select("d", "g").distinct()
+    ends = ends.join(one.select(F.col("fp").alias("g"), "c"), "g").where("c <> d").select("c", "d").distinct()
+    two = settled(_rooted(one, ends, "c", "c2"))
+    small = small.select("key", "f").join(two.select(F.col("fp").alias("f"), F.col("c2").alias("d")), "f")
+    every = _halves(two.select("fp", "c2")).select("key", F.col("fp").alias("g"), "c2")
+    pairs = small.join(every, "key").where((F.col("c2") != F.col("d")) & _near(F.col("f"), F.col("g"), limit)).select("c2", "d").distinct()
+    return _rooted(two, pairs, "c2", "root").select("fp", "root")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
