@@ -181,14 +181,30 @@ def jaccard(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, h, c, lo): rows (key, h) of ``buckets`` with several components under ``links``; c is h's, lo the largest of the key."""
+    roots = connected(links).select(F.col("node").alias("h"), F.col("root").alias("r"))
+    sizes = roots.groupBy("r").agg(F.count("*").alias("n"))
+    of = roots.join(sizes, "r").select("h", F.struct((-F.col("n")).alias("n"), F.col("r").alias("r")).alias("c"))
+    lone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("h").alias("r"))
+    rows = settled(buckets.select("key", "h").join(of, "h", "left").select("key", "h", F.coalesce("c", lone).alias("c")))
+    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo")
+    return settled(rows.join(several, "key"))
+
+
 def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float = 0.8, groups: int = 16) -> DataFrame:
     """(h, root): for each distinct text (h is its hash) of ``docs`` the component of near-duplicates it is in.
 
     Texts are linked if their SimHashes differ in at most ``limit`` bits, found by ``linked``. That alone finds few
     texts of similarity 0.8 to 0.95, so shingles are also dealt into ``groups`` parts by hash: near copies agree
-    wholly in some part and so in its SimHash. Texts that share one are compared with the least of them, by the
-    exact similarity of their sets of shingles; a large group of copies thus costs as many comparisons as it has
-    texts, times the number of parts.
+    wholly in some part and so in its SimHash. Texts that share one, a bucket, are compared by the exact similarity
+    of their sets of shingles:
+
+    1. All with the least of the bucket.
+    2. In buckets that still have several components, all with the text that has most links so far (the original of
+       a group of copies), where their components differ. Groups become one component without all their pairs.
+    3. In buckets that still have several, every text outside the bucket's largest component with all of another
+       component. Every link between components has such an end, so none within a bucket is left out.
     """
     kind = "h long, fp long, parts array<long>"
 
@@ -209,14 +225,26 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     roots = linked(heads.select("fp"), limit).join(heads, "fp")
     roots = settled(roots.join(roots.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", "least"))
     by_bits = made.select("h", "fp").join(roots, "fp").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
-    parts = made.select("h", F.posexplode("parts").alias("part", "value")).where("value is not null")
-    firsts = parts.groupBy("part", "value").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b < top").drop("top")
-    pairs = settled(parts.join(firsts, ["part", "value"]).where("h <> b").select(F.col("h").alias("a"), "b").distinct())
-    needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
-    by_shingles = both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
-    found = connected(by_bits.union(by_shingles)).select(F.col("node").alias("h"), F.col("root").alias("r"))
+    parts = made.select("h", F.posexplode("parts").alias("part", "value")).where("value is not null").select(F.xxhash64("part", "value").alias("key"), "h")
+    shared = parts.groupBy("key").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b < top").drop("top")
+    buckets = settled(parts.join(shared, "key").select("key", "h", "b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = settled(pairs.select("a", "b").distinct())
+        needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+        both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
+
+    links = settled(by_bits.union(checked(buckets.where("h <> b").select(F.col("h").alias("a"), "b"))))
+    mixed = _mixed(buckets, links)
+    degree = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("n"))
+    hubs = mixed.join(degree, "h").groupBy("key").agg(F.max(F.struct("n", "h", "c")).alias("hub")).select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"))
+    links = settled(links.union(checked(mixed.join(hubs, "key").where("c <> d").select(F.col("h").alias("a"), "b"))))
+    mixed = _mixed(mixed, links)
+    other = mixed.select("key", F.col("h").alias("g"), F.col("c").alias("d"))
+    rest = mixed.where("c <> lo").join(other, "key").where("c <> d").select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b"))
+    found = connected(links.union(checked(rest))).select(F.col("node").alias("h"), F.col("root").alias("r"))
     return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
 
 

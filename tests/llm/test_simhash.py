@@ -121,3 +121,39 @@ def test_similar_texts_share_a_root(spark):
     assert len(close) > 15 and found >= 0.9 * len(close)
     bases = [roots[hashes[a]] for a, _, _ in pairs]
     assert len(set(bases)) == len(bases)
+
+
+def partition(spark, texts, similarity=0.8):
+    """The components of ``similar`` and those of all pairs compared one by one, as sorted groups of indices."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    roots = {r.h: r.root for r in simhash.similar(df).collect()}
+    have, want = {}, list(range(len(texts)))
+    for r in df.selectExpr("i", "xxhash64(text) h").collect():
+        have.setdefault(roots[r.h], []).append(r.i)
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                want = [want[j] if w == want[i] else w for w in want]
+    groups = {}
+    for i, w in enumerate(want):
+        groups.setdefault(w, []).append(i)
+    return sorted(sorted(g) for g in have.values()), sorted(groups.values())
+
+
+def test_stars_and_chains_become_one_component(spark):
+    rnd = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(2000)]
+    star = rnd.choices(vocabulary, k=60)
+    texts = [" ".join(star)]
+    for i in range(300):  # each within 0.8 of the original only
+        copy = list(star)
+        copy[rnd.randrange(4, 56)] = f"edit{i}"
+        texts.append(" ".join(copy))
+    chain = rnd.choices(vocabulary, k=60)
+    for i in range(100):  # each within 0.8 of its neighbours only
+        chain[4 + 17 * i % 52] = f"step{i}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(rnd.choices(vocabulary, k=60)) for _ in range(20)]
+    have, want = partition(spark, texts)
+    assert len(want) == 22 and have == want
