@@ -16,6 +16,8 @@ from .common import connected, settled, table
 BLOCK = 1 << 15
 #: Bit masks of a half's single-bit changes, the unchanged half first.
 _LOW = [0] + [1 << i for i in range(32)]
+#: Shingles in a part of a text, on average and at most.
+PART = 6
 #: Keys up to this count may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 #: Segments of the ring.
@@ -57,18 +59,37 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return _packed(ones, n) if n else 0
 
 
-def sketch(text: str | None, width: int = 5, groups: int = 16) -> tuple[int, list[int | None]]:
-    """The SimHash of a text and those of ``groups`` parts of its shingles, dealt by hash; none for an empty part."""
-    ones, n = np.zeros((groups, 64)), np.zeros(groups, np.int64)
+def sketch(text: str | None, width: int = 5, groups: int = 16, similarity: float = 0.8) -> tuple[int, list[int], list[int], list[int]]:
+    """The SimHash of a text, and keys of the parts that its distinct shingles are dealt to by hash.
+
+    The number of parts is ``groups`` times a power of two, so that a part has six shingles or fewer (PART). A text
+    whose near copies may have more shingles than its level goes to has keys of the next level too: near copies share
+    a level. Last come, for each level, the number of its keys and how many of them the shingles by which a near copy
+    differs can change at most.
+    """
+    ones, n, seen = np.zeros(64, np.int64), 0, []
     for hashes in _hashes(text, width):
-        dealt = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % groups
-        own = np.zeros((groups, len(hashes)), np.float32)
-        own[dealt, np.arange(len(hashes))] = 1
-        ones += own @ _bits(hashes).astype(np.float32)
-        n += np.bincount(dealt, minlength=groups)
-    if not n.sum():
-        return 0, [None] * groups
-    return _packed(ones.sum(0), n.sum()), [_packed(o, k) if k else None for o, k in zip(ones, n, strict=True)]
+        ones += _bits(hashes).sum(0, dtype=np.int32)
+        n += len(hashes)
+        seen.append(np.unique(hashes))
+    if not n:
+        return 0, [], [], []
+    own = np.unique(np.concatenate(seen))
+    keys, counts, changes = [], [], []
+    parts = groups
+    while parts * PART < len(own):
+        parts *= 2
+    for level in (parts, parts * 2) if len(own) / similarity > parts * PART else (parts,):
+        dealt = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(level)
+        order = np.argsort(dealt, kind="stable")
+        dealt, mixed = dealt[order], own[order] * np.uint64(0xC2B2AE3D27D4EB4F)
+        starts = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))
+        sums = np.add.reduceat((mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25), starts)
+        made = (sums ^ sums >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) + dealt[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)
+        keys += made.view(np.int64).tolist()
+        counts.append(len(made))
+        changes.append(int(len(own) * (1 - similarity) / similarity + 1e-9))
+    return _packed(ones, n), keys, counts, changes
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -196,9 +217,10 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     """(h, root): for each distinct text (h is its hash) of ``docs`` the component of near-duplicates it is in.
 
     Texts are linked if their SimHashes differ in at most ``limit`` bits, found by ``linked``. That alone finds few
-    texts of similarity 0.8 to 0.95, so shingles are also dealt into ``groups`` parts by hash: near copies agree
-    wholly in some part and so in its SimHash. Texts that share one, a bucket, are compared by the exact similarity
-    of their sets of shingles:
+    texts of similarity 0.8 to 0.95, so shingles are also dealt into parts by hash, more for longer texts (see
+    ``sketch``): near copies agree wholly in some part. Where the differences of near copies cannot reach all parts
+    of a text, only so many of its rarest are kept that one must agree. Texts that share one, a bucket, are compared
+    by the exact similarity of their sets of shingles:
 
     1. All with the least of the bucket.
     2. In buckets that still have several components, all with the text that has most links so far (the original of
@@ -206,12 +228,15 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     3. In buckets that still have several, every text outside the bucket's largest component with all of another
        component. Every link between components has such an end, so none within a bucket is left out.
     """
-    kind = "h long, fp long, parts array<long>"
+    kind = "h long, fp long, parts array<long>, counts array<int>, changes array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py(), width, groups) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int64()))], names=["h", "fp", "parts"])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                found = list(zip(*[sketch(t.as_py(), width, groups, similarity) for t in part.column(1)], strict=True))
+                made = [pa.array(x, k) for x, k in zip(found, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["h", "fp", "parts", "counts", "changes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +250,14 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     roots = linked(heads.select("fp"), limit).join(heads, "fp")
     roots = settled(roots.join(roots.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", "least"))
     by_bits = made.select("h", "fp").join(roots, "fp").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
-    parts = made.select("h", F.posexplode("parts").alias("part", "value")).where("value is not null").select(F.xxhash64("part", "value").alias("key"), "h")
-    shared = parts.groupBy("key").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b < top").drop("top")
-    buckets = settled(parts.join(shared, "key").select("key", "h", "b"))
+    upper = F.expr("pos >= counts[0]").cast("int")
+    parts = made.select("h", F.posexplode("parts").alias("pos", "key"), "counts", "changes").select("key", "h", upper.alias("level"), F.get("counts", upper).alias("n"), F.get("changes", upper).alias("d"))
+    shared = parts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    # A near copy differs in d keys at most, so one of the d + 1 rarest is shared; those of no other text come first.
+    place = F.expr("row_number() over (partition by h, level order by many, key) + n - count(*) over (partition by h, level)")
+    rare = parts.join(shared, "key").withColumn("place", place).where("place <= d + 1").select("key", "h")
+    firsts = rare.groupBy("key").agg(F.min("h").alias("b"), F.max("h").alias("top")).where("b < top").drop("top")
+    buckets = settled(rare.join(firsts, "key").select("key", "h", "b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = settled(pairs.select("a", "b").distinct())

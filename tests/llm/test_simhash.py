@@ -157,3 +157,19 @@ def test_stars_and_chains_become_one_component(spark):
     texts += [" ".join(rnd.choices(vocabulary, k=60)) for _ in range(20)]
     have, want = partition(spark, texts)
     assert len(want) == 22 and have == want
+
+
+def test_long_near_copies_are_candidates(spark):
+    rnd = random.Random(13)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    texts = []
+    for n, edits in [(20, 0), (30, 1), (90, 1), (100, 2), (400, 7), (400, 15), (800, 14), (800, 30), (1600, 16), (1600, 60)] * 6:
+        base = rnd.choices(vocabulary, k=n)
+        near = list(base)
+        for i in rnd.sample(range(n), edits):
+            near[i] = f"edited{len(texts)}"
+        texts += [" ".join(base), " ".join([*near, *rnd.choices(vocabulary, k=rnd.choice([0, n // 40]))])]
+    have, want = partition(spark, texts)
+    close = [g for g in want if len(g) == 2]
+    assert len(close) > 30
+    assert sum(g in have for g in close) >= 0.98 * len(close)
