@@ -29,6 +29,10 @@ RUN = r"[A-Za-z0-9+/_=.~-]{8,}"
 #: Candidate words: a long run with a digit, or a name, a sign and a value.
 _SHAPE = r"[A-Za-z0-9+/_=~-]{16}"
 _NAMED = NAMES + r"['\"]?\s*[=:]\s*\S{6}"
+#: What a name and a sign give: up to a blank, a quote or what parts fields.
+_GIVEN = NAMES + r"['\"]?\s*[=:]\s*['\"]?([^\s'\"&,;<>]{6,})"
+#: Runs in a word, parted at signs of equality but for padding.
+_RUNS = r"[A-Za-z0-9+/_.~-]{16,}={0,2}"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "signs", "changes", "distinct", "hexadecimal", "coverage", "named", "assigned", "quoted", "issued", "path", "neighbours"]
 
@@ -36,6 +40,8 @@ FEATURES = ["length", "digits", "uppers", "lowers", "signs", "changes", "distinc
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then one row per candidate: place (of its word in the text), value, before, after, word.
 
+    A word has as many candidates as values: what each secret's name in it is given, what a name in the two words
+    before it is given, each issuer's shape and each long run; the first run of key characters if there are none.
     ``before`` is the text of the two words before it and of its own word up to the value; ``after`` the rest of
     its word and the next word. Texts are read whole.
     """
@@ -44,9 +50,12 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     def hit(w: Column) -> Column:
         return (F.length(w) >= 10) & ((w.rlike(_SHAPE) & w.rlike("[0-9]")) | w.rlike(_NAMED))
 
+    def given(w: Column, last: Column) -> Column:
+        return (F.length(w) >= 6) & (last.rlike(r"[=:]['\"]?$") | w.rlike(r"^['\"]?[=:]"))
+
     def found(words: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: hit(F.element_at(words, i)))
         near = lambda i: F.coalesce(F.get(words, i - 1), F.lit(""))
+        at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: hit(F.element_at(words, i)) | (given(F.element_at(words, i), near(i - 1)) & F.concat_ws(" ", near(i - 2), near(i - 1), near(i)).rlike(_GIVEN + r"\S*$")))
         return F.transform(
             at,
             lambda i: F.struct(
@@ -56,11 +65,15 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
     words = F.element_at(F.transform(F.array(F.split(text, BLANK)), found), 1)
     rows = docs.select(*keep, F.explode(words).alias("c"))
-    named = F.regexp_extract("c.word", NAMES + r"['\"]?\s*[=:]\s*['\"]?(.+)$", 1)
-    tail = F.regexp_extract("c.word", f"({RUN})", 1)
-    value = F.when(named != "", F.regexp_extract(named, f"({RUN}|[^'\"#$%&*,;]+)", 1)).otherwise(tail)
-    value = F.regexp_replace(value, "[.]+$", "")
-    rows = rows.select(*keep, F.col("c.place").alias("place"), F.col("c.word").alias("word"), value.alias("value"), F.col("c.left").alias("left"), F.col("c.right").alias("right"))
+    every = lambda pattern, n: F.regexp_extract_all("c.word", F.lit(pattern), F.lit(n))
+    spaced = F.regexp_extract(F.concat_ws(" ", "c.left", "c.word"), _GIVEN + r"\S*$", 1)
+    runs = F.filter(every(_RUNS, 0), lambda r: r.rlike(_SHAPE))
+    runs = F.when(F.col("c.word").rlike("[0-9]"), runs).otherwise(F.array().cast("array<string>"))
+    values = F.concat(every(_GIVEN, 1), F.array(spaced), every(f"(?:{ISSUED})[A-Za-z0-9_-]*", 0), runs)
+    values = F.array_distinct(F.filter(F.transform(values, lambda v: F.regexp_replace(v, r"[.)\]}]+$", "")), lambda v: F.length(v) >= 6))
+    tail = F.regexp_replace(F.regexp_extract("c.word", f"({RUN})", 1), "[.]+$", "")
+    rows = rows.select(*keep, "c", F.explode(F.when(F.size(values) > 0, values).otherwise(F.array(tail))).alias("value"))
+    rows = rows.select(*keep, F.col("c.place").alias("place"), F.col("c.word").alias("word"), "value", F.col("c.left").alias("left"), F.col("c.right").alias("right"))
     at = F.expr("instr(word, value)")
     return rows.where("value <> ''").select(
         *keep, "place", "word", "value", F.concat_ws(" ", "left", F.expr("substring(word, 1, instr(word, value) - 1)")).alias("before"), F.concat_ws(" ", F.expr("substring(word, instr(word, value) + length(value))"), "right").alias("after"), at.alias("at")
