@@ -166,11 +166,11 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     ends = picked.where(_near(F.col("a"), F.col("b"), limit)).select("a", "b").distinct()
     one = settled(_rooted(fps, ends, "fp", "root1"))
     sizes = one.groupBy("root1").agg(F.count("*").alias("n"))
-    rank = (F.lit(1 << 20) - F.least(F.col("n"), F.lit(1 << 20))) * (1 << 42) + F.shiftrightunsigned(F.xxhash64("root1"), 22)
-    one = settled(one.join(sizes, "root1").select("fp", "root1", rank.alias("c")))  # c: a component's name, less for larger ones
-    found = _halves(one).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("fp").alias("x"), F.max("fp").alias("y"))
-    mixed = settled(found.where("lo < hi").select("key", "lo", "x", "y"))
+    one = settled(one.join(sizes, "root1").select("fp", F.col("root1").alias("c"), "n"))  # c: a component's name; n only chooses the largest of a key
+    found = _halves(one).groupBy("key").agg(F.max_by("c", "n").alias("lo"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("fp").alias("x"), F.max("fp").alias("y"))
+    mixed = settled(found.where("c1 < c2").select("key", "lo", "x", "y"))
     known = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
+    one = one.select("fp", "c")
     small = settled(_halves(one).join(known, "key").where("c <> lo").select("key", F.col("fp").alias("f"), F.col("c").alias("d"), "x", "y"))
     ends = small.select("f", "d", F.explode(F.array("x", "y")).alias("g")).where(_near(F.col("f"), F.col("g"), limit)).select("d", "g").distinct()
     ends = ends.join(one.select(F.col("fp").alias("g"), "c"), "g").where("c <> d").select("c", "d").distinct()

@@ -173,3 +173,9 @@ def test_long_near_copies_are_candidates(spark):
     close = [g for g in want if len(g) == 2]
     assert len(close) > 30
     assert sum(g in have for g in close) >= 0.98 * len(close)
+
+
+def test_components_whose_hashes_agree_in_42_bits_stay_apart(spark):
+    fps = [6760692, 8169631, 1601119, 4659074, 4509760, 11529635]
+    got = simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    assert sorted(r["fp"] for r in got) == sorted(fps) and len({r["root"] for r in got}) == len(fps)
