@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,6 @@ from .common import connected, settled, table
 
 #: Shingles whose bits are counted at once: bounds a task's memory for very long texts.
 BLOCK = 1 << 15
-#: Bit masks of a half's single-bit changes, the unchanged half first.
-_LOW = [0] + [1 << i for i in range(32)]
 #: Shingles in a part of a text, on average and at most.
 PART = 6
 #: Keys up to this count may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -132,13 +131,18 @@ def _near(a: Column, b: Column, limit: int) -> Column:
     return _ring(x, limit, 3) & (F.bit_count(x) <= limit)
 
 
-def _halves(fps: DataFrame) -> DataFrame:
-    """Each row under every key within one bit of either half; halves two bits apart meet at the key between them."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    return fps.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in _LOW]))).select(
-        "*", F.explode(F.array(low.bitwiseXOR(F.col("m")), high.bitwiseXOR(F.col("m")).bitwiseOR(F.lit(1 << 32)))).alias("key")
-    ).drop("m")
+def _keyed(fps: DataFrame) -> DataFrame:
+    """Each row under a key for every choice of half the segments: a hash of the bits of these segments and of the choice.
+
+    Fingerprints that differ in as many bits as half the segments or fewer agree wholly on some such choice. Keys of
+    other choices may be equal by chance; all that shares a key is compared in full.
+    """
+    size = 64 // SEGMENTS
+    keys = []
+    for n, choice in enumerate(combinations(range(SEGMENTS), SEGMENTS // 2)):
+        mask = sum(((1 << size) - 1) << (size * i) for i in choice)
+        keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64))), F.lit(n)))
+    return fps.select("*", F.explode(F.array(*keys)).alias("key"))
 
 
 def _rooted(nodes: DataFrame, links: DataFrame, old: str, new: str) -> DataFrame:
@@ -148,37 +152,40 @@ def _rooted(nodes: DataFrame, links: DataFrame, old: str, new: str) -> DataFrame
 
 
 def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
-    """(fp, root) for distinct fingerprints ``fps``; equal root if joined by links of at most ``limit`` <= 5 bits.
-
-    Two fingerprints within the limit agree up to two bits on one half and so meet under a key of ``_halves``.
-
-    1. Contraction: the least and the greatest fingerprint of each key, found by a pre-aggregated minimum and
-       maximum, are linked if they are within the limit. Dense groups become one component, or few, without their
-       pairs being listed.
-    2. Keys whose fingerprints have one component are dropped, again by minimum and maximum. Of the others, every
-       fingerprint outside the key's largest component is first linked to the key's ends, where it is near, and then
-       compared with all that share the key and still have another component: by the ring filter, then the full
-       count. Every link between components has such an end.
+    """(fp, root) for distinct fingerprints ``fps``; equal root if joined by links of at most ``limit`` <= 4 bits.
+
+    Two fingerprints within the limit agree on four of eight segments and so meet under a key of ``_keyed``. Keys
+    name 32 bits each, so few fingerprints share one that are not near.
+
+    1. The least and the greatest fingerprint of each key, found by a pre-aggregated minimum and maximum. Keys of one
+       fingerprint only are done. Ends within the limit are linked: dense groups become one component, or few,
+       without their pairs being listed.
+    2. Keys whose fingerprints have one component are dropped. Of the others, every fingerprint outside the key's
+       largest component is first linked to the key's ends, where it is near, and then compared with all that share
+       the key and still have another component: by the ring filter, then the full count. Every link between
+       components has such an end.
     """
-    if not 2 <= limit <= 5:
-        raise ValueError("limit must be 2 to 5")
-    picked = _halves(fps).groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
-    ends = picked.where(_near(F.col("a"), F.col("b"), limit)).select("a", "b").distinct()
-    one = settled(_rooted(fps, ends, "fp", "root1"))
-    sizes = one.groupBy("root1").agg(F.count("*").alias("n"))
-    one = settled(one.join(sizes, "root1").select("fp", F.col("root1").alias("c"), "n"))  # c: a component's name; n only chooses the largest of a key
-    found = _halves(one).groupBy("key").agg(F.max_by("c", "n").alias("lo"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("fp").alias("x"), F.max("fp").alias("y"))
-    mixed = settled(found.where("c1 < c2").select("key", "lo", "x", "y"))
-    known = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
-    one = one.select("fp", "c")
-    small = settled(_halves(one).join(known, "key").where("c <> lo").select("key", F.col("fp").alias("f"), F.col("c").alias("d"), "x", "y"))
-    ends = small.select("f", "d", F.explode(F.array("x", "y")).alias("g")).where(_near(F.col("f"), F.col("g"), limit)).select("d", "g").distinct()
-    ends = ends.join(one.select(F.col("fp").alias("g"), "c"), "g").where("c <> d").select("c", "d").distinct()
-    two = settled(_rooted(one, ends, "c", "c2"))
-    small = small.select("key", "f").join(two.select(F.col("fp").alias("f"), F.col("c2").alias("d")), "f")
-    every = _halves(two.select("fp", "c2")).select("key", F.col("fp").alias("g"), "c2")
-    pairs = small.join(every, "key").where((F.col("c2") != F.col("d")) & _near(F.col("f"), F.col("g"), limit)).select("c2", "d").distinct()
-    return _rooted(two, pairs, "c2", "root").select("fp", "root")
+    if not 0 <= limit <= SEGMENTS // 2:
+        raise ValueError(f"limit must be 0 to {SEGMENTS // 2}")
+    ends = settled(_keyed(fps).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y"))
+    known = F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends
+    rows = settled(_keyed(fps).join(known, "key"))  # key, fp, x, y of the keys that several share
+    near = ends.where(_near(F.col("x"), F.col("y"), limit)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    one = settled(_rooted(rows.select("fp").distinct(), near, "fp", "c"))  # c: a component's name, a fingerprint of its own
+    one = one.join(one.groupBy("c").agg(F.count("*").alias("n")), "c")  # n only chooses the largest of a key
+    named = settled(rows.join(one.select("fp", "c", "n"), "fp"))
+    several = named.groupBy("key").agg(F.max_by("c", "n").alias("lo"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+    mixed = settled(named.join(several.select("key", "lo"), "key").select("key", "fp", "c", "lo", "x", "y"))
+    small = mixed.where("c <> lo")
+    tips = small.select("fp", F.col("c").alias("d"), F.explode(F.array("x", "y")).alias("g")).where(_near(F.col("fp"), F.col("g"), limit)).select("d", "g").distinct()
+    tips = tips.join(mixed.select(F.col("fp").alias("g"), "c").distinct(), "g").where("c <> d").select("c", "d").distinct()
+    again = settled(_rooted(mixed.select("c").distinct(), tips, "c", "e"))
+    mixed = settled(mixed.join(again, "c").join(again.select(F.col("c").alias("lo"), F.col("e").alias("main")), "lo").select("key", "fp", "c", "e", "main"))
+    other = mixed.select("key", F.col("fp").alias("g"), F.col("c").alias("d"), F.col("e").alias("h"))
+    pairs = mixed.where("e <> main").join(other, "key").where((F.col("e") != F.col("h")) & _near(F.col("fp"), F.col("g"), limit)).select("c", "d").distinct()
+    every = settled(_rooted(one.select("c").distinct(), tips.union(pairs), "c", "root"))
+    found = one.select("fp", "c").join(every, "c").select(F.col("fp").alias("_fp"), "root")
+    return fps.join(found, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
@@ -191,8 +198,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settled(fingerprints(docs, id_col, text_col, width))
     least = settled(found.groupBy("fp").agg(F.min("id").alias("least")))
     roots = settled(least.join(linked(least.select("fp"), limit), "fp"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(named, "root").select("fp", "component_id")
+    named = settled(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
+    of = roots.join(named, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return found.join(of, "fp").select("id", "fp", "component_id")
 
 
