@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         jvm_dir = spark.sparkContext.getCheckpointDir()
+        if jvm_dir is None and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = jvm_dir or "file://" + tempfile.mkdtemp(prefix="specloom-")
         if jvm_dir is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -40,6 +43,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/specloom-{kind}-{uuid.uuid4().hex}"
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    name = f"_{name}"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def unit(*cols: Column | str) -> Column:
     """A repeatable number in [0, 1) drawn from the columns' hash."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(1 << 53))

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, settled, table, unit
+from .common import BLANK, free, settled, table, unit
 
 #: Findings that the forest is trained on, about and at most.
 MAX_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
+#: What evidence from outside the forest does to its odds: an issuer's shape, an assignment to a secret's name, such a name only, none of them.
+ISSUED_ODDS, ASSIGNED_ODDS, NAMED_ODDS, OTHER_ODDS = 1000.0, 20.0, 2.0, 0.5
 #: Score from which a candidate is a secret.
 THRESHOLD = 0.5
 #: Rows that may be broadcast, and bytes.
 FEW, FEW_BYTES = 100_000, 16_000_000
-#: A word is in the dictionary if so many documents have it.
-DICTIONARY_DOCS = 5
+#: A word is in the dictionary if so many documents have it, and this share of all.
+DICTIONARY_DOCS, DICTIONARY_SHARE = 5, 1e-6
 
 #: Fixed values. Names that stand before a secret.
 NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
@@ -26,15 +30,18 @@ NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]
 ISSUED = r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.|AIza[A-Za-z0-9_-]{35}"
 #: A run of the characters that keys are made of.
 RUN = r"[A-Za-z0-9+/_=.~-]{8,}"
-#: Candidate words: a long run with a digit, or a name, a sign and a value.
+#: Candidate words: a long run with a digit or mixed case, or a name, a sign and a value.
 _SHAPE = r"[A-Za-z0-9+/_=~-]{16}"
+_MIXED = "[0-9]|[a-z][A-Z]"
 _NAMED = NAMES + r"['\"]?\s*[=:]\s*\S{6}"
 #: What a name and a sign give: up to a blank, a quote or what parts fields.
 _GIVEN = NAMES + r"['\"]?\s*[=:]\s*['\"]?([^\s'\"&,;<>]{6,})"
 #: Runs in a word, parted at signs of equality but for padding.
 _RUNS = r"[A-Za-z0-9+/_.~-]{16,}={0,2}"
 
-FEATURES = ["length", "digits", "uppers", "lowers", "signs", "changes", "distinct", "hexadecimal", "coverage", "named", "assigned", "quoted", "issued", "path", "neighbours"]
+#: Transitions between kinds of characters: a lower-case, B upper-case, 1 digit, - other; their shares are features.
+TRANSITIONS = ["aa", "aB", "Ba", "BB", "a1", "1a", "B1", "1B", "11", "a-", "-a"]
+FEATURES = ["length", "digits", "uppers", "lowers", "signs", *[f"from_{t.replace('-', 'x')}" for t in TRANSITIONS], "pairs", "distinct", "hexadecimal", "coverage", "quoted", "path", "neighbours"]
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -48,7 +55,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def hit(w: Column) -> Column:
-        return (F.length(w) >= 10) & ((w.rlike(_SHAPE) & w.rlike("[0-9]")) | w.rlike(_NAMED))
+        return (F.length(w) >= 10) & ((w.rlike(_SHAPE) & w.rlike(_MIXED)) | w.rlike(_NAMED))
 
     def given(w: Column, last: Column) -> Column:
         return (F.length(w) >= 6) & (last.rlike(r"[=:]['\"]?$") | w.rlike(r"^['\"]?[=:]"))
@@ -68,7 +75,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     every = lambda pattern, n: F.regexp_extract_all("c.word", F.lit(pattern), F.lit(n))
     spaced = F.regexp_extract(F.concat_ws(" ", "c.left", "c.word"), _GIVEN + r"\S*$", 1)
     runs = F.filter(every(_RUNS, 0), lambda r: r.rlike(_SHAPE))
-    runs = F.when(F.col("c.word").rlike("[0-9]"), runs).otherwise(F.array().cast("array<string>"))
+    runs = F.when(F.col("c.word").rlike(_MIXED), runs).otherwise(F.array().cast("array<string>"))
     values = F.concat(every(_GIVEN, 1), F.array(spaced), every(f"(?:{ISSUED})[A-Za-z0-9_-]*", 0), runs)
     values = F.array_distinct(F.filter(F.transform(values, lambda v: F.regexp_replace(v, r"[.)\]}]+$", "")), lambda v: F.length(v) >= 6))
     tail = F.regexp_replace(F.regexp_extract("c.word", f"({RUN})", 1), "[.]+$", "")
@@ -81,48 +88,66 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def dictionary(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(piece): the letter runs of candidates that at least DICTIONARY_DOCS documents have as a word.
+    """(piece): the letter runs of candidates that enough documents have as a word (DICTIONARY_DOCS, DICTIONARY_SHARE).
 
-    Only words that candidates contain are counted, over all documents; a join finds them, before the count.
+    Only words that candidates contain are kept, counted over all documents; a broadcast of few pieces drops the
+    others before the count, many pieces are joined after each task has counted its words.
     """
     wanted = settled(pieces.select("piece").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted  # pieces have at most 24 letters
+    few = wanted.count() <= FEW  # pieces have at most 24 letters
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = F.array_distinct(F.filter(F.split(text, BLANK), lambda w: w.rlike(r"^[a-z]{4,24}$")))
-    every = docs.select(F.explode(words).alias("piece")).join(wanted, "piece", "left_semi")
-    return every.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= DICTIONARY_DOCS).select("piece")
+    every = docs.select(F.explode(words).alias("piece"))
+    if few:
+        every = every.join(F.broadcast(wanted), "piece", "left_semi")
+    counts = every.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= max(DICTIONARY_DOCS, DICTIONARY_SHARE * docs.count()))
+    return counts.select("piece") if few else counts.join(wanted, "piece", "left_semi").select("piece")
+
+
+def pair_table(found: DataFrame) -> list[float]:
+    """The logarithm of each letter's share after each letter (26 x 26), from the ordinary words around candidates."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"(?:^| )([a-z]{2,})(?= |$)"), F.lit(1))
+    pairs = found.select(F.explode(F.regexp_extract_all(F.array_join(words, " "), F.lit(r"(?=([a-z]{2}))"), F.lit(1))).alias("pair"))
+    n = [1.0] * 676
+    for pair, count in pairs.groupBy("pair").count().collect():  # 676 rows at most
+        n[(ord(pair[0]) - 97) * 26 + ord(pair[1]) - 97] += count
+    return [math.log(x / sum(n[i // 26 * 26 : i // 26 * 26 + 26])) for i, x in enumerate(n)]
 
 
 def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """``found`` with the columns of FEATURES. ``docs`` (text) gives the dictionary."""
+    """``found`` with f_* columns (FEATURES), which the forest sees, and e_* columns (issued, named, assigned), which label.
+
+    ``docs`` (text) gives the dictionary. Values are read whole; lengths count as logarithms.
+    """
     value = F.col("value")
     size = F.greatest(F.length(value), F.lit(1)).cast("double")
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "1"), "[^aB1]", "-")
-    once = F.regexp_replace(kind, r"(.)\1+", "$1")
     runs = F.regexp_extract_all(F.lower(value), F.lit(r"([a-z]{4,24})"))
     values = settled(found.select("value").distinct().select("value", F.explode(runs).alias("piece")))
     known = dictionary(docs, values).withColumn("hit", F.lit(1))
     covered = values.join(known, "piece", "left").groupBy("value").agg(F.sum(F.when(F.col("hit") == 1, F.length("piece")).otherwise(0)).alias("covered"))
+    likely = F.split(F.lit(",".join(f"{x:.4f}" for x in pair_table(found))), ",").cast("array<double>")  # folded to one literal
+    pairs = F.regexp_extract_all(F.lower(value), F.lit(r"(?=([a-z]{2}))"), F.lit(1))
+    place = lambda p: (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     before, after = F.col("before"), F.col("after")
     columns = {
-        "length": F.least(size, F.lit(256.0)),
+        "length": F.log2(size),
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
         "signs": share("[^A-Za-z0-9]"),
-        "changes": (F.length(once) - 1) / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 256), ""))) / F.least(size, F.lit(256.0)),
+        **{f"from_{t.replace('-', 'x')}": F.regexp_count(kind, F.lit(f"(?={t})")) / size for t in TRANSITIONS},
+        "pairs": F.when(F.size(pairs) > 0, F.aggregate(F.transform(pairs, lambda p: F.get(likely, place(p))), F.lit(0.0), lambda s, x: s + x) / F.size(pairs)).otherwise(F.lit(-5.0)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(64.0)),
         "hexadecimal": flag(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
-        "named": flag(before.rlike(NAMES)),
-        "assigned": flag(before.rlike(r"[=:]\s*['\"]?$")),
         "quoted": flag(before.rlike(r"['\"]$") & after.rlike(r"^['\"]")),
-        "issued": flag(value.rlike(f"^(?:{ISSUED})")),
         "path": flag(F.concat(before, value).rlike(r"https?:|www\.|\.[a-z]{2,4}/|/\w+/|@|\.(?:com|net|org|html?|php)\b")),
-        "neighbours": F.regexp_count(F.concat_ws(" ", before, after), F.lit(r"\b[a-z]{2,}\b")).cast("double"),
+        "neighbours": F.regexp_count(F.regexp_replace(F.concat_ws(" ", before, after), NAMES, ""), F.lit(r"\b[a-z]{2,}\b")).cast("double"),
     }
-    rows = found.select("*", *[c.cast("double").alias(f"f_{n}") for n, c in columns.items()])
+    evidence = {"named": before.rlike(NAMES), "assigned": before.rlike(r"[=:]\s*['\"]?$"), "issued": value.rlike(f"^(?:{ISSUED})")}
+    rows = found.select("*", *[c.cast("double").alias(f"f_{n}") for n, c in columns.items()], *[flag(c).alias(f"e_{n}") for n, c in evidence.items()])
     rows = rows.join(covered, "value", "left")
     return rows.withColumn("f_coverage", F.coalesce(F.col("covered"), F.lit(0)) / size).drop("covered")
 
@@ -130,14 +155,12 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame) -> DataFrame:
     """``rows`` whose label is known without the forest: ``label`` 1 for secrets, 0 for false positives.
 
-    Findings are labelled by evidence of their own: shapes of known issuers, and values that are assigned to a
-    secret's name and are no dictionary words, are secrets; candidates without a secret's name before them that are
-    numbers, addresses, paths, repeated characters or dictionary words are not. The rest stays unlabelled.
+    No table labels findings, so evidence does that the forest does not see: shapes of known issuers and values
+    assigned to a secret's name are secrets; candidates without either, and without such a name before them, are not.
+    Names without an assignment stay unlabelled.
     """
-    f = lambda n: F.col(f"f_{n}")
-    yes = (f("issued") == 1) | ((f("named") == 1) & (f("assigned") == 1) & (f("coverage") < 0.5) & (f("digits") > 0.1) & (f("distinct") > 0.2))
-    no = (f("issued") == 0) & (((f("named") == 0) & ((f("digits") > 0.95) | (f("path") == 1) | (f("coverage") > 0.6) | (f("signs") > 0.3))) | (f("distinct") < 0.12) | (f("coverage") > 0.8))
-    return rows.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
+    e = lambda n: F.col(f"e_{n}") == 1
+    return rows.withColumn("label", F.when(e("issued") | (e("named") & e("assigned")), 1.0).when(~e("named"), 0.0)).where("label is not null")
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
@@ -158,40 +181,47 @@ def train(findings: DataFrame) -> RandomForestClassificationModel | None:
     return forest.fit(_assembled(rows.repartition(4, *rows.columns).sortWithinPartitions(*rows.columns)))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), findings: DataFrame | None = None) -> DataFrame:
     """One row per candidate: ``keep`` columns, place, word, value, score and secret (score >= THRESHOLD).
 
-    Whole texts are read; null and empty texts have no candidates. Copies of one text give the same findings for
-    each copy. If the labelled findings have one class only, candidates with a secret's evidence score 1, others 0.
+    Whole texts are read; null and empty texts have no candidates; an empty table gives no rows. Copies of one text
+    give the same findings for each copy. Columns of ``docs`` other than ``keep`` and text play no part; ``keep``
+    must not have names of this result. The score is the forest's probability, its odds multiplied by what the
+    evidence is worth that it does not see. ``findings`` (value, label 0 or 1) are labels from elsewhere, used
+    instead of ``labelled``. Without labels of both classes candidates with a secret's evidence score 1, others 0.
     """
     rows = settled(featured(candidates(docs, keep), docs))
-    known = labelled(rows)
-    model = train(known)
+    model = train(rows.join(findings.select("value", F.col("label").cast("double").alias("label")).dropDuplicates(["value"]), "value") if findings is not None else labelled(rows))
+    e = lambda n: F.col(f"e_{n}") == 1
     if model is None:
-        score = ((F.col("f_issued") == 1) | ((F.col("f_named") == 1) & (F.col("f_assigned") == 1))).cast("double")
+        score = (e("issued") | (e("named") & e("assigned"))).cast("double")
         out = rows.withColumn("score", score)
     else:
-        out = model.transform(_assembled(rows)).withColumn("score", vector_to_array("probability")[1])
+        p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), vector_to_array("probability")[1]))
+        odds = p / (1 - p) * F.when(e("issued"), ISSUED_ODDS).when(e("named") & e("assigned"), ASSIGNED_ODDS).when(e("named"), NAMED_ODDS).otherwise(OTHER_ODDS)
+        out = model.transform(_assembled(rows)).withColumn("score", odds / (1 + odds))
     return out.select(*keep, "place", "word", "value", "score", (F.col("score") >= THRESHOLD).alias("secret"))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every found secret replaced by ``mask`` in its text, n_chars counted anew; all rows stay.
+    """``docs`` with every found secret replaced by ``mask`` in its text, n_chars counted anew; all rows and columns stay.
 
     Rows are matched by doc_id and the hash of the text, so repeated ids with other texts keep their own findings.
+    Null and empty texts stay as they are; an empty table gives none.
     """
-    key = F.xxhash64("doc_id", "text").alias("_k")
-    found = scan(docs.select(key, "text"), ("_k",)).where("secret")
-    values = found.groupBy("_k").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
+    key, many = free(docs, "key"), free(docs, "values")  # names that no column of docs has
+    made = F.xxhash64("doc_id", "text").alias(key)
+    found = scan(docs.select(made, "text"), (key,)).where("secret")
+    values = found.groupBy(key).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(many))
     values = settled(values)
-    n, size = values.agg(F.count("*"), F.sum(F.length(F.array_join("_values", " ")))).first()
+    n, size = values.agg(F.count("*"), F.sum(F.length(F.array_join(many, " ")))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
-    rows = docs.withColumn("_k", key)
-    rows = rows.join(F.broadcast(values) if few else values, "_k", "left")
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate("_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask))))
+    rows = docs.withColumn(key, made)
+    rows = rows.join(F.broadcast(values) if few else values, key, "left")
+    text = F.when(F.col(many).isNull(), F.col("text")).otherwise(F.aggregate(many, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(many).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 

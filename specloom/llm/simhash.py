@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, settled, table
+from .common import connected, free, settled, table
 
 #: Shingles whose bits are counted at once: bounds a task's memory for very long texts.
 BLOCK = 1 << 15
@@ -296,8 +296,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("h"))
     first = docs.select("doc_id", text.alias("h")).groupBy("h").agg(F.min(key).alias("key"))
     roots = similar(docs.select("text"), **options)
-    keep = first.join(roots, "h").groupBy("root").agg(F.min("key").alias("k")).select(F.col("k.d").alias("_d"), F.col("k.h").alias("_h"))
-    return docs.join(settled(keep), docs["doc_id"].eqNullSafe(F.col("_d")) & (text == F.col("_h")), "left_semi")
+    name, own = free(docs, "d"), free(docs, "h")  # names that no column of docs has
+    keep = first.join(roots, "h").groupBy("root").agg(F.min("key").alias("k")).select(F.col("k.d").alias(name), F.col("k.h").alias(own))
+    return docs.join(settled(keep), docs["doc_id"].eqNullSafe(F.col(name)) & (text == F.col(own)), "left_semi")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
