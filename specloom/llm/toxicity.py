@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settled, table, unit
+from .common import free, settled, table, unit
 
 #: Labelled rows that the examples are drawn from, about and at most (picked by a hash of the id).
 MAX_LABELLED = 24_000
@@ -28,13 +30,15 @@ BLOCK = 64
 THRESHOLD = 0.7
 #: Votes of the prior: so many examples of the base rate join each vote.
 PRIOR = 0.3
+#: Examples whose votes by the others give the calibration, about; the ridge of its curve.
+CALIBRATION, RIDGE = 2_000, 1.0
 #: A term is kept if the lower confidence bound of its rate of toxic texts is over so many times the base rate.
 LIFT, CONFIDENCE = 3.0, 2.4
 
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, tuple[str, ...]] = {}
-#: Words whose terms are remembered by a worker.
-_KNOWN_MAX = 200_000
+#: Words whose terms are remembered by a worker, and scores of texts.
+_KNOWN_MAX, _SCORES_MAX = 60_000, 10_000
 
 
 def terms_of_word(word: str) -> tuple[str, ...]:
@@ -128,10 +132,11 @@ def _spread(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors in blocks of BLOCK; per term and block the greatest weight, per block its postings.
+    """Examples as unit TF-IDF vectors: an inverted list per term, and per term and block of BLOCK examples its greatest weight.
 
     ``nearest`` is exact: blocks are taken by falling upper bound, the query's weights times the blocks' greatest
-    ones, until no block left can reach the k-th score found.
+    ones, until no block left can reach the k-th score found. Of a block only the parts of the query terms' lists
+    are read.
     """
 
     idf: np.ndarray
@@ -139,8 +144,10 @@ class Index:
     none: float  # score of a text without any chosen term
     good: np.ndarray = field(default_factory=lambda: np.zeros(0))  # clean texts of each example (equal vectors are one)
     bad: np.ndarray = field(default_factory=lambda: np.zeros(0))  # toxic texts of each example
+    ids: list = field(default_factory=list)  # the least id of each example's texts
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # greatest weight by term and block
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # term, place, weight
+    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by term: example, weight, first place by block
+    curve: tuple[float, float] = (1.0, 0.0)  # slope and height of the calibration, over the odds' logarithm
 
     def vector(self, terms, counts) -> list[tuple[int, float]]:
         raw = [(t, (1 + np.log(c)) * self.idf[t]) for t, c in zip(terms, counts, strict=True)]
@@ -149,56 +156,88 @@ class Index:
 
     def nearest(self, vector: list[tuple[int, float]], k: int) -> list[tuple[float, int]]:
         """The k best (cosine, example) of those that share a term, best first; ties go to the lower example."""
-        if not vector or not self.postings:
+        if not vector or not self.lists:
             return []
         terms, weights = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
-        query = np.zeros(len(self.idf))
-        query[terms] = weights
         bounds = weights @ self.most[terms]
         top: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
+        for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or (len(top) == k and bounds[b] < -top[-1][0] - 1e-9):
                 break
-            term, place, weight = self.postings[b]
-            scores = np.bincount(place, query[term] * weight, BLOCK)
+            scores = np.zeros(BLOCK)
+            for t, w in vector:
+                example, weight, first = self.lists[t]
+                own = slice(first[b], first[b + 1])
+                scores[example[own] - b * BLOCK] += w * weight[own]
             floor = -top[-1][0] - 1e-12 if len(top) == k else 0.0
             own = np.flatnonzero((scores > 0) & (scores >= floor))
             if len(own):
-                top = sorted([*top, *((-float(scores[i]), int(b) * BLOCK + int(i)) for i in own)])[:k]
+                top = sorted([*top, *((-float(scores[i]), b * BLOCK + int(i)) for i in own)])[:k]
         return [(-s, e) for s, e in top]
 
-    def vote(self, terms, counts, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """The score, the examples that voted and their cosines."""
+    def vote(self, terms, counts, k: int = NEIGHBOURS, but: int = -1) -> tuple[float, list, list[float]]:
+        """The score, the ids of the examples that voted and their cosines; example ``but`` does not vote."""
         if not len(terms):
             return self.none, [], []
-        top = self.nearest(self.vector(terms, counts), k)
+        top = [x for x in self.nearest(self.vector(terms, counts), k + (but >= 0)) if x[1] != but][:k]
         yes, every = PRIOR * self.base, PRIOR
         for cosine, e in top:
             weight = cosine**4
             yes += weight * float(self.bad[e])
             every += weight * float(self.good[e] + self.bad[e])
-        return float(yes / every), [e for _, e in top], [c for c, _ in top]
+        score = float(yes / every)
+        odds = self.curve[0] * math.log(score / (1 - score)) + self.curve[1]
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))), [self.ids[e] for _, e in top], [c for c, _ in top]
 
 
-def build(examples: list[tuple[list[int], list[int], int]], idf: np.ndarray, base: float, none: float) -> Index:
-    """The index of (terms, counts, toxic) rows; rows with equal vectors are one example with both counts."""
+def build(examples: list[tuple[list[int], list[int], int, int]], idf: np.ndarray, base: float, none: float) -> Index:
+    """The index of (terms, counts, toxic, id) rows; rows with equal terms and counts are one example with both counts.
+
+    The curve comes from the votes of the other examples on some of them (CALIBRATION): a logistic curve over the
+    votes' odds, drawn towards the identity, so that a score is the share of toxic texts among those that get it.
+    """
     index = Index(idf, base, none)
-    merged: dict[tuple, list[int]] = {}
-    for terms, counts, toxic in examples:
+    merged: dict[tuple, list] = {}
+    for terms, counts, toxic, own in examples:
         if len(terms):
-            merged.setdefault(tuple((t, round(w, 3)) for t, w in index.vector(terms, counts)), [0, 0])[toxic] += 1
+            found = merged.setdefault((tuple(terms), tuple(counts)), [0, 0, own])
+            found[toxic] += 1
+            found[2] = own if found[2] is None or (own is not None and own < found[2]) else found[2]
     rows = sorted(merged)
-    index.good, index.bad = (np.array([merged[r][i] for r in rows]) for i in (0, 1))
-    blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
-    index.most = np.zeros((len(idf), len(blocks)))
-    for b, block in enumerate(blocks):
-        own = [(t, i, w) for i, row in enumerate(block) for t, w in row]
-        index.postings.append((np.array([t for t, _, _ in own]), np.array([i for _, i, _ in own]), np.array([w for _, _, w in own])))
-        for t, _, w in own:
-            index.most[t, b] = max(index.most[t, b], w)
+    index.good, index.bad = (np.array([float(merged[r][i]) for r in rows]) for i in (0, 1))
+    index.ids = [merged[r][2] for r in rows]
+    blocks = -(-len(rows) // BLOCK)
+    made: list[list[tuple[int, float]]] = [[] for _ in idf]
+    for e, (terms, counts) in enumerate(rows):
+        for t, w in index.vector(terms, counts):
+            made[t].append((e, w))
+    index.most = np.zeros((len(idf), blocks))
+    for t, own in enumerate(made):
+        example, weight = np.array([e for e, _ in own], np.int64), np.array([w for _, w in own])
+        index.lists.append((example, weight, np.searchsorted(example, np.arange(blocks + 1) * BLOCK)))
+        np.maximum.at(index.most[t], example // BLOCK, weight)
+    part = range(0, len(rows), max(1, len(rows) // CALIBRATION))
+    votes = np.array([index.vote(*rows[e], but=e)[0] for e in part])
+    if len(votes):
+        index.curve = _curve(np.log(votes / (1 - votes)), index.good[list(part)], index.bad[list(part)])
     return index
 
 
+def _curve(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Slope and height of the logistic curve of the toxic share over ``x``, by Newton steps; a ridge draws it to (1, 0)."""
+    n = good + bad
+    target = (bad + 0.5 * n / n.sum()) / (n + n / n.sum())
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = n * p * (1 - p)
+        g = np.array([(n * (p - target) * x).sum() + RIDGE * (a - 1), (n * (p - target)).sum() + RIDGE * b])
+        h = np.array([[(w * x * x).sum() + RIDGE, (w * x).sum()], [(w * x).sum(), w.sum() + RIDGE]])
+        step = np.linalg.solve(h, g)
+        a, b = max(0.05, a - float(np.clip(step[0], -1, 1))), b - float(np.clip(step[1], -1, 1))
+    return a, b
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, dict[str, int]]:
     """The index and its terms, from the texts of ``docs`` that ``labels`` marks (doc_id, toxic) outside the held-out third.
 
@@ -214,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, dict[str, int]]:
     part = MAX_LABELLED / max(1, marked.count())
     marked = marked.where(unit("doc_id", F.lit(7)) < part)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = settled(texts.join(F.broadcast(marked), "doc_id").select("text", "toxic", F.xxhash64("text").alias("h")))
+    rows = settled(texts.join(F.broadcast(marked), "doc_id").select("text", "toxic", F.xxhash64("text").alias("h"), "doc_id"))
     once = settled(_sketches(rows).groupBy("sketch", "toxic").agg(F.min("h").alias("h")))
     totals = dict(once.groupBy("toxic").count().collect())
     good, bad = totals.get(0, 0), totals.get(1, 0)
@@ -234,12 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Index, dict[str, int]]:
             found = [count(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int32())), *(batch.column(i) for i in (1, 2))], names=["terms", "counts", "toxic", "h"])
 
-    made = settled(rows.mapInArrow(vectors, "terms array<int>, counts array<int>, toxic int, h long").distinct())
+    own = rows.groupBy("h", "toxic").agg(F.min("doc_id").alias("own"))
+    made = rows.select("text", "toxic", "h").mapInArrow(vectors, "terms array<int>, counts array<int>, toxic int, h long").distinct()
+    made = settled(made.join(own, ["h", "toxic"]).select("terms", "counts", "toxic", "h", "own"))
     blank = dict(made.where(F.size("terms") == 0).groupBy("toxic").count().collect())
     none = (blank.get(1, 0) + base) / (blank.get(0, 0) + blank.get(1, 0) + 1)
     made = made.where(F.size("terms") > 0)
     kept = made.where(unit("h", F.lit(8)) < MAX_EXAMPLES / max(1, made.count())).collect()
-    return build([(r["terms"], r["counts"], r["toxic"]) for r in kept], idf, base, none), known
+    return build([(r["terms"], r["counts"], r["toxic"], r["own"]) for r in kept], idf, base, none), known
 
 
 def held_out(doc_id: Column) -> Column:
@@ -248,7 +289,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, model: tuple[Index, dict[str, int]], keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``keep`` columns, score, the examples that voted and their cosines (evidence), for every row and whole text.
+    """``keep`` columns, score, the ids of the examples that voted and their cosines (evidence), for every row and whole text.
 
     Texts without any chosen term, null and empty ones too, get the rate of toxic examples without one. Equal
     texts get equal scores; ``prefix`` goes before the new names, where ``keep`` has columns of these names.
@@ -258,7 +299,8 @@ def score(docs: DataFrame, model: tuple[Index, dict[str, int]], keep: tuple[str,
     names = [*keep, *(() if "text" in keep else ("text",))]
     at, rows = names.index("text"), docs.select(*names)
     schema = docs.select(*keep).schema
-    for name, kind in (("score", T.DoubleType()), ("examples", T.ArrayType(T.IntegerType())), ("cosines", T.ArrayType(T.DoubleType()))):
+    ids = docs.schema["doc_id"].dataType
+    for name, kind in (("score", T.DoubleType()), ("examples", T.ArrayType(ids)), ("cosines", T.ArrayType(T.DoubleType()))):
         schema = schema.add(prefix + name, kind)
     made = schema.names
 
@@ -272,22 +314,25 @@ def score(docs: DataFrame, model: tuple[Index, dict[str, int]], keep: tuple[str,
                 found = memo.get(key)
                 if found is None:
                     found = own.vote(*key)
-                    if len(memo) < 50_000:
+                    if len(memo) < _SCORES_MAX:
                         memo[key] = found
                 out.append(found)
-            new = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())))]
+            new = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.float64(), pa.list_(to_arrow_type(ids)), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *new], names=made)
 
     return rows.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, columns as they are."""
-    names = tuple(docs.columns)
-    return score(docs, fit(docs, labels), names, "_tox_").where(F.col("_tox_score") < THRESHOLD).select(*names)
+    """The rows of ``docs`` that are not predicted toxic, columns as they are, whatever their names."""
+    names, prefix = tuple(docs.columns), free(docs, "tox")
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix += "_"
+    return score(docs, fit(docs, labels), names, prefix).where(F.col(f"{prefix}score") < THRESHOLD).select(*names)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    voted = F.array_join(F.transform(F.arrays_zip("examples", "cosines"), lambda x: F.format_string("%s %.4f", x["examples"].cast("string"), x["cosines"])), ", ")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), voted.alias("evidence"))

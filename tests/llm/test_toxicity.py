@@ -21,27 +21,72 @@ def corpus(n=400, seed=4):
     return rows
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_equals_dense_cosine_from_counts():
     rng = np.random.default_rng(0)
     idf = rng.uniform(0.5, 3, 40)
     examples = [(sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist()), None, int(rng.integers(0, 2))) for _ in range(700)]
-    examples = [(t, rng.integers(1, 4, len(t)).tolist(), y) for t, _, y in examples]
+    examples = [(t, rng.integers(1, 4, len(t)).tolist(), y, i) for i, (t, _, y) in enumerate(examples)]
     index = toxicity.build(examples, idf, 0.2, 0.1)
-    dense = np.zeros((len(index.good), 40))
-    for b, (term, place, weight) in enumerate(index.postings):
-        dense[b * toxicity.BLOCK + place, term] = weight
     assert index.good.sum() + index.bad.sum() == len(examples)
+    least, dense = {}, {}
+    for terms, counts, _, i in examples:  # straight from the rows, without the index
+        x = np.zeros(40)
+        x[terms] = (1 + np.log(counts)) * idf[terms]
+        key = (tuple(terms), tuple(counts))
+        least.setdefault(key, i)
+        dense[least[key]] = x / np.linalg.norm(x)
+    assert set(index.ids) == set(dense)
     for _ in range(50):
         terms = sorted(rng.choice(40, rng.integers(1, 8), replace=False).tolist())
-        vector = index.vector(terms, [1] * len(terms))
         q = np.zeros(40)
-        for t, w in vector:
-            q[t] = w
-        scores = dense @ q
-        want = sorted((-round(s, 9), i) for i, s in enumerate(scores) if s > 0)[:15]
-        got = [(-round(s, 9), e) for s, e in index.nearest(vector, 15)]
-        assert [s for s, _ in got] == [s for s, _ in want]
-        assert all(abs(scores[e] + s) < 1e-8 for s, e in got)
+        q[terms] = idf[terms]
+        q /= np.linalg.norm(q)
+        want = sorted((-round(float(x @ q), 9) for x in dense.values() if x @ q > 0))[:15]
+        got = index.nearest(index.vector(terms, [1] * len(terms)), 15)
+        assert [-round(s, 9) for s, _ in got] == want
+        assert all(abs(dense[index.ids[e]] @ q - s) < 1e-12 for s, e in got)
+
+
+def test_whole_search_from_texts(spark):
+    """Evidence and cosines of real texts equal a dense search over vectors counted here, word by word."""
+    rows = corpus(300, 9)
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    index, known = toxicity.fit(df, labels)
+
+    def counted(text):
+        x = np.zeros(len(known))
+        for w in text.split():
+            for t in toxicity.terms_of_word(w):
+                if t in known:
+                    x[known[t]] += 1
+        return x
+
+    every = {d: counted(t) for d, t, _ in rows}
+    spread = sum((x > 0).astype(int) for x in every.values())
+    idf = np.log((len(rows) + 1) / (spread + 1)) + 1e-3
+
+    def scaled(x):
+        y = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * idf, 0)
+        return y / (np.linalg.norm(y) or 1)
+
+    seen = 0
+    for r in toxicity.score(df, (index, known)).collect():
+        q = scaled(every[r.doc_id])
+        for own, cosine in zip(r.examples, r.cosines, strict=True):
+            assert abs(q @ scaled(every[own]) - cosine) < 1e-9
+            seen += 1
+        best = max((q @ scaled(every[i]) for i in index.ids), default=0)
+        assert not best or abs(best - r.cosines[0]) < 1e-9
+    assert seen > 100
+
+
+def test_scores_are_calibrated():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * x - 1)))).astype(float)
+    a, b = toxicity._curve(x, 1 - y, y)
+    assert abs(a - 0.5) < 0.1 and abs(b + 1) < 0.15
 
 
 def test_held_out_rows_are_found_and_labels_are_no_input(spark):
