@@ -49,3 +49,25 @@ def test_every_row_of_a_table(spark):
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_text.extracted(df).collect())
     assert got == sorted([("1", "u", WANT, len(WANT))] * 2 + [("None", "None", "", 0), ("2", "v", "", 0)])
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+def test_marks_drop_no_article():
+    body = "<h1>A headline</h1><p>The first block of the article has words enough.</p><p>Yes.</p><p>The second one has them as well, as it should.</p><p>No.</p>"
+    want = "A headline\n\nThe first block of the article has words enough.\n\nYes.\n\nThe second one has them as well, as it should.\n\nNo."
+    for page in (
+        f'<body><div class="site-header">Site</div><article><div class="entry-header"><h1>A headline</h1></div>{body.split("</h1>")[1]}</article></body>',
+        f'<body><article class="post"><header class="article-header"><h1>A headline</h1></header>{body.split("</h1>")[1]}</article><div class="comments-area"><article class="comment"><p>Nice, I liked this very much indeed.</p></article></div></body>',
+        f'<body><div class="ad-free content">{body}</div></body>',
+        f'<body><div class="related-work">{body}</div><div class="ad-slot">Buy</div></body>',
+        f'<body><div id="notes-on-legal-history">{body}</div></body>',
+        f'<body><div class="layout has-sidebar"><article>{body}</article><div class="sidebar">Read on</div></div></body>',
+        f'<body class="page-with-comments no-footer"><div class="sidebar-wrap"><article>{body}</article></div><div class="siteFooter">All rights</div></body>',
+        f'<body><div class="content-wrapper banner"><div>{body}</div></div><div class="cookie-notice">We use cookies.</div></body>',
+    ):
+        assert html_text.main_text(page) == want, page
+
+
+def test_formulas_and_short_blocks_stay():
+    page = "<article><p>Mass and energy: <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> holds.</p></article>"
+    assert html_text.main_text(page) == "Mass and energy: E=mc2 holds."
+    assert html_text.main_text("<div><p>Yes.</p><p>No.</p><p>A longer block of words that is the text of the page.</p><p>No.</p><p>End.</p></div>").split("\n\n")[0::4] == ["Yes.", "End."]
