@@ -9,6 +9,10 @@ from .common import BLANK, settled, table
 
 #: Words in a gram and grams in a window: a passage of GRAM + WINDOW - 1 words that two texts share is always found.
 GRAM, WINDOW = 3, 4
+#: Bits by which the rolling hash turns from word to word.
+TURN = 21
+#: Words of more code points than LONG are cut into their runs of SPAN code points, one for each place.
+LONG, SPAN = 24, 4
 #: Windows worked on at once: bounds the memory that a long text takes.
 BLOCK = 4096
 #: A gram is one long: 31 bits of hash, then 32 bits of place, counted backwards so that ties go to the rightmost.
@@ -24,26 +28,37 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _grams(words: Column, first: Column, n: Column, gram: int) -> Column:
-    """The packed grams that start at ``first`` and the ``n`` - 1 places after it; ``first`` counts from 0."""
+def _turned(h: Column, bits: int) -> Column:
+    return h if not bits else F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits))
+
+
+def _grams(hashes: Column, first: Column, n: Column, gram: int) -> Column:
+    """The packed grams that start at ``first`` and the ``n`` - 1 places after it; ``first`` counts from 0.
+
+    The hash is a cyclic polynomial, which rolls: a gram's hash is that of the one before, turned by TURN bits, without
+    the word that leaves and with the word that enters. Each word is hashed once; arrays have no running state,
+    so the sum is written out over the gram's few words.
+    """
 
     def one(i: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(gram)]), 33)
-        return F.shiftleft(h, 32).bitwiseOR(F.lit(_PLACE) - i)
+        h = _turned(F.get(hashes, i), TURN * (gram - 1) % 64)
+        for j in range(1, gram):
+            h = h.bitwiseXOR(F.coalesce(_turned(F.get(hashes, i + j), TURN * (gram - 1 - j) % 64), F.lit(0).cast("long")))
+        return F.shiftleft(F.shiftrightunsigned(h, 33), 32).bitwiseOR(F.lit(_PLACE) - i)
 
     return F.transform(F.sequence(first, first + n - 1), one)
 
 
-def _select(words: Column, size: Column, gram: int, window: int) -> Column:
-    """The distinct selected grams of ``size`` words, in order; one gram for fewer words than a gram has, none for none."""
+def _select(hashes: Column, size: Column, gram: int, window: int) -> Column:
+    """The distinct selected grams of ``size`` words' hashes, in order; one gram for fewer words than a gram has, none for none."""
     windows = size - (gram + window - 2)
-    whole = F.transform(F.sequence(F.lit(0), windows - 1, F.lit(BLOCK)), lambda s: _block(words, s, F.least(F.lit(BLOCK), windows - s), gram, window))
-    few = F.array(F.array_min(_grams(words, F.lit(0), F.greatest(size - (gram - 1), F.lit(1)), gram)))
+    whole = F.transform(F.sequence(F.lit(0), windows - 1, F.lit(BLOCK)), lambda s: _block(hashes, s, F.least(F.lit(BLOCK), windows - s), gram, window))
+    few = F.array(F.array_min(_grams(hashes, F.lit(0), F.greatest(size - (gram - 1), F.lit(1)), gram)))
     none = F.array().cast("array<bigint>")
     return F.when(size == 0, none).when(windows <= 1, few).otherwise(F.array_distinct(F.flatten(whole)))
 
 
-def _block(words: Column, first: Column, n: Column, gram: int, window: int) -> Column:
+def _block(hashes: Column, first: Column, n: Column, gram: int, window: int) -> Column:
     """The distinct minima of ``n`` windows from the one that starts at ``first``.
 
     Minima of a few grams are found first; a window's minimum is that of those which cover it.
@@ -54,7 +69,7 @@ def _block(words: Column, first: Column, n: Column, gram: int, window: int) -> C
     def minima(values: Column, count: Column, steps) -> Column:
         return F.transform(F.sequence(F.lit(1), count), lambda i: F.least(*[F.element_at(values, i + k) for k in steps]) if len(steps) > 1 else F.element_at(values, i))
 
-    grams = _grams(words, first, n + (window - 1), gram)
+    grams = _grams(hashes, first, n + (window - 1), gram)
     return _let(grams, lambda g: _let(minima(g, n + (window - few), range(few)), lambda m: F.array_distinct(minima(m, n, cover))))
 
 
@@ -78,10 +93,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
 
+def _words(text: Column) -> Column:
+    """The words of a text without blanks around it; those of over LONG code points are cut into all their runs of SPAN.
+
+    So texts that are written without blanks, long numbers and encoded data have grams of their own.
+    """
+
+    def cut(word: Column) -> Column:
+        runs = _let(F.split(word, ""), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (SPAN - 1), F.lit(1))), lambda i: F.concat(*[F.get(c, i + j - 1) for j in range(SPAN)])))
+        return F.when(F.length(word) > LONG, runs).otherwise(F.array(word))
+
+    return _let(F.split(text, BLANK), lambda words: F.when(F.exists(words, lambda w: F.length(w) > LONG), F.flatten(F.transform(words, cut))).otherwise(words))
+
+
 def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The selected grams of a text's words as packed longs; see ``show`` for their places and hashes."""
+    """The selected grams of a text's words as packed longs; see ``show`` for their places and hashes.
+
+    Null texts count as empty, which have none. Whole texts are read, in blocks of windows.
+    """
     plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"^{BLANK}|{BLANK}$", "")
-    return _let(F.split(plain, BLANK), lambda words: _select(words, F.when(F.get(words, F.lit(0)) == "", F.lit(0)).otherwise(F.size(words)), gram, window))
+    return _let(plain, lambda p: F.when(p == "", F.array().cast("array<bigint>")).otherwise(_let(F.transform(_words(p), lambda w: F.xxhash64(w)), lambda h: _select(h, F.size(h), gram, window))))
 
 
 def show(grams: Column) -> Column:
