@@ -86,7 +86,9 @@ class Pieces:
         key = (token, -1)
         found = self.pairs.get(key)
         if found is None:
-            found = self.pairs[key] = self._merged(self._name(token)) == [self._name(token)]
+            found = self._merged(self._name(token)) == [self._name(token)]
+            if len(self.pairs) < PAIRS_KEPT:
+                self.pairs[key] = found
         return found
 
     def ids_of_word(self, word: str) -> list[int]:

@@ -338,8 +338,9 @@ def find(wanted: DataFrame, folder: str, shards: list[Shard]) -> DataFrame:
 def read(places: DataFrame, folder: str, bodies: bool = False) -> DataFrame:
     """The records at ``places`` (file, offset, length): page_id, url, record_type, digest, bytes, refers_to and payload.
 
-    Reads are dealt by stretches of files and go forward in each. Payloads of revisits are their response's; with
-    ``bodies`` false no payload is returned, but every response's is read and checked against its digest.
+    Reads are dealt by stretches of files and go forward in each. Payloads of revisits are those of their responses,
+    null if these are not among ``places``; with ``bodies`` false no payload is returned, but every response's is
+    read and checked against its digest. No places give no rows.
     """
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + (", payload binary" if bodies else "")
 
@@ -363,7 +364,14 @@ def read(places: DataFrame, folder: str, bodies: bool = False) -> DataFrame:
 
     stretch = F.floor(F.col("offset") / (4 << 20))
     rows = places.select("file", "offset", "length").withColumn("_s", stretch).repartition("file", "_s").sortWithinPartitions("file", "offset")
-    return rows.select("file", "offset", "length").mapInArrow(run, schema)
+    found = rows.select("file", "offset", "length").mapInArrow(run, schema)
+    if not bodies:
+        return found
+    found = settled(found)
+    heads = found.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload").alias("_payload"))
+    own = found.where("record_type = 'response'")
+    again = found.where("record_type <> 'response'").drop("payload").join(heads, F.col("refers_to") == F.col("_page"), "left")
+    return own.unionByName(again.select(*found.columns[:-1], F.col("_payload").alias("payload")))
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:

@@ -73,7 +73,10 @@ def test_small_payloads_stay_responses(spark):
 def test_payloads_come_back(spark):
     folder = new_folder(spark, "t")
     captures = warc.write(make(spark, ROWS), folder)
-    back = {r.page_id: r.payload for r in warc.read(captures, folder, bodies=True).collect() if r.record_type == "response"}
+    every = warc.read(captures, folder, bodies=True).collect()
+    assert len(every) == len(ROWS) and {r.record_type for r in every} == {"response", "revisit"}
+    assert sorted((str(r.page_id), r.payload.decode()) for r in every) == sorted((str(p), h or "") for p, _, h in ROWS)
+    back = {r.page_id: r.payload for r in every if r.record_type == "response"}
     assert all(back[p].decode() == h for p, _, h in ROWS if p in back) and len(back) == len({h for _, _, h in ROWS})
     warc.remove(folder)
 
