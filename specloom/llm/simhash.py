@@ -19,6 +19,8 @@ BLOCK = 1 << 15
 PART = 6
 #: Keys up to this count may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Fingerprints whose keys one task makes: bounds the memory of the minimum and maximum a key within a task.
+IN_TASK = 8_000
 #: Segments of the ring.
 SEGMENTS = 8
 
@@ -167,9 +169,10 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     """
     if not 0 <= limit <= SEGMENTS // 2:
         raise ValueError(f"limit must be 0 to {SEGMENTS // 2}")
-    ends = settled(_keyed(fps).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y"))
+    dealt = fps.repartition(1 + fps.count() // IN_TASK)
+    ends = settled(_keyed(dealt).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y"))
     known = F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends
-    rows = settled(_keyed(fps).join(known, "key"))  # key, fp, x, y of the keys that several share
+    rows = settled(_keyed(dealt).join(known, "key"))  # key, fp, x, y of the keys that several share
     near = ends.where(_near(F.col("x"), F.col("y"), limit)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     one = settled(_rooted(rows.select("fp").distinct(), near, "fp", "c"))  # c: a component's name, a fingerprint of its own
     one = one.join(one.groupBy("c").agg(F.count("*").alias("n")), "c")  # n only chooses the largest of a key
