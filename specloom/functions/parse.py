@@ -15,8 +15,11 @@ RATES = {"AZN": 1.0, "USD": 1.70, "EUR": 1.95}
 BUDGET_AZN = 44000
 #: Fixed values. Currency signs and their codes.
 SIGNS = {"₼": "AZN", "AZN": "AZN", "$": "USD", "USD": "USD", "€": "EUR", "EUR": "EUR"}
-#: Fixed values. Words before a count of affected units, the longest first; words of the count itself.
-UNIT_TEXT = r"(?:共计|合计|总计|涉及车辆|涉及|共)约?([\d,，.]+)(万?)余?(?:辆|台)"
+#: Fixed values. Words before a count of affected units, the count, ten-thousands and what is counted.
+UNIT_TEXT = r"(?U)(?:共计|合计|总计|涉及车辆|涉及|共)\s*约?\s*([\d][\d,，.]*)\s*(万)?\s*余?\s*(?:辆|台)"
+#: Fixed values. A price named in a title, and one in a page.
+TITLE_PRICE = r"(?iU)qiyməti\s*([\d\s]+?)\s*(AZN|USD|EUR)"
+PAGE_PRICE = r"(?U)([\d][\d\s]{2,})\s*(₼|AZN|\$|USD|€|EUR)"
 
 
 def present(value: Column, missing: tuple[str, ...] = MISSING_RECORD) -> Column:
@@ -70,20 +73,19 @@ def dimensions(text: Column) -> Column:
 
 def price(title: Column, body: Column) -> Column:
     """Amount and currency: the price named in the title, else the first amount of three or more digits in the body."""
-    named = r"(?i)qiyməti\D*?(\d[\d\s]*)\s*(AZN|USD|EUR)"
-    shown = r"(\d[\d\s]{2,})\s*(₼|AZN|\$|USD|€|EUR)"
+    named = F.regexp_like(F.coalesce(title, F.lit("")), F.lit(TITLE_PRICE))
 
     def found(group: int) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(title, named, group), F.lit("")), F.nullif(F.regexp_extract(body, shown, group), F.lit("")))
+        return F.nullif(F.when(named, F.regexp_extract(title, TITLE_PRICE, group)).otherwise(F.regexp_extract(body, PAGE_PRICE, group)), F.lit(""))
 
     codes = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
     return F.struct(digits_only(found(1)).alias("amount"), F.try_element_at(codes, F.upper(found(2))).alias("currency"))
 
 
 def to_azn(amount: Column, currency: Column) -> Column:
-    """Whole manat, halves to even; an unknown currency counts as manat, no amount or zero gives null."""
+    """Whole manat, halves to even; an unknown currency counts as manat, no amount gives null."""
     rates = F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair])
-    return F.bround(F.nullif(amount.cast("double"), F.lit(0.0)) * F.coalesce(F.try_element_at(rates, currency), F.lit(1.0))).cast("int")
+    return F.bround(amount.cast("double") * F.coalesce(F.try_element_at(rates, currency), F.lit(1.0))).cast("int")
 
 
 def under_budget(azn: Column) -> Column:
@@ -95,8 +97,8 @@ def units_sum(text: Column, pattern: str = UNIT_TEXT) -> Column:
 
     Every match counts, so a total and its parts add up.
     """
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    scales = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # one pass over the text; the parts come from its matches
+    numbers, scales = (F.transform(found, lambda m: F.regexp_extract(m, pattern, g)) for g in (1, 2))
 
     def one(number: Column, scale: Column) -> Column:
         value = F.regexp_replace(F.regexp_replace(number, "[,，]", ""), r"\.+$", "").try_cast("double")

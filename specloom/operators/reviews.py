@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from specloom.operators.firsts import first_rows
 
@@ -27,11 +27,11 @@ def blocks(text: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _windows(text: str, pattern: str, negation: str | None, context: int) -> list[str]:
+def _windows(text: str, pattern: re.Pattern, negation: re.Pattern | None, context: int) -> list[str]:
     kept: list[str] = []
-    for m in re.finditer(pattern, text):
+    for m in pattern.finditer(text):
         window = text[max(0, m.start() - context) : m.end() + context]
-        if negation and re.search(negation, window):
+        if negation and negation.search(window):
             continue
         mark = window[REPEAT[0] : REPEAT[1]]
         if any(mark in k for k in kept):
@@ -40,33 +40,29 @@ def _windows(text: str, pattern: str, negation: str | None, context: int) -> lis
     return kept
 
 
-@udtf(returnType="category string, place int, snippet string")
-class Complaints:
-    """All places of all categories' patterns in one text, with their surroundings."""
-
-    def eval(self, text: str, categories: dict, negation: str, context: int):
-        for name, pattern in (categories or {}).items():
-            for i, window in enumerate(_windows(text or "", pattern, negation, context)):
-                yield name, i, window
-
-
 def complaints(reviews: DataFrame, key: str, text: str, categories: Mapping[str, str], negation: str | None = None, context: int = CONTEXT) -> DataFrame:
     """(key, category, place, snippet): matches of each category's pattern with ``context`` letters around.
 
     A window that the negation matches is no complaint. One whose letters 20 to 60 stand in a kept window of the same
     text and category is a repeat. Spark has no function for the places of all matches, so texts that can match at
-    all, told by a built-in filter, go through a table function.
+    all, told by a built-in filter, go through an Arrow function that holds the compiled patterns.
     """
-    spark = reviews.sparkSession
-    spark.udtf.register("specloom_complaints", Complaints)
     any_of = "|".join(f"(?:{p})" for p in categories.values())
-    rows = reviews.where(F.col(text).rlike(any_of)).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows.createOrReplaceTempView("_specloom_reviews")
-    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    names = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in categories.items())
-    no = quoted(negation) if negation else "cast(null as string)"
-    found = spark.sql(f"select _key, c.* from _specloom_reviews, lateral specloom_complaints(_text, map({names}), {no}, {context}) c")
-    return found.withColumnRenamed("_key", key)
+    rows = reviews.where(F.col(text).rlike(any_of)).select(key, text)
+    kind = reviews.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = {name: re.compile(p) for name, p in categories.items()}
+        no = re.compile(negation) if negation else None
+        for batch in batches:
+            at, names, places, snippets = [], [], [], []
+            for i, value in enumerate(batch.column(1)):
+                for name, pattern in patterns.items():
+                    for n, window in enumerate(_windows(value.as_py(), pattern, no, context)):
+                        at.append(i), names.append(name), places.append(n), snippets.append(window)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(snippets, pa.string())], names=[key, "category", "place", "snippet"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, category string, place int, snippet string")
 
 
 def top_snippets(found: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -74,9 +70,10 @@ def top_snippets(found: DataFrame, key: str, n: int = 2) -> DataFrame:
     return first_rows(found, [key, "category"], ["place"], n)
 
 
-def category_counts(found: DataFrame, key: str) -> DataFrame:
-    """Categories by the number of reviews that complain."""
-    return found.groupBy("category").agg(F.count_distinct(key).alias("reviews")).orderBy(F.desc("reviews"), "category")
+def category_counts(found: DataFrame, key: str, names: Sequence[str] = ()) -> DataFrame:
+    """Categories by the number of reviews that complain, ties in the order of ``names`` (by name without them)."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category")) if names else F.col("category")
+    return found.groupBy("category").agg(F.count_distinct(key).alias("reviews")).orderBy(F.desc("reviews"), place)
 
 
 def between(text: Column, start: str, stop: str, most: int = 1200) -> Column:
@@ -84,3 +81,70 @@ def between(text: Column, start: str, stop: str, most: int = 1200) -> Column:
     tail = F.element_at(F.split(text, f"\\Q{start}\\E", 2), -1)
     cut = F.substring_index(F.substring(tail, 1, most), stop, 1)
     return F.when(F.contains(text, F.lit(start)), F.trim(cut))
+
+
+#: Fixed values. Words of faults, and what bounds the part on what an owner likes least.
+FAULTS = "故障|坏了|异响|死机|黑屏|重启|漏水|漏油|渗|维修|返厂|更换|换了|召回|报警|抖动|顿挫|异味|生锈|开裂|脱落|失灵|断电|趴窝|亏电|熄火|无法启动|进水|起雾|卡顿|闪退"
+LEAST, BEST, RIGHTS, AFTER = "最不满意", "最满意", "上述内容的版权", " 空间 \\d | 驾驶感受 \\d "
+#: Fixed values. What marks a report of a visit to a dealer; an address of a review.
+VISIT, REVIEW_URL = "探店时间", "https://k.autohome.com.cn/detail/view_%s.html"
+
+
+def owners_only(reviews: DataFrame, trim: str = "") -> DataFrame:
+    """Reviews (exinfolist array of name, specname) but for visits to dealers, of the trims whose name holds ``trim``."""
+    visit = F.exists(F.coalesce("exinfolist.name", F.array().cast("array<string>")), lambda n: n == VISIT)
+    rows = reviews.where(~F.coalesce(visit, F.lit(False)))
+    return rows.where(F.contains("specname", F.lit(trim))) if trim else rows
+
+
+def least_liked(text: Column, most: int = 1200) -> Column:
+    """What a review's text says under LEAST, up to the next rating, at most ``most`` letters; empty without it."""
+    body = F.substring_index(text, RIGHTS, 1)
+    tail = F.when(F.contains(body, F.lit(LEAST)), F.element_at(F.split(body, LEAST, 2), 2))
+    return F.coalesce(F.trim(F.substring(F.element_at(F.split(tail, AFTER, 2), 1), 1, most)), F.lit(""))
+
+
+def fault_snippets(reviews: DataFrame, key: str, text: str, n: int = 8, context: int = 70, faults: str = FAULTS) -> DataFrame:
+    """(key, place, snippet): the first ``n`` places of fault words with the letters around, from BEST on where it is."""
+    body = F.substring_index(F.col(text), RIGHTS, 1)
+    start = F.when(F.instr(body, BEST) > 0, F.instr(body, BEST)).otherwise(1)
+    rows = reviews.select(key, F.substring(body, start, F.length(body)).alias("_body"))
+    pieces, found = F.split("_body", faults), F.regexp_extract_all("_body", F.lit(f"({faults})"), F.lit(1))
+    rows = rows.select(key, "_body", pieces.alias("_pieces"), found.alias("_found"))
+    length = lambda array, i: F.aggregate(F.transform(F.slice(array, F.lit(1), i), lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
+
+    def one(word: Column, i: Column) -> Column:
+        at = length(F.col("_pieces"), i + 1) + length(F.col("_found"), i)
+        first = F.greatest(at - context, F.lit(0))
+        return F.substring(F.col("_body"), first + 1, at + F.length(word) + context - first)
+
+    return rows.select(key, F.posexplode(F.transform(F.slice("_found", 1, n), one)).alias("place", "snippet"))
+
+
+def review_url(review_id: Column) -> Column:
+    return F.format_string(REVIEW_URL, review_id)
+
+
+def short_id(url: Column) -> Column:
+    """The 14 letters after ``view_`` of an address; the address itself without it."""
+    return F.when(F.contains(url, F.lit("view_")), F.substring(F.element_at(F.split(url, "view_"), 2), 1, 14)).otherwise(url)
+
+
+def sorted_tags(text: Column, pattern: str) -> Column:
+    """The sorted distinct matches of a pattern."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+
+
+def pages_of(answers: DataFrame, most: int = 10) -> DataFrame:
+    """(series, page) of the pages to ask for, from the first answer's (series, pagecount): the rest, ``most`` at most.
+
+    One row per page, so that a source reads them side by side.
+    """
+    last = F.least(F.col("pagecount"), F.lit(most))
+    return answers.select("series", F.explode(F.when(last >= 2, F.sequence(F.lit(2), last)).otherwise(F.array().cast("array<int>"))).alias("page"))
+
+
+def reviewed_trims(groups: DataFrame, pattern: str) -> DataFrame:
+    """(spec_id, name, reviews) of the nested groups (specgroup of speclist) whose name matches and that have reviews."""
+    rows = groups.select(F.explode("specgroup").alias("g")).select(F.explode("g.speclist").alias("s")).select("s.*")
+    return rows.where(F.col("specname").rlike(pattern) & (F.col("koubeicount") > 0)).select(F.col("specid").alias("spec_id"), F.col("specname").alias("name"), F.col("koubeicount").alias("reviews"))

@@ -7,13 +7,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.functions import classify, html, parse
+from specloom.functions import classify, dom, parse
 from specloom.operators.firsts import first_rows
 
 #: Fixed values. Labels of a listing page and the columns they fill.
-LISTING_LABELS = {"Marka": "make", "Model": "model", "Buraxılış ili": "year", "Yürüş": "mileage_km", "Mühərrik": "engine_raw", "Sürətlər qutusu": "gearbox", "Ötürücü": "drive", "Ban növü": "body", "Hansı bazar üçün yığılıb": "market"}
+LISTING_LABELS = {
+    "Şəhər": "city", "Marka": "make", "Model": "model", "Buraxılış ili": "year", "Ban növü": "body", "Rəng": "color", "Mühərrik": "engine_raw", "Yürüş": "mileage_raw",
+    "Sürətlər qutusu": "gearbox", "Ötürücü": "drive", "Yeni": "is_new", "Vəziyyəti": "condition", "Hansı bazar üçün yığılıb": "market",
+}
+#: Fixed values. The class of a listing's properties; what a listing that is gone says.
+LISTING_ITEM, GONE = "product-properties__i", "объявление удалено"
+#: Fixed values. What values of a listing are called.
+FUEL = {"Benzin": "Бензин", "Dizel": "Дизель", "Hibrid": "Гибрид", "Plug-in Hibrid": "Plug-in гибрид (PHEV)", "Elektro": "Электро", "Qaz": "Газ"}
+GEARBOX = {"Avtomat": "Автомат", "Mexaniki": "Механика", "Robotlaşdırılmış": "Робот", "Variator": "Вариатор/E-CVT", "Reduktor": "Редуктор"}
+DRIVE = {"Ön": "Передний", "Arxa": "Задний", "Tam": "Полный"}
+MARKET = {"Çin": "Китай", "Amerika": "США", "Avropa": "Европа", "Koreya": "Корея", "Yaponiya": "Япония", "Rəsmi diler": "Официальный дилер", "Rusiya": "Россия", "BƏƏ": "ОАЭ", "Digər": "Другое"}
 #: Fixed values. Words of recall titles.
-RECALL, MOTORCYCLE, COMMERCIAL = "召回", "摩托车", "商用车|客车|货车"
+RECALL, MOTORCYCLE = "召回", "摩托车"
+COMMERCIAL = ("货车", "客车", "运输车", "自卸", "商用车", "牵引车", "专用车", "挂车")
+#: Fixed values. Elements that hold the text of a recall, in this order; its number.
+BODIES = (
+    ("div", "class", "article"), ("div", "id", "content"), ("div", "class", "content"), ("div", "class", "view"),
+    ("div", "class", "TRS_Editor"), ("div", "class", "trs_editor_view"), ("div", "id", "zoom"), ("div", "class", "article-content"),
+)
+RECALL_NUMBER = "召回编号[:：]?\\s*([A-Z0-9]+)"
 
 
 def listings(pages: DataFrame) -> DataFrame:
@@ -21,15 +38,22 @@ def listings(pages: DataFrame) -> DataFrame:
 
     Pages that failed keep their error and have null fields.
     """
-    rows = pages.select("url", F.coalesce("error", F.when(F.col("status") == 404, "404")).alias("error"), "html", html.page_fields(F.col("html")).alias("f"))
-    label = lambda name: F.try_element_at("f.labels", F.lit(name))
-    columns = {column: label(name) for name, column in LISTING_LABELS.items()}
-    columns["year"], columns["mileage_km"] = parse.digits_only(columns["year"]), parse.digits_only(columns["mileage_km"])
-    body = html.tags_stripped(F.col("html"))
-    rows = rows.select("url", "error", F.col("f.title").alias("title"), *[c.alias(n) for n, c in columns.items()], parse.price(F.col("f.title"), body).alias("p"))
+    rows = pages.select("url", F.coalesce("error", F.when(F.col("status") == 404, GONE)).alias("error"), dom.listing(F.col("html"), LISTING_LABELS, LISTING_ITEM).alias("f"))
+    named = lambda column: F.try_element_at("f.values", F.lit(column))
+    columns = {
+        "title": F.coalesce("f.h1", "f.title"),
+        "city": named("city"), "make": named("make"), "model": named("model"),
+        "year": F.when(named("year").rlike(r"^\d+$"), named("year").try_cast("int")),
+        "body": named("body"), "color": named("color"), "engine_raw": named("engine_raw"),
+        "mileage_km": parse.digits_only(named("mileage_raw")),
+        "gearbox": classify.looked_up(named("gearbox"), GEARBOX), "drive": classify.looked_up(named("drive"), DRIVE),
+        "is_new": named("is_new"), "condition": named("condition"), "market": classify.looked_up(named("market"), MARKET),
+        "p": parse.price(F.col("f.title"), F.col("f.text")),
+    }
+    rows = rows.select("url", "error", *[c.alias(n) for n, c in columns.items()])
     rows = rows.select("*", parse.composite(F.col("engine_raw")).alias("e"), F.col("p.amount").alias("price"), F.col("p.currency").alias("currency"))
     azn = parse.to_azn(F.col("price"), F.col("currency"))
-    return rows.select(*[c for c in rows.columns if c not in ("p", "e")], "e.engine_l", "e.battery_kwh", "e.hp", "e.fuel", azn.alias("price_azn"), parse.under_budget(azn).alias("under_budget"))
+    return rows.select(*[c for c in rows.columns if c not in ("p", "e")], "e.engine_l", "e.battery_kwh", "e.hp", classify.looked_up(F.col("e.fuel"), FUEL).alias("fuel"), azn.alias("price_azn"), parse.under_budget(azn).alias("under_budget"))
 
 
 def listing_order(rows: DataFrame) -> DataFrame:
@@ -38,30 +62,47 @@ def listing_order(rows: DataFrame) -> DataFrame:
 
 
 def recall_links(pages: DataFrame, path: str = "/zhdt/art/") -> DataFrame:
-    """(url, title, page): links of list pages that lead to recalls, each URL once, the first page's title."""
-    found = pages.where("html is not null").select("url", F.posexplode(html.page_fields(F.col("html"))["links"]).alias("pos", "l"))
-    kept = found.where(F.contains("l.href", F.lit(path)) & F.contains("l.text", F.lit(RECALL)))
-    return first_rows(kept.select(F.col("l.href").alias("href"), F.col("l.text").alias("title"), F.col("url").alias("page"), "pos"), ["href"], ["page", "pos"]).drop("pos")
+    """(href, title, list_date, page): links of list pages that lead to recalls, joined to the page's address.
+
+    Each address once, with what its first link says.
+    """
+    found = pages.where("html is not null").select("url", F.posexplode(dom.links(F.col("html"), F.col("url"))).alias("pos", "l"))
+    kept = found.where(F.contains("l.url", F.lit(path)) & F.contains("l.text", F.lit(RECALL)))
+    return first_rows(kept.select(F.col("l.url").alias("href"), F.col("l.text").alias("title"), F.col("l.date").alias("list_date"), F.col("url").alias("page"), "pos"), ["href"], ["page", "pos"]).drop("pos")
+
+
+def classified_recalls(links: DataFrame, brands: Mapping[str, str], prefixes: Sequence[str] = ()) -> DataFrame:
+    """``links`` with brands, origin, motorcycle and commercial, by the title's words; ``prefixes`` are taken out first."""
+    title = F.col("title")
+    named = classify.contained(classify.without(title, prefixes), brands)
+    commercial = F.exists(F.array(*[F.lit(m) for m in COMMERCIAL]), lambda m: F.contains(title, m))
+    return links.select("*", named.alias("brands"), classify.origin(title).alias("origin"), F.contains(title, F.lit(MOTORCYCLE)).alias("motorcycle"), commercial.alias("commercial"))
 
 
 def wanted_recalls(links: DataFrame, brands: Mapping[str, str], prefixes: Sequence[str] = (), commercial: bool = False) -> DataFrame:
-    """Recalls of known brands with brands and origin, without motorcycles and (unless asked for) commercial vehicles.
+    """Recalls of known brands, without motorcycles and (unless asked for) commercial vehicles.
 
     This stands before the pages are fetched, so that only these are.
     """
-    rows = links.where(~F.contains("title", F.lit(MOTORCYCLE)))
-    rows = rows if commercial else rows.where(~F.col("title").rlike(COMMERCIAL))
-    named = classify.contained(classify.without(F.col("title"), prefixes), brands)
-    return rows.select("*", named.alias("brands"), classify.origin(F.col("title")).alias("origin")).where(F.size("brands") > 0)
+    rows = classified_recalls(links, brands, prefixes).where(~F.col("motorcycle") & (F.size("brands") > 0))
+    return rows if commercial else rows.where(~F.col("commercial"))
 
 
 def recalls(links: DataFrame, details: DataFrame) -> DataFrame:
-    """Recalls with their detail pages (url, html, error): body, units affected; newest first, undated last."""
-    d = details.select(F.col("url").alias("href"), F.col("error").alias("detail_error"), html.page_fields(F.col("html")).alias("f"), html.tags_stripped(F.col("html")).alias("all"))
+    """Recalls with their detail pages (url, html, error): dates, source, keywords, numbers, units, body."""
+    d = details.select(F.col("url").alias("href"), F.col("error").alias("detail_error"), dom.detail(F.col("html"), BODIES).alias("f"))
     rows = links.join(d, "href", "left")
-    date = F.coalesce(parse.first_date(F.col("all")), F.lit(""))
-    rows = rows.select(*links.columns, "detail_error", date.alias("pub_date"), html.body_text(F.col("f")).alias("body"), parse.units_sum(F.col("all")).alias("affected_units_total"))
-    return rows.orderBy(F.desc("pub_date"), "href")
+    meta = lambda name: F.try_element_at("f.meta", F.lit(name))
+    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("f.text", F.lit(f"(?U){RECALL_NUMBER}"), F.lit(1))))
+    return rows.select(
+        *links.columns, "detail_error", F.coalesce(meta("PubDate"), meta("MakeTime")).alias("pub_date"), meta("ContentSource").alias("content_source"), meta("Keywords").alias("keywords"),
+        numbers.alias("recall_numbers"), parse.units_sum(F.col("f.text")).alias("affected_units_total"), F.coalesce("f.body", meta("Description"), F.lit("")).alias("body"),
+    )
+
+
+def recall_order(rows: DataFrame) -> DataFrame:
+    """Recalls by the page's date, else the list's, as text, the latest first; undated ones at the end."""
+    return rows.orderBy(F.desc(F.coalesce(F.nullif("pub_date", F.lit("")), F.nullif("list_date", F.lit("")), F.lit(""))), "href")
 
 
 def base_record(spec: Column) -> list[Column]:
@@ -81,7 +122,7 @@ def base_record(spec: Column) -> list[Column]:
         classify.first_containing(g("底盘转向/驱动方式"), classify.DRIVE).alias("drive"),
         charging(number("电池/快充时间(小时)"), number("电池/慢充时间(小时)"), g("电池/充电方式")).alias("charging"),
         F.struct(*[size[i].cast("int").alias(n) for i, n in enumerate(("length", "width", "height"))]).alias("dimensions_mm"),
-        parse.first_number(parse.last_part(g("基本参数/油耗(L/100km)"))).alias("fuel_l_100km"),
+        miit_fuel(g("基本参数/油耗(L/100km)")).alias("fuel_l_100km"),
     ]
 
 
@@ -89,3 +130,13 @@ def charging(fast_h: Column, slow_h: Column, mode: Column) -> Column:
     """Charging times, and whether direct current is supported: known by a time or by what the mode names, else null."""
     fast = F.coalesce(fast_h != 0, F.lit(False)) | F.coalesce(mode.contains("快充"), F.lit(False))
     return F.struct(F.when(fast, True).when(mode == "慢充", False).alias("dc_supported"), F.nullif(fast_h, F.lit(0.0)).alias("dc_to_80_h"), F.nullif(slow_h, F.lit(0.0)).alias("ac_full_h"))
+
+
+#: Fixed values. What the last of several consumption figures is.
+FUEL_CYCLE = "工信部综合 (с учётом электро)"
+
+
+def miit_fuel(text: Column) -> Column:
+    """The last of the figures given side by side, with the cycle it stands for; null without a number."""
+    value = parse.first_number(parse.last_part(text))
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(FUEL_CYCLE).alias("cycle")))

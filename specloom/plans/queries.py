@@ -123,30 +123,36 @@ def first_number(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", parse.first_number(F.col("p_brand")).alias("brand_number"), parse.first_number(F.col("p_name")).alias("name_number"), parse.digits_only(F.col("p_brand")).alias("digits"))
 
 
-@registered("SELECT p_partkey, CAST(round_even(p_size::DOUBLE * 1.35962::DOUBLE, 0) AS INTEGER) AS hp, CASE WHEN p_size > 25 THEN CAST(round_even((p_size - 26)::DOUBLE * 1.35962::DOUBLE, 0) AS INTEGER) END AS none FROM part WHERE p_size <> 26")
+@registered("SELECT p_partkey, CAST(round_even(p_size::DOUBLE * 1.35962::DOUBLE, 0) AS INTEGER) AS hp, CASE WHEN p_size > 26 THEN CAST(round_even((p_size - 26)::DOUBLE * 1.35962::DOUBLE, 0) AS INTEGER) END AS none FROM part")
 def hp_convert(t: Tables) -> DataFrame:
     """Kilowatts to metric horsepower, halves to even; zero and null give null."""
-    return t.part.where("p_size <> 26").select("p_partkey", parse.metric_hp(F.col("p_size")).alias("hp"), parse.metric_hp(F.greatest(F.col("p_size") - 26, F.when(F.col("p_size") > 25, F.lit(0)))).alias("raw"), "p_size").select(
+    return t.part.select("p_partkey", parse.metric_hp(F.col("p_size")).alias("hp"), parse.metric_hp(F.greatest(F.col("p_size") - 26, F.when(F.col("p_size") > 25, F.lit(0)))).alias("raw"), "p_size").select(
         "p_partkey", "hp", F.when(F.col("p_size") > 25, F.col("raw")).alias("none")
     )
 
 
 @registered("""
-    SELECT o_orderkey, currency, azn, coalesce(azn <= 44000, false) AS under_budget FROM (
-      SELECT o_orderkey, currency, CAST(round_even(floor(o_totalprice / 10)::DOUBLE * CASE currency WHEN 'USD' THEN 1.70::DOUBLE WHEN 'EUR' THEN 1.95::DOUBLE ELSE 1.0::DOUBLE END, 0) AS INTEGER) AS azn
-      FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'EUR' ELSE 'XXX' END AS currency FROM orders))""")
+    SELECT o_orderkey, amount, currency, azn, coalesce(azn <= 44000, false) AS under_budget FROM (
+      SELECT o_orderkey, currency, amount, CAST(round_even(amount::DOUBLE * CASE currency WHEN 'USD' THEN 1.70::DOUBLE WHEN 'EUR' THEN 1.95::DOUBLE ELSE 1.0::DOUBLE END, 0) AS INTEGER) AS azn
+      FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 10) AS INTEGER) WHEN o_orderkey % 2 = 0 THEN 0 END AS amount, CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'EUR' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'AZN' END END AS currency FROM orders))""")
 def price_convert_flag(t: Tables) -> DataFrame:
-    """Prices in one currency (unknown ones count as it), and whether they fit the budget."""
-    currency = F.when(F.col("o_orderstatus") == "F", "USD").when(F.col("o_orderstatus") == "O", "EUR").otherwise("XXX")
-    azn = parse.to_azn(F.floor(F.col("o_totalprice") / 10), currency)
-    return t.orders.select("o_orderkey", currency.alias("currency"), azn.alias("azn"), parse.under_budget(azn).alias("under_budget"))
+    """Prices out of titles, else out of pages, in one currency, and whether they fit the budget; zero is a price."""
+    shown = F.replace(F.format_number(F.floor(F.col("o_totalprice") / 10), 0), F.lit(","), F.lit(" "))
+    title = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Model 7, qiyməti  "), shown, F.lit(" usd, 5 000 AZN"))).when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0), F.lit("Qiyməti 0 AZN"))
+    body = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("year 12 costs "), shown, F.lit(" € or 999 999 ₼"))).otherwise("12$")
+    rows = t.orders.select("o_orderkey", parse.price(title, body).alias("p")).select("o_orderkey", "p.*")
+    azn = parse.to_azn(F.col("amount"), F.col("currency"))
+    return rows.select("o_orderkey", "amount", "currency", azn.alias("azn"), parse.under_budget(azn).alias("under_budget"))
 
 
 @registered("""
-    SELECT doc_id, nullif(CAST(list_sum(list_transform(regexp_extract_all(text, '([a-z]+) (\\d{1,6})', 2), lambda x: CAST(x AS DOUBLE))) AS BIGINT), 0) AS units FROM documents""")
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CAST(floor(o_totalprice) AS BIGINT) + o_custkey * 10000 WHEN 'O' THEN nullif(o_custkey % 100, 0) + 12000 END AS units FROM orders""")
 def units_sum_in_text(t: Tables) -> DataFrame:
-    """The sum of all counts that follow a word in a text; none gives null."""
-    return t.documents.select("doc_id", parse.units_sum(F.col("text"), r"[a-z]+ (\d{1,6})()").alias("units"))
+    """The sum of all counts of units in a text, ten-thousands multiplied out; none gives null."""
+    first = F.concat(F.lit("召回车辆共计 约 "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" 余 辆，其中涉及"), F.col("o_custkey").cast("string"), F.lit(" 万 余 台，2019 年起。"))
+    other = F.concat(F.lit("涉及车辆"), F.nullif(F.col("o_custkey") % 100, F.lit(0)).cast("string"), F.lit("辆 合计约1.2万辆 共....辆"))
+    text_of = F.when(F.col("o_orderstatus") == "F", first).when(F.col("o_orderstatus") == "O", other).otherwise("共 5 人")
+    return t.orders.select("o_orderkey", parse.units_sum(text_of).alias("units"))
 
 
 WORDS = {"thea": "alpha", "ound": "beta", "tion": "gamma", "eau": "delta", "schaft": "epsilon", "ción": "zeta"}
@@ -202,14 +208,15 @@ def best_match_by_position(t: Tables) -> DataFrame:
 
 @registered("""
     SELECT e.event_id, n.n_nationkey AS k, y.year FROM events e JOIN nation n ON e.event_id % 25 = n.n_nationkey JOIN (SELECT unnest(range(2018, 2027)) AS year) y
-    ON y.year BETWEEN 2018 + e.event_id % 5 AND 2018 + e.event_id % 5 + e.event_id % 3 OR y.year = 2020 + e.user_id % 7""")
+    ON CASE WHEN e.event_id % 11 = 0 THEN y.year % 2 = n.n_nationkey % 2 ELSE y.year BETWEEN 2018 + e.event_id % 5 AND 2018 + e.event_id % 5 + e.event_id % 3 OR y.year = 2020 + e.user_id % 7 END""")
 def year_range_bind(t: Tables) -> DataFrame:
     """Reports whose car text names years and ranges of years, bound to the configurations of these years."""
     a = 2018 + F.col("event_id") % 5
     car = F.concat(F.lit("car "), a.cast("string"), F.lit(" – "), (a + F.col("event_id") % 3).cast("string"), F.lit(" or "), (2020 + F.col("user_id") % 7).cast("string"))
     rows = t.events.select((F.col("event_id") % 25).alias("key"), F.col("event_id").alias("pos"), car.alias("review_car"))
     groups = t.nation.select(F.col("n_nationkey").cast("long").alias("key"), F.explode(F.sequence(F.lit(2018), F.lit(2026))).alias("year"))
-    return issues.bound(rows, groups).select(F.col("pos").alias("event_id"), F.col("key").cast("int").alias("k"), F.col("year").cast("long").alias("year"))
+    rule = F.when(F.col("pos") % 11 == 0, F.col("year") % 2 == F.col("key") % 2)
+    return issues.bound(rows, groups, rule).select(F.col("pos").alias("event_id"), F.col("key").cast("int").alias("k"), F.col("year").cast("long").alias("year"))
 
 
 @registered("""
@@ -359,21 +366,28 @@ def html_extract(t: Tables) -> DataFrame:
     return rows.select("page_id", "f.title", "f.h1", F.size("f.links").cast("long").alias("links"))
 
 
-CATEGORIES = {"a noise": r"\b\w*ound\w*\b", "b cold": r"\bthe \w{9,}\b", "c road": r"\bque \w+\b"}
+CATEGORIES = {"a noise": "[a-z]*ound[a-z]*", "b cold": "the [a-z]{9,}", "c road": "que [a-z]+"}
+NEGATION = "not|pas"
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS category, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM documents WHERE text IS NOT NULL" for k, p in CATEGORIES.items())
 
 
-@registered()
+@registered(f"""
+    WITH found AS ({_MATCHES}),
+         places AS (SELECT doc_id, category, text, list_transform(range(1, len(m) + 1), lambda i: {{'at': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i])}}) AS w FROM found WHERE len(m) > 0),
+         windows AS (SELECT doc_id, category, list_transform(w, lambda x: [substr(text, CAST(greatest(x.at - 45, 0) + 1 AS BIGINT), CAST(x.at + x.n + 45 - greatest(x.at - 45, 0) AS BIGINT))]) AS w FROM places),
+         kept AS (SELECT doc_id, category, list_reduce(w, lambda k, x: CASE WHEN regexp_matches(x[1], '{NEGATION}') OR len(list_filter(k, lambda y: contains(y, x[1][21:60]))) > 0 THEN k ELSE list_concat(k, x) END, CAST([] AS VARCHAR[])) AS k FROM windows)
+    SELECT doc_id, category, CAST(i - 1 AS INTEGER) AS place, k[i] AS snippet FROM kept, unnest(range(1, least(len(k), 2) + 1)) u(i)""")
 def review_categories(t: Tables) -> DataFrame:
     """Complaints by category with the letters around them, without negated and repeated ones: two to a review."""
-    found = reviews.complaints(t.documents, "doc_id", "text", CATEGORIES, negation=r"\bnot\b|\bpas\b")
+    found = reviews.complaints(t.documents, "doc_id", "text", CATEGORIES, negation=NEGATION)
     return reviews.top_snippets(found, "doc_id")
 
 
 @registered("""
-    SELECT conv_id, turn, role, length(text) AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations WHERE NOT contains(text, chr(10) || '== ') AND NOT contains(text, chr(10) || '  [')""")
+    SELECT conv_id, turn, role, length(text) AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations""")
 def text_blocks(t: Tables) -> DataFrame:
     """Turns written as delimited blocks and read back as columns."""
-    rows = t.conversations.where(~F.col("text").contains("\n== ") & ~F.col("text").contains("\n  ["))
+    rows = t.conversations
     block = F.concat(F.lit("== "), F.col("conv_id").cast("string"), F.lit(" | "), "role", F.lit(" | post "), F.col("turn").cast("string"), F.lit(" | own 1 | 2\n  [text] "), F.replace("text", F.lit("\n"), F.lit(" ")))
     back = reviews.blocks(rows.select(block.alias("value")))
     cells = back.select(F.col("url").cast("long").alias("conv_id"), F.col("posted").cast("long").alias("turn"), F.col("spec").alias("role"), F.length(F.col("sections")[0]["text"]).cast("long").alias("n"))
@@ -407,12 +421,12 @@ def slugs(t: Tables) -> DataFrame:
 
 
 @registered("""
-    SELECT p_partkey, lower(p_type) || '_' || replace(lower(p_brand), ' ', '') || CASE WHEN p_size > 10 THEN '_' || printf('%.1f', p_size * 100 / 1000.0) || CASE WHEN contains(p_name, 'red') THEN 't' ELSE '' END ELSE '' END AS engine_id,
+    SELECT p_partkey, lower(p_type) || '_' || replace(lower(p_brand), ' ', '') || coalesce('_' || CASE WHEN p_size > 10 THEN printf('%.1f', p_size * 100 / 1000.0) WHEN regexp_matches(p_brand, '472|473|469|15') THEN '1.5' WHEN regexp_matches(p_brand, '486|484|20') THEN '2.0' END || CASE WHEN contains(p_name, 'red') THEN 't' ELSE '' END, '') AS engine_id,
            CASE WHEN p_size % 5 > 0 AND contains(p_name, 'bolt') THEN lower(p_type) || '_phev_' || lower(p_brand) || '_m' || p_size % 5 || CASE WHEN p_size % 4 > 0 THEN '-' || p_size % 4 ELSE '' END END AS fingerprint
-    FROM part WHERE NOT regexp_matches(p_brand, '472|473|469|15|486|484|20')""")
+    FROM part""")
 def component_ids(t: Tables) -> DataFrame:
     """Engine ids and hybrid fingerprints; the latter only where every part is known."""
-    rows = t.part.where(~F.col("p_brand").rlike("472|473|469|15|486|484|20"))
+    rows = t.part
     kw = F.array(F.col("p_size") % 5, F.col("p_size") % 4)
     cc, code = F.when(F.col("p_size") > 10, F.col("p_size") * 100), F.lower("p_brand")
     gearbox = F.when(F.col("p_name").contains("bolt"), F.lit("E-CVT"))
@@ -421,13 +435,17 @@ def component_ids(t: Tables) -> DataFrame:
 
 
 @registered("""
-    SELECT CASE WHEN s.k IS NULL THEN c.c_nationkey ELSE s.k END AS k, CASE WHEN c.c_nationkey IS NULL THEN s.name ELSE c.name END AS name, coalesce(s.issues, c.issues) AS issues
+    SELECT CASE WHEN s.k IS NULL THEN c.c_nationkey ELSE s.k END AS k, CASE WHEN c.c_nationkey IS NULL THEN s.name ELSE c.name END AS name, coalesce(s.issues, c.issues) AS issues,
+           'a=' || CASE WHEN c.name IS NULL THEN 'old' ELSE c.name END || coalesce(';b=' || s.name, '') AS sources
     FROM (SELECT c_nationkey, min(c_name) AS name, count(*) AS issues FROM customer WHERE c_nationkey < 15 GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, min(s_name) AS name, count(*) AS issues FROM supplier WHERE s_nationkey > 5 GROUP BY 1) s ON s.k = c.c_nationkey""")
 def component_upsert(t: Tables) -> DataFrame:
     """Rebuilt components over old ones: what is kept stays, components without users are untouched."""
     new = t.customer.where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_name").alias("name"), F.count("*").alias("issues"))
     old = t.supplier.where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("name"), F.count("*").alias("issues"))
-    return components.upserted(old, new, ["k"], ["issues"], [])
+    new = new.withColumn("sources", F.create_map(F.lit("a"), "name"))
+    old = old.withColumn("sources", F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.col("name")))
+    out = components.upserted(old, new, ["k"], ["issues"], ["sources"])
+    return out.withColumn("sources", F.array_join(F.transform(F.array_sort(F.map_keys("sources")), lambda k: F.concat(k, F.lit("="), F.element_at("sources", k))), ";"))
 
 
 @registered("""

@@ -1,15 +1,15 @@
 from pyspark.sql import functions as F
 from specloom.plans import catalogue
 
-LISTING = """<html><head><title>Zeekr 7X, qiyməti 45 000 AZN</title></head><body><dl><dt>Marka<dd>Zeekr<dt>Buraxılış ili<dd>2024 il<dt>Yürüş<dd>12 000 km
+LISTING = """<html><head><title>Zeekr 7X, qiyməti 45 000 AZN</title></head><body><dl><dt>Marka<dd>Zeekr<dt>Buraxılış ili<dd>2024<dt>Yürüş<dd>12 000 km
 <dt>Mühərrik<dd>1.5 L / 18.3 kWh / 331 a.g. / Hibrid</dl></body></html>"""
 
 
 def test_listings_and_their_order(spark):
     pages = [("u1", 200, LISTING, None), ("u2", 200, LISTING.replace("45 000", "30 000"), None), ("u3", 404, None, None), ("u4", None, None, "late"), ("u5", 200, "<title>no price</title>", None)]
     out = catalogue.listing_order(catalogue.listings(spark.createDataFrame(pages, "url string, status int, html string, error string"))).collect()
-    assert [(r.url, r.price_azn, r.under_budget, r.error) for r in out] == [("u2", 30000, True, None), ("u1", 45000, False, None), ("u5", None, False, None), ("u3", None, False, "404"), ("u4", None, False, "late")]
-    assert (out[0].make, out[0].year, out[0].mileage_km, out[0].engine_l, out[0].hp, out[0].fuel) == ("Zeekr", 2024, 12000, 1.5, 331, "Hibrid")
+    assert [(r.url, r.price_azn, r.under_budget, r.error) for r in out] == [("u2", 30000, True, None), ("u1", 45000, False, None), ("u5", None, False, None), ("u3", None, False, "объявление удалено"), ("u4", None, False, "late")]
+    assert (out[0].make, out[0].year, out[0].mileage_km, out[0].engine_l, out[0].hp, out[0].fuel) == ("Zeekr", 2024, 12000, 1.5, 331, "Гибрид")
 
 
 def test_recalls(spark):
@@ -18,8 +18,9 @@ def test_recalls(spark):
     assert links.count() == 3
     wanted = catalogue.wanted_recalls(links, {"大众": "VW"}, ("一汽",))
     assert [(r.href, r.brands, r.origin) for r in wanted.collect()] == [("/zhdt/art/1", ["VW"], "import")]
-    details = spark.createDataFrame([("/zhdt/art/1", "<p>2026-09-18</p><p>涉及车辆共计1,200辆</p>", None)], "url string, html string, error string")
+    details = spark.createDataFrame([("/zhdt/art/1", '<meta name="PubDate" content="2026-09-18"><p>涉及车辆 共计 约 1,200 余 辆 召回编号：M2026A</p>', None)], "url string, html string, error string")
     r = catalogue.recalls(wanted, details).first()
+    assert r.recall_numbers == ["M2026A"]
     assert (r.pub_date, r.affected_units_total, r.detail_error) == ("2026-09-18", 1200, None)
 
 
@@ -28,5 +29,5 @@ def test_records_from_specifications(spark):
     r = spark.createDataFrame([(spec,), ({},)], "s map<string,string>").select(*catalogue.base_record(F.col("s"))).collect()
     a = r[0]
     assert (a.powertrain_type, a.engine.power_hp, a.engine.aspiration, a.motor.power_hp, a.motor.axle, a.battery.chemistry, a.drive) == ("PHEV_series_parallel", 110, "NA", 197, "front", "LFP", "FWD")
-    assert (a.charging.dc_supported, tuple(a.dimensions_mm), a.fuel_l_100km) == (False, (4780, 1837, 1495), 3.8)
+    assert (a.charging.dc_supported, tuple(a.dimensions_mm), a.fuel_l_100km.value) == (False, (4780, 1837, 1495), 3.8)
     assert r[1].engine is None and r[1].battery is None and r[1].charging.dc_supported is None
