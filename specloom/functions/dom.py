@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _ENDED_BY = {k: frozenset(v.split()) for k, v in _ENDS.items()}
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SILENT = ("script", "style")
 _DATE = re.compile(r"(20\d{2}-\d{2}-\d{2})")
 
@@ -74,7 +75,7 @@ class _Builder(HTMLParser):
         self.root = self.at = Element("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _ENDED_BY and self.at.tag in _ENDED_BY[tag]:
+        if self.at.tag in _ENDED_BY.get(tag, ()) or (tag in _BLOCKS and self.at.tag == "p"):
             self.at = self.at.parent
         e = Element(tag, dict(attrs), self.at)
         self.at.children.append(e)

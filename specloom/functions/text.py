@@ -70,3 +70,10 @@ def urljoin(base: str, link: pd.Series) -> pd.Series:
     from urllib.parse import urljoin as join
 
     return link.map(lambda x: None if x is None else join(base, x))
+
+
+def replaced_patterns(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Regular expressions replaced one after the other, in the given order; groups are ``$1``."""
+    for pattern, new in pairs:
+        text = F.regexp_replace(text, pattern, new)
+    return text

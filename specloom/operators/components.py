@@ -101,3 +101,57 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str] = ("kind", "id")
     for s in same[1:]:
         condition = condition & s
     return new.alias("n").join(old.alias("o"), condition, "full").select(*out)
+
+
+#: Fixed values. Brands told by a model's name, in this order.
+MODEL_BRANDS = (("byd", "byd"), ("changan", "changan"), ("deepal", "changan"), ("lynk", "lynk"), ("zeekr", "zeekr"), ("toyota", "toyota"))
+
+
+def model_brand(model: Column) -> Column:
+    """The brand that a model's name holds first in the order of MODEL_BRANDS, else ``other``."""
+    out, name = None, F.lower(F.coalesce(model, F.lit("")))
+    for part, brand_name in MODEL_BRANDS:
+        out = (F if out is None else out).when(name.contains(part), F.lit(brand_name))
+    return out.otherwise("other")
+
+
+def motor_powers(front: Column, rear: Column, total: Column) -> Column:
+    """The powers that a fingerprint names: those of the axles that have one, else the total."""
+    axles = F.filter(F.array(front, rear), lambda x: x.isNotNull() & (x != 0))
+    return F.when(F.size(axles) > 0, axles).when(total.isNotNull() & (total != 0), F.array(total)).otherwise(F.array().cast("array<double>"))
+
+
+def with_components(rows: DataFrame, rules: dict[str, Sequence[tuple[Column, Column, Column]]]) -> DataFrame:
+    """``rows`` with ``components`` (kind to id) and ``components_null_reason`` (kind to reason, null if there is none).
+
+    ``rules`` has for each kind (condition, id, reason) in order of precedence; the first that holds decides. They are
+    data of the caller; no join and no shuffle.
+    """
+    found = rows.select("*", *[assigned(r).alias(f"_r_{kind}") for kind, r in rules.items()])
+    ids = F.create_map(*[x for kind in rules for x in (F.lit(kind), F.col(f"_r_{kind}.id"))])
+    reasons = F.create_map(*[x for kind in rules for x in (F.lit(kind), F.when(F.col(f"_r_{kind}.id").isNull(), F.col(f"_r_{kind}.reason")))])
+    why = F.map_filter(reasons, lambda k, v: v.isNotNull())
+    return found.select(*rows.columns, ids.alias("components"), F.when(F.size(why) > 0, why).alias("components_null_reason"))
+
+
+def null_census(records: DataFrame) -> DataFrame:
+    """(kind, reason, records): why components are missing, by kind."""
+    rows = records.select("slug", F.explode("components").alias("kind", "id"), F.col("components_null_reason").alias("why")).where("id is null")
+    return rows.groupBy("kind", F.coalesce(F.try_element_at("why", F.col("kind")), F.lit("")).alias("reason")).agg(F.count("*").alias("records"))
+
+
+def families(linked: DataFrame) -> DataFrame:
+    """(kind, id, families, records): the sorted families of each component's records."""
+    return linked.groupBy("kind", "id").agg(F.sort_array(F.collect_set(family(F.col("slug")))).alias("families"), F.count("*").alias("records"))
+
+
+def label(kind: Column, codes: Column, marketing_name: Column, name: Column, own_id: Column) -> Column:
+    """What a component is called: an engine by its first code, others by their marketing name or name, else the id."""
+    text = lambda c: F.nullif(c, F.lit(""))
+    return F.when(kind == "engine", F.coalesce(F.try_element_at(codes, F.lit(1)), own_id)).otherwise(F.coalesce(text(marketing_name), text(name), own_id))
+
+
+def batteries(linked: DataFrame, records: DataFrame, battery: str = "battery_kwh", first_seen: Sequence[str] = ()) -> DataFrame:
+    """Per component the sorted distinct batteries of its records and, of other columns, the first record's by slug."""
+    rows = linked.join(records.select("slug", battery, *first_seen), "slug")
+    return rows.groupBy("kind", "id").agg(F.sort_array(F.collect_set(battery)).alias("batteries"), *[F.min_by(c, "slug").alias(c) for c in first_seen])

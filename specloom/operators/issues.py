@@ -83,3 +83,15 @@ def inherited(own: DataFrame, linked: DataFrame, shared: DataFrame, labels: Data
     origin = F.concat(F.element_at(called, F.col("kind")), F.lit(" "), F.col("label"), F.lit(", отзыв по "), by, F.when(here, F.lit(" (эта модель)")).otherwise(""))
     theirs = rows.select("slug", "text", "source", F.element_at(order, F.col("kind")).alias("rank"), "pos", F.col("id").alias("component"), origin.alias("origin"), here.alias("own_model"))
     return first_rows(mine.union(theirs), ["slug", "source", "text"], ["rank", "pos"])
+
+
+def merged_where_none(records: DataFrame, keys: DataFrame, raw: DataFrame) -> DataFrame:
+    """``records`` (slug, known_issues) without issues take those of their key: (slug, key) and raw issues (key, issues).
+
+    Records with issues, without a key or whose key has none stay as they are.
+    """
+    issue = F.struct(F.col("text"), F.col("source"), F.col("more_sources"), F.col("review_car"))
+    found = from_reviews(raw).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", issue.alias("i")))), lambda x: x["i"]).alias("_new"))
+    rows = records.join(keys.select("slug", F.col("key").alias("_key")), "slug", "left").join(found, F.col("_key") == F.col("key"), "left")
+    none = F.col("known_issues").isNull() | (F.size("known_issues") == 0)
+    return rows.select(*[F.when(none & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(c)).alias(c) if c == "known_issues" else F.col(c) for c in records.columns])

@@ -70,3 +70,55 @@ def replaced_between(text: Column, name: str, new: Column) -> Column:
     head, tail = F.substring_index(text, start, 1), F.element_at(F.split(text, f"\\Q{stop}\\E", 2), -1)
     whole = F.concat(head, F.lit(start + "\n"), new, F.lit("\n" + stop), tail)
     return F.when(text.contains(start) & text.contains(stop), whole).otherwise(F.raise_error(F.lit(f"marker {name} is missing")))
+
+
+def write_json_array(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """One text row holding the table as an indented JSON array, characters unescaped: a report, its rows bounded by the caller.
+
+    Rows are put in ``order`` within the array; the array is one value, so this is for small results only.
+    """
+    sort = F.struct(*(order or [F.lit(0)])).alias("_o")
+    packed = F.array_sort(F.collect_list(F.struct(sort, F.struct(*df.columns).alias("_r"))))
+    rows = df.agg(F.to_json(F.transform(packed, lambda x: x["_r"]), {"pretty": "true"}).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def write_sorted_json(df: DataFrame, path: str, key: str = "key") -> None:
+    """One JSON object a line, in order of ``key`` over all files, keys of each object sorted, lines ended."""
+    fields = sorted(c for c in df.columns)
+    df.repartitionByRange(key).sortWithinPartitions(key).select(F.to_json(F.struct(*fields)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Writes JSON; fails if there is anything at ``path``."""
+    df.write.mode("errorifexists").json(path)
+
+
+def in_field_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Columns in the stated order, those it does not name after them as they come."""
+    return df.select(*[c for c in order if c in df.columns], *[c for c in df.columns if c not in order])
+
+
+def write_listings_csv(df: DataFrame, path: str, names: dict[str, str], flag: str = "under_budget", error: str = "error") -> None:
+    """``names`` (column to heading) of listings as CSV: the flag as a word, failed rows marked in its place."""
+    mark = F.when(F.col(error).isNotNull(), "ОШИБКА").otherwise(flagged(F.col(flag)))
+    write_csv(df.select(*[(mark if c == flag else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(h) for c, h in names.items()]), path)
+
+
+def key_list(spark: SparkSession, path: str) -> DataFrame:
+    """(slug): the words of text files, each once."""
+    return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("slug")).where("slug <> ''").distinct()
+
+
+def models_of(pages: DataFrame) -> DataFrame:
+    """(url, pos, model_id, name) of brand pages (url, html): each model once, in page order."""
+    link = r'(?s)model_(\d+)" class="brand-list-item--link">(.{0,900}?)参数'
+    found = F.regexp_extract_all("html", F.lit(link), F.lit(0))
+    name = lambda m: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(m, link, 2), "<[^>]+>", " "), r"(?U)\s+", " "))
+    rows = F.array_distinct(F.transform(found, lambda m: F.struct(F.regexp_extract(m, link, 1).alias("model_id"), name(m).alias("name"))))
+    return pages.select("url", F.posexplode(rows).alias("pos", "m")).select("url", "pos", "m.model_id", "m.name")
+
+
+def trims_of(pages: DataFrame) -> DataFrame:
+    """(url, pos, trim_id) of model pages: each trim once, in page order."""
+    return pages.select("url", F.posexplode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"trim_(\d+)"), F.lit(1)))).alias("pos", "trim_id"))

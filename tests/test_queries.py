@@ -1,5 +1,5 @@
 import pytest
-from specloom.plans import queries
+from specloom.plans import page_queries, queries, record_queries  # noqa: F401  they register themselves
 
 from tests.oracle import compare
 
