@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Words and pairs of tokens that a worker remembers at most.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 500_000
+WORDS_KEPT, PAIRS_KEPT, PARTS_KEPT = 300_000, 200_000, 100_000
 SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
@@ -50,7 +50,8 @@ class Pieces:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, bytes, str, bytes]] = {}
+        self.bare: dict[str, bytes] = {}
+        self.words: dict[str, tuple[int, bytes, str]] = {}
         self.parts: dict[str, list[int]] = {}
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
 
@@ -135,7 +136,7 @@ class Pieces:
             found = self.parts.get(part)
             if found is None:
                 found = self.ids_of_word(part)
-                if len(self.parts) < WORDS_KEPT:
+                if len(self.parts) < PARTS_KEPT:
                     self.parts[part] = found
             out += found
         return out
@@ -160,31 +161,33 @@ class Pieces:
         text = "".join(out)
         return text[1:] if ids and self.names[ids[0]].startswith(SPACE) else text
 
-    def _known(self, word: str) -> tuple[int, bytes, str, bytes]:
-        """Of a word: the number of ids, they in decimal with a comma after each, their text before trimming, they as int32."""
-        found = self.words.get(word)
-        if found is None:
-            ids = self.ids(word)
-            text = self.decode(ids)
-            found = len(ids), b"".join(b"%d," % i for i in ids), (" " + text if self.names[ids[0]].startswith(SPACE) else text), np.array(ids, "<i4").tobytes()
-            if len(self.words) < WORDS_KEPT:
-                self.words[word] = found
+    def _known(self, word: str) -> tuple[int, bytes, str]:
+        """Of a word: the number of ids, they in decimal with a comma after each, their text before trimming."""
+        ids = self.ids(word)
+        text = self.decode(ids)
+        found = len(ids), b"".join(b"%d," % i for i in ids), (" " + text if self.names[ids[0]].startswith(SPACE) else text)
+        if len(self.words) < WORDS_KEPT:
+            self.words[word] = found
         return found
 
-    def _found(self, text: str) -> list[tuple[int, bytes, str, bytes]]:
-        get, known = self.words.get, self._known
-        return [get(w) or known(w) for w in self.words_of(text)]
+    def _packed(self, word: str) -> bytes:
+        found = np.array(self.ids(word), "<i4").tobytes()
+        if len(self.bare) < WORDS_KEPT:
+            self.bare[word] = found
+        return found
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the text that they decode to; whole words are looked up."""
-        found = self._found(text) if text else []
+        get, known = self.words.get, self._known
+        found = [get(w) or known(w) for w in self.words_of(text)] if text else []
         ids = b"".join([f[1] for f in found])[:-1]
         back = "".join([f[2] for f in found])[1:]
         return sum([f[0] for f in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers; whole words are looked up."""
-        return b"".join([f[3] for f in self._found(text)]) if text else b""
+        get, known = self.bare.get, self._packed
+        return b"".join([get(w) or known(w) for w in self.words_of(text)]) if text else b""
 
 
 def _utf8(raw: bytes) -> str:

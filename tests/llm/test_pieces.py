@@ -36,11 +36,12 @@ def test_any_text_matches_the_library(text):
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "WORDS_KEPT", 3)
     monkeypatch.setattr(pieces, "PAIRS_KEPT", 5)
+    monkeypatch.setattr(pieces, "PARTS_KEPT", 3)
     own = pieces.Pieces(MODEL)
     rnd = random.Random(2)
     text = " ".join("".join(rnd.choices("thenational", k=7)) for _ in range(300))
     assert own.encode(text) == LIBRARY.encode(text) and own.digest(text) == want(text)
-    assert len(own.words) <= 3 and len(own.parts) <= 3
+    assert len(own.words) <= 3 and len(own.parts) <= 3 and len(own.pairs) <= 5
 
 
 def test_every_row_of_a_table(spark):

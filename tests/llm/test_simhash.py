@@ -179,3 +179,16 @@ def test_components_whose_hashes_agree_in_42_bits_stay_apart(spark):
     fps = [6760692, 8169631, 1601119, 4659074, 4509760, 11529635]
     got = simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
     assert sorted(r["fp"] for r in got) == sorted(fps) and len({r["root"] for r in got}) == len(fps)
+
+
+def test_keys_that_collide_change_nothing(spark, monkeypatch):
+    real = simhash._keyed
+    rng = np.random.default_rng(4)
+    fps = set()
+    for center in rng.integers(-(2**62), 2**62, 12, dtype=np.int64).tolist():
+        fps |= {center ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (6, 2))}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = {r.fp: r.root for r in simhash.linked(df).collect()}
+    monkeypatch.setattr(simhash, "_keyed", lambda x: real(x).selectExpr("fp", "key % 5 as key"))
+    assert {r.fp: r.root for r in simhash.linked(df).collect()} == want
+    assert len(set(want.values())) == 12
