@@ -190,7 +190,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), findings: DataFra
     evidence is worth that it does not see. ``findings`` (value, label 0 or 1) are labels from elsewhere, used
     instead of ``labelled``. Without labels of both classes candidates with a secret's evidence score 1, others 0.
     """
-    rows = settled(featured(candidates(docs, keep), docs))
+    rows = settled(featured(settled(candidates(docs, keep)), docs))
     model = train(rows.join(findings.select("value", F.col("label").cast("double").alias("label")).dropDuplicates(["value"]), "value") if findings is not None else labelled(rows))
     e = lambda n: F.col(f"e_{n}") == 1
     if model is None:
