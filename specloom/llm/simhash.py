@@ -215,14 +215,54 @@ def jaccard(a: str | None, b: str | None, width: int = 5) -> float:
 
 
 def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, h, size, c, lo): rows (key, h, size) of ``buckets`` with several components under ``links``; c is h's, lo the largest of the key."""
+    """(key, h, size, c): rows (key, h, size) of ``buckets`` whose key has several components under ``links``; c is h's."""
     roots = connected(links).select(F.col("node").alias("h"), F.col("root").alias("r"))
     sizes = roots.groupBy("r").agg(F.count("*").alias("n"))
     of = roots.join(sizes, "r").select("h", F.struct((-F.col("n")).alias("n"), F.col("r").alias("r")).alias("c"))
     lone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("h").alias("r"))
     rows = settled(buckets.select("key", "h", "size").join(of, "h", "left").select("key", "h", "size", F.coalesce("c", lone).alias("c")))
-    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo")
-    return settled(rows.join(several, "key"))
+    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return settled(rows.join(several, "key", "left_semi"))
+
+
+def _set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    parts = [np.unique(h) for h in _hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _by_differences(deltas: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar texts of different components, from rows (a, b, size, of, delta, c, outside): a text, one it is
+    compared with by all its bucket, the sizes of their sets of shingles, the shingles that only one of both has, the
+    component of a, and whether b has another.
+
+    Let x be outside the component of b, hence not similar to b, and y another text beside b. At most
+    L(x, y) = (|x| + |y|) (1 - s) / (1 + s) shingles may differ between similar x and y, and as many differ as in the
+    two deltas together but for twice those in both. So the deltas must share some shingle, and at least
+    (dx + dy - L) / 2 of them, where dx > L(x, b) and dy >= dx - L. By the prefix filter both then share one of their
+    rarest ones: x of its dx - (dx - |x| (1 - s) / s) + 1, y of its dy - (dy + (|b| - |y|) (1 - s) / (1 + s)) / 2 + 1.
+    What shares one is counted exactly, from the deltas. Shingles of an edit are rare, so a group of copies yields
+    few pairs, whatever its size.
+    """
+    d, ratio = F.size("delta"), (1 - similarity) / (1 + similarity)
+    as_x = F.ceil(d - F.col("size") * ((1 - similarity) / similarity) - 1e-6)
+    as_y = F.ceil((d + (F.col("of") - F.col("size")) * ratio) / 2 - 1e-6)
+    prefix = lambda k: (d - F.greatest(F.lit(1), k) + 1).cast("int")
+    each = deltas.select("a", "b", "size", "c", "outside", d.alias("d"), prefix(as_x).alias("px"), prefix(as_y).alias("py"), F.explode("delta").alias("s"))
+    counts = each.groupBy("b", "s").agg(F.count("*").alias("n"))
+    rank = F.expr("row_number() over (partition by a, b order by n, s)")
+    ranked = each.join(counts, ["b", "s"]).withColumn("rank", rank)
+    ranked = settled(ranked.where("n > 1 and (rank <= py or (outside and rank <= px))"))
+    xs = ranked.where("outside and rank <= px").select("b", "s", "a", "size", "c", "d")
+    ys = ranked.where("rank <= py").select("b", "s", F.col("a").alias("g"), F.col("size").alias("z"), F.col("c").alias("e"), F.col("d").alias("f"))
+    may = (F.col("c") != F.col("e")) & (F.abs(F.col("d") - F.col("f")) <= (F.col("size") + F.col("z")) * ratio + 1e-6)
+    pairs = xs.join(ys, ["b", "s"]).where(may).select("b", F.greatest("a", "g").alias("a"), F.least("a", "g").alias("g")).distinct()
+    own = deltas.select("a", "b", "size", "delta")
+    both = pairs.join(own, ["a", "b"]).join(own.select(F.col("a").alias("g"), "b", F.col("size").alias("z"), F.col("delta").alias("other")), ["g", "b"])
+    apart = d + F.size("other") - 2 * F.size(F.array_intersect("delta", "other"))
+    total = F.col("size") + F.col("z")
+    good = (total - apart) / (total + apart) >= similarity
+    return both.where(good).select("a", F.col("g").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -238,8 +278,8 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     1. All with the least of the bucket.
     2. In buckets that still have several components, all with the text that has most links so far (the original of
        a group of copies), where their components differ. Groups become one component without all their pairs.
-    3. In buckets that still have several, every text outside the bucket's largest component with all of another
-       component. Every link between components has such an end, so none within a bucket is left out.
+    3. In buckets that still have several, texts that differ from the text of step 2 in some same shingle, see
+       ``_by_differences``: no link within a bucket is left out, and heavily edited copies are not paired with all.
     """
     kind = "h long, fp long, parts array<long>, size int"
 
@@ -271,24 +311,42 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
         """Whether sets of these sizes can be so similar."""
         return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                sets = [(_set(x.as_py(), width), _set(y.as_py(), width)) for x, y in zip(part.column(2), part.column(3), strict=True)]
+                new = [pa.array([len(x) for x, _ in sets], pa.int32()), pa.array([len(y) for _, y in sets], pa.int32())]
+                deltas = pa.array([np.setxor1d(x, y, True).view(np.int64) for x, y in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new, deltas], names=["a", "b", "size", "of", "delta"])
+
+    def beside(pairs: DataFrame) -> DataFrame:
+        """The texts of pairs (a, b), each pair once: a, b, x, y."""
         pairs = settled(pairs.select("a", "b").distinct())
         needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
         own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
         both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
+        return both.select("a", "b", "x", "y")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return beside(pairs).mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
 
     first = buckets.where((F.col("h") != F.col("b.h")) & fits(F.col("size"), F.col("b.size")))
     links = settled(by_bits.union(checked(first.select(F.col("h").alias("a"), F.col("b.h").alias("b")))))
     mixed = _mixed(buckets, links)
     degree = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("n"))
-    hubs = mixed.join(degree, "h").groupBy("key").agg(F.max(F.struct("n", "h", "c", "size")).alias("hub")).select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s"))
+    linked_to = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "c", "size")
+    hubs = mixed.join(degree, "h", "left").groupBy("key").agg(F.max(linked_to).alias("hub"))
+    hubs = settled(hubs.select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s")))
     near = mixed.join(hubs, "key").where((F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
     links = settled(links.union(checked(near.select(F.col("h").alias("a"), "b"))))
     mixed = _mixed(mixed, links)
-    other = mixed.select("key", F.col("h").alias("g"), F.col("c").alias("d"), F.col("size").alias("s"))
-    rest = mixed.where("c <> lo").join(other, "key").where((F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
-    found = connected(links.union(checked(rest.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b"))))).select(F.col("node").alias("h"), F.col("root").alias("r"))
+    against = mixed.join(hubs.select("key", "b"), "key").where("h <> b").select(F.col("h").alias("a"), "b")
+    deltas = beside(against).mapInArrow(differ, "a long, b long, size int, of int, delta array<long>")
+    of = mixed.select("h", "c").distinct()
+    deltas = deltas.join(of.select(F.col("h").alias("a"), "c"), "a").join(of.select(F.col("h").alias("b"), F.col("c").alias("e")), "b")
+    rest = _by_differences(settled(deltas.select("a", "b", "size", "of", "delta", "c", (F.col("c") != F.col("e")).alias("outside"))), similarity)
+    found = connected(links.union(rest)).select(F.col("node").alias("h"), F.col("root").alias("r"))
     return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
 
 

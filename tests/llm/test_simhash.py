@@ -175,6 +175,39 @@ def test_long_near_copies_are_candidates(spark):
     assert sum(g in have for g in close) >= 0.98 * len(close)
 
 
+def edited_copies(rnd, n, most):
+    """Copies of one text, each edited at some words on its own; some are edits of edits."""
+    vocabulary = ["w%d" % i for i in range(300)]
+    base = [rnd.choice(vocabulary) for _ in range(120)]
+    rows = [base]
+    for _ in range(n):
+        copy = list(rnd.choice(rows) if rnd.random() < 0.3 else base)
+        for _ in range(rnd.randrange(most)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.choice([0, 1, 1])] = [rnd.choice(vocabulary) for _ in range(rnd.choice([0, 1, 1]))]
+        rows.append(copy)
+    return sorted({" ".join(r) for r in rows})
+
+
+def test_differences_find_every_similar_pair(spark):
+    texts = edited_copies(random.Random(8), 120, 8) + edited_copies(random.Random(9), 40, 12)
+    sets = [set(simhash._set(t, 5).view(np.int64).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    for hub in (0, 30, len(texts) - 1):
+        near = [alike(i, hub) for i in range(len(texts))]
+        c = [0 if near[i] else i + 1 for i in range(len(texts))]
+        rows = [(i, hub, len(sets[i]), len(sets[hub]), sorted(sets[i] ^ sets[hub]), c[i], not near[i]) for i in range(len(texts)) if i != hub]
+        deltas = spark.createDataFrame(rows, "a long, b long, size int, of int, delta array<long>, c long, outside boolean")
+        have = sorted((r.a, r.b) for r in simhash._by_differences(deltas, 0.8).collect())
+        want = [(i, j) for i in range(len(texts)) for j in range(i) if hub not in (i, j) and c[i] != c[j] and alike(i, j)]
+        assert have == want and len(want) > 20
+
+
+def test_heavily_edited_copies_match_brute_force(spark):
+    have, want = partition(spark, edited_copies(random.Random(21), 400, 9))
+    assert 3 < len(want) < 400 and have == want
+
+
 def test_components_whose_hashes_agree_in_42_bits_stay_apart(spark):
     fps = [6760692, 8169631, 1601119, 4659074, 4509760, 11529635]
     got = simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
