@@ -21,6 +21,8 @@ PART, LEAST_PARTS, BANDS = 6, 16, 32
 BROADCAST_KEYS = 200_000
 #: Fingerprints whose keys one task makes: bounds the memory of the minimum and maximum a key within a task.
 IN_TASK = 8_000
+#: Texts in a bucket up to which they are compared two by two; more go by their differences to the bucket's hub.
+PAIRED = 16
 #: Segments of the ring.
 SEGMENTS = 8
 
@@ -278,8 +280,9 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     1. All with the least of the bucket.
     2. In buckets that still have several components, all with the text that has most links so far (the original of
        a group of copies), where their components differ. Groups become one component without all their pairs.
-    3. In buckets that still have several, texts that differ from the text of step 2 in some same shingle, see
-       ``_by_differences``: no link within a bucket is left out, and heavily edited copies are not paired with all.
+    3. In buckets that still have several, all texts of different components if they are few (PAIRED), else those
+       that differ from the text of step 2 in some same shingle, see ``_by_differences``: no link within a bucket is
+       left out, and heavily edited copies are not paired with all.
     """
     kind = "h long, fp long, parts array<long>, size int"
 
@@ -341,12 +344,18 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     near = mixed.join(hubs, "key").where((F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
     links = settled(links.union(checked(near.select(F.col("h").alias("a"), "b"))))
     mixed = _mixed(mixed, links)
-    against = mixed.join(hubs.select("key", "b"), "key").where("h <> b").select(F.col("h").alias("a"), "b")
+    counts = mixed.groupBy("key").agg(F.count("*").alias("n"))
+    mixed = settled(mixed.join(counts, "key"))
+    few, many = mixed.where(F.col("n") <= PAIRED), mixed.where(F.col("n") > PAIRED)
+    other = few.select("key", F.col("h").alias("g"), F.col("c").alias("d"), F.col("size").alias("s"))
+    pairs = few.join(other, "key").where((F.col("h") > F.col("g")) & (F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
+    paired = checked(pairs.select(F.col("h").alias("a"), F.col("g").alias("b")))
+    against = many.join(hubs.select("key", "b"), "key").where("h <> b").select(F.col("h").alias("a"), "b")
     deltas = beside(against).mapInArrow(differ, "a long, b long, size int, of int, delta array<long>")
-    of = mixed.select("h", "c").distinct()
+    of = many.select("h", "c").distinct()
     deltas = deltas.join(of.select(F.col("h").alias("a"), "c"), "a").join(of.select(F.col("h").alias("b"), F.col("c").alias("e")), "b")
     rest = _by_differences(settled(deltas.select("a", "b", "size", "of", "delta", "c", (F.col("c") != F.col("e")).alias("outside"))), similarity)
-    found = connected(links.union(rest)).select(F.col("node").alias("h"), F.col("root").alias("r"))
+    found = connected(links.union(paired).union(rest)).select(F.col("node").alias("h"), F.col("root").alias("r"))
     return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
 
 
