@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, media, mixing, pieces, quality, secrets, simhash, toxicity, warc, winnow
+from . import html_text, media, mixing, packing, pieces, quality, secrets, simhash, toxicity, warc, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8,
     "op9_html_text": html_text.op9,
     "op10_media": media.op10,
+    "op13_packing": packing.op13,
 }
 
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
