@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, html_text, media, mixing, packing, pieces, quality, secrets, simhash, toxicity, warc, winnow
+from . import collocations, html_text, media, mixing, negatives, packing, pieces, quality, secrets, simhash, toxicity, warc, winnow
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8,
     "op9_html_text": html_text.op9,
     "op10_media": media.op10,
+    "op11_hard_negatives": negatives.op11,
     "op12_collocations": collocations.op12,
     "op13_packing": packing.op13,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_collocations": collocations.ORACLE}
