@@ -10,6 +10,7 @@ from specloom.operators import reviews, specs
 from specloom.plans import catalogue
 from specloom.plans.queries import Tables, registered
 from specloom.sources import files
+from specloom.sources import reviews as paged
 
 
 @registered("""
@@ -183,3 +184,21 @@ def composed_texts(t: Tables) -> DataFrame:
 def regex_folds(t: Tables) -> DataFrame:
     """Patterns replaced one after the other."""
     return t.documents.select("doc_id", F.md5(text.replaced_patterns(F.col("text"), (("[0-9]+", "#"), ("(a|e)t ", "$1d "), ("#+", "n")))).alias("folded"))
+
+
+@registered("""
+    WITH o AS (SELECT *, o_custkey % 3 = 0 AS spec, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS n FROM orders)
+    SELECT CASE WHEN spec THEN 'spec' ELSE 'series' END AS kind, CAST(o_custkey AS VARCHAR) AS id, n // 4 + 1 AS page, CASE WHEN n // 4 < 2 THEN n % 4 END AS pos,
+           CASE WHEN n // 4 < 2 THEN o_orderkey::VARCHAR END AS show_id, CASE WHEN n // 4 < 2 THEN o_orderpriority END AS specname, CASE WHEN n // 4 < 2 THEN o_orderstatus = 'F' END AS visit,
+           CASE WHEN n // 4 < 2 THEN CAST(o_orderdate AS VARCHAR) END AS said, CASE WHEN n // 4 >= 2 THEN 'HTTP 500' END AS error
+    FROM o WHERE n // 4 < 2 OR n % 4 = 0""")
+def review_answers(t: Tables) -> DataFrame:
+    """Answers of a paged review API, a page each, as reviews with their failures; orders of a customer stand for reviews of a series."""
+    o = t.orders.select("*", F.expr("row_number() over (partition by o_custkey order by o_orderkey) - 1").alias("n"))
+    extra = F.array(F.struct(F.when(F.col("o_orderstatus") == "F", F.lit(reviews.VISIT)).otherwise(F.lit("x")).alias("name")))
+    one = F.struct(F.col("o_orderkey").alias("showId"), F.col("o_orderpriority").alias("specname"), extra.alias("exinfolist"), F.array(F.struct(F.lit("x").alias("structuredname"), F.col("o_orderdate").cast("string").alias("content"))).alias("contents"))
+    pages = o.groupBy("o_custkey", F.floor(F.col("n") / 4).cast("int").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("e")))), lambda x: x["e"]).alias("list"))
+    good = F.col("p") < 2
+    body = F.when(good, F.to_json(F.struct(F.struct("list").alias("result"))))
+    answers = pages.select(F.when(F.col("o_custkey") % 3 == 0, "spec").otherwise("series").alias("kind"), F.col("o_custkey").cast("string").alias("id"), (F.col("p") + 1).alias("page"), body.alias("body"), F.when(~good, "HTTP 500").alias("error"))
+    return paged.parsed(answers).select("kind", "id", "page", "pos", "show_id", "specname", "visit", F.try_element_at("sections", F.lit(1))["text"].alias("said"), "error")
