@@ -14,6 +14,9 @@ CHEMISTRY = (("磷酸铁锂", "LFP"), ("三元", "NCM"))
 ASPIRATION = {"自然吸气": "NA", "涡轮增压": "turbo"}
 GEARBOX = (("双离合", "dct"), ("手动", "mt"), ("手自一体", "at"), ("自动", "at"), ("CVT", "cvt"), ("DHT", "dht"))
 
+#: Fixed values. What records call kinds of gearboxes.
+TRANSMISSION = {"dct": "DCT", "mt": "MT", "at": "AT", "cvt": "CVT"}
+
 
 def looked_up(value: Column, names: Mapping[str, str]) -> Column:
     """``names[value]``; values without an entry pass through."""
@@ -34,6 +37,17 @@ def gearbox_slug(text: Column) -> Column:
     return F.when(text.isNotNull(), F.concat(F.regexp_extract(text, r"^\d*", 0), first_containing(text, GEARBOX, F.lit("gb"))))
 
 
+def transmission(text: Column) -> Column:
+    """What a record calls a gearbox: first by marks of hybrids and reducers, then by kind; others keep their name, none is null."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in TRANSMISSION.items() for x in pair]), F.regexp_replace(gearbox_slug(text), r"^\d*", ""))
+    return (
+        F.when(F.contains(text, F.lit("ECVT")), "E-CVT")
+        .when(F.contains(text, F.lit("单速")), "Редуктор 1 ст.")
+        .when(F.contains(text, F.lit("DHT")), F.replace(text, F.lit("档"), F.lit("-ступ. ")))
+        .otherwise(F.coalesce(kind, F.nullif(text, F.lit(""))))
+    )
+
+
 def without(text: Column, parts: Sequence[str]) -> Column:
     """``text`` with each of ``parts`` removed, one after the other."""
     for p in parts:

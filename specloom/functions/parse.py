@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,25 @@ def first_present(spec: Column, *names: str, missing: tuple[str, ...] = MISSING_
     return F.coalesce(*[present(F.trim(v) if trim else v, missing) for v in values])
 
 
+def by_name(spec: Column, names: Sequence[str], missing: tuple[str, ...] = MISSING_RECORD, trim: bool = False) -> Column:
+    """A map of those of ``names`` that a specification has: what the first entry of that name says that is not missing.
+
+    Keys of ``spec`` are paths ``category/name``; the name is all after the first slash, under any category. Entries come
+    in the map's order. Only wanted names are kept before first ones are looked for, so the search is short.
+    """
+    entries = F.transform(F.map_entries(spec), lambda e: F.struct(F.when(F.contains(e["key"], F.lit("/")), F.substr(e["key"], F.instr(e["key"], "/") + 1)).alias("key"), (F.trim(e["value"]) if trim else e["value"]).alias("value")))
+    wanted = F.array(*[F.lit(n) for n in dict.fromkeys(names)])
+    kept = F.filter(entries, lambda e: F.array_contains(wanted, e["key"]) & e["value"].isNotNull() & ~e["value"].isin(*missing))
+    keys = F.transform(kept, lambda e: e["key"])
+    first = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(kept, lambda e: e["key"] == k), 1)["value"].alias("value")))
+    return F.map_from_entries(first)
+
+
+def named(found: Column, *names: str) -> Column:
+    """The value of the first of ``names`` that the map of ``by_name`` has."""
+    return F.coalesce(*[F.try_element_at(found, F.lit(n)) for n in names])
+
+
 def first_number(text: Column) -> Column:
     """The first number of a text as double, thousands commas dropped; null without one."""
     return F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"-?\d+(\.\d+)?", 0), F.lit("")).try_cast("double")

@@ -72,7 +72,8 @@ def over_existing(rows: DataFrame, old: DataFrame, key: Sequence[str], old_wins:
     of the first of their ids that any record has.
 
     Slug and the fields ``old_wins`` stay as they were, notes begin with the first part of the old ones, sources unite with
-    old ones first, issues follow those of before whose source and text they do not repeat. Adds ``existing``.
+    old ones first, issues follow those of before whose source and text they do not repeat, buyer checks of before stay if
+    there are any. Adds ``existing``. ``key`` must tell the rows apart and not be null.
     """
     carried = [c for c in old.columns if c in rows.columns]
     renamed = old.select("trim_id", *[F.col(c).alias(f"_o_{c}") for c in carried])
@@ -95,6 +96,8 @@ def over_existing(rows: DataFrame, old: DataFrame, key: Sequence[str], old_wins:
             new, prior = F.coalesce(own, none), F.coalesce(before, none)
             fresh = F.filter(prior, lambda b: ~F.exists(new, lambda a: (a["source"] == b["source"]) & (a["text"] == b["text"])))
             out.append(F.concat(fresh, new).alias(c))
+        elif c == "buyer_checks":
+            out.append(F.when(F.size(F.coalesce(before, F.array().cast(rows.schema[c].dataType))) > 0, before).otherwise(own).alias(c))
         else:
             out.append(own)
     return both.select(*out, hit.alias("existing"))

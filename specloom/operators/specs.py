@@ -86,10 +86,17 @@ def slug(prefix: Column, year: Column, battery: Column, motor: Column, engine: C
 
 
 def without_collisions(df: DataFrame, slug_col: str, code_col: str, order: Sequence[str]) -> DataFrame:
-    """Slugs made before in ``order`` get the engine code appended, where there is one."""
-    again = F.expr(f"row_number() over (partition by `{slug_col}` order by {', '.join(order)}) > 1")
+    """Slugs made before in ``order`` get the engine code appended, where there is one; what still repeats gets a number.
+
+    So no two rows share a slug, unless one that is made so is another's own.
+    """
+    by = ", ".join(order)
     code = F.lower(F.replace(F.col(code_col), F.lit(" "), F.lit("")))
-    return df.withColumn("_again", again).withColumn(slug_col, F.when(F.col("_again") & (code != ""), F.concat_ws("-", slug_col, code)).otherwise(F.col(slug_col))).drop("_again")
+    first = df.withColumn("_nth", F.expr(f"row_number() over (partition by `{slug_col}` order by {by})"))
+    first = first.withColumn("_code", F.when((F.col("_nth") > 1) & (code != ""), code))
+    nth = F.expr(f"row_number() over (partition by `{slug_col}`, _code order by _nth)")
+    named = F.concat_ws("-", slug_col, "_code", F.when(F.col("_again") > 1, F.col("_again").cast("string")))
+    return first.withColumn("_again", nth).withColumn(slug_col, named).drop("_nth", "_code", "_again")
 
 
 def tags(names: Column, pattern: str) -> Column:

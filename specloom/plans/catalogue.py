@@ -105,31 +105,76 @@ def recall_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc(F.coalesce(F.nullif("pub_date", F.lit("")), F.nullif("list_date", F.lit("")), F.lit(""))), "href")
 
 
-def base_record(spec: Column) -> list[Column]:
-    """The technical columns of a record from its specification map (path to value)."""
-    g = lambda *names: parse.first_present(spec, *names)
-    number = lambda *names: parse.first_number(g(*names))
-    power, motor = number("发动机/最大功率(kW)", "发动机/最大净功率(kW)"), number("电动机/电动机总功率(kW)", "电动机/总功率(kW)")
-    front, rear = number("电动机/前电动机最大功率(kW)"), number("电动机/后电动机最大功率(kW)")
-    battery, size = number("电池/电池能量(kWh)", "电池/电池容量(kWh)"), parse.dimensions(g("基本参数/长x宽x高(mm)", "车身/长x宽x高(mm)"))
-    axle = F.when((front > 0) & (rear > 0), "front+rear").when(rear > 0, "rear").otherwise("front")
-    engine = F.struct(g("发动机/发动机型号").alias("code"), number("发动机/排量(mL)").cast("int").alias("displacement_cc"), classify.looked_up(g("发动机/进气形式"), classify.ASPIRATION).alias("aspiration"), power.alias("power_kw"), parse.metric_hp(power).alias("power_hp"))
+#: Fixed values. Names of specification entries, under any category, in the order in which they are tried.
+ENGINE_POWER, ENGINE_TORQUE = ("发动机/最大功率(kW/rpm)", "最大功率(kW/rpm)"), ("发动机/最大扭矩(N·m/rpm)", "最大扭矩(N·m/rpm)")
+ENGINE_CODE, ENGINE_VOLUME, ENGINE_INTAKE, ENGINE_COMPRESSION = ("发动机型号",), ("汽缸容积(cc)",), ("进气形式",), ("压缩比",)
+MOTOR_POWER, MOTOR_TORQUE, MOTOR_TYPE, MOTOR_COUNT = ("电动机总功率(kW)",), ("电动机总扭矩(N·m)",), ("电机类型",), ("电机数",)
+FRONT_POWER, REAR_POWER, FRONT_TORQUE, REAR_TORQUE = ("前电动机最大功率(kW)",), ("后电动机最大功率(kW)",), ("前电动机最大扭矩(N·m)",), ("后电动机最大扭矩(N·m)",)
+SYSTEM_POWER, GEARBOX_NAME, GEARBOX_RAW, DRIVE_NAME, POWER_TYPE = ("系统综合功率(kW)",), ("变速箱类型", "变速箱"), ("变速箱",), ("驱动方式",), ("动力类型",)
+BATTERY, BATTERY_KIND, BATTERY_BRAND, BATTERY_COOLING = ("电池容量(kWh)",), ("电池种类",), ("电芯品牌", "电池品牌"), ("电池冷却方式",)
+EV_RANGE, CONSUMPTION = ("工信部纯电续航里程(km)", "CLTC纯电续航里程(km)", "纯电续航里程(km)"), ("百公里耗电量(kWh/100km)",)
+FUEL_FIGURES = ("工信部油耗(L/100km)(城市/市郊/综合)", "WLTC综合油耗(L/100km)")
+CHARGE_MODE, DC_TIME, DC_SHARE, AC_TIME = ("充电方式",), ("快充时间(小时)",), ("快充电量(%)",), ("慢充时间(小时)",)
+DC_POWER, AC_POWER = ("最大快充功率(kW)", "快充功率(kW)"), ("最大慢充功率(kW)", "慢充功率(kW)")
+ACCELERATION, TOP_SPEED, WEIGHT, SIZE, WHEELBASE, TANK = ("官方0-100加速(s)",), ("官方最高车速(km/h)",), ("整备质量(kg)",), ("长x宽x高(mm)",), ("轴距(mm)",), ("油箱容积(L)",)
+SPEC_NAMES = tuple(dict.fromkeys(n for names in (
+    ENGINE_POWER, ENGINE_TORQUE, ENGINE_CODE, ENGINE_VOLUME, ENGINE_INTAKE, ENGINE_COMPRESSION, MOTOR_POWER, MOTOR_TORQUE, MOTOR_TYPE, MOTOR_COUNT, FRONT_POWER, REAR_POWER, FRONT_TORQUE, REAR_TORQUE,
+    SYSTEM_POWER, GEARBOX_NAME, GEARBOX_RAW, DRIVE_NAME, POWER_TYPE, BATTERY, BATTERY_KIND, BATTERY_BRAND, BATTERY_COOLING, EV_RANGE, CONSUMPTION, FUEL_FIGURES, CHARGE_MODE, DC_TIME, DC_SHARE, AC_TIME,
+    DC_POWER, AC_POWER, ACCELERATION, TOP_SPEED, WEIGHT, SIZE, WHEELBASE, TANK,
+) for n in names))
+#: Fixed values. A kind of motor, and what records call it.
+MAGNET_MOTOR = ("永磁", "PMSM")
+
+
+def base_record(found: Column) -> list[Column]:
+    """The technical columns of a record from its entries by name (``parse.by_name`` with SPEC_NAMES)."""
+    text = lambda names: parse.named(found, *names)
+    number = lambda names: parse.first_number(text(names))
+    power, motor, front, rear = number(ENGINE_POWER), number(MOTOR_POWER), number(FRONT_POWER), number(REAR_POWER)
+    some = lambda c: F.coalesce(c != 0, F.lit(False))
+    axle = F.when(some(front) & some(rear), "front+rear").when(some(rear), "rear").otherwise("front")
+    kind = F.when(text(MOTOR_TYPE).contains(MAGNET_MOTOR[0]), MAGNET_MOTOR[1]).otherwise(text(MOTOR_TYPE))
+    size = parse.dimensions(F.when(F.contains(text(SIZE), F.lit("x")), text(SIZE)))
+    engine = F.struct(
+        text(ENGINE_CODE).alias("code"), number(ENGINE_VOLUME).alias("displacement_cc"), classify.looked_up(text(ENGINE_INTAKE), classify.ASPIRATION).alias("aspiration"),
+        number(ENGINE_COMPRESSION).alias("compression"), parse.metric_hp(power).alias("power_hp"), power.alias("power_kw"), number(ENGINE_TORQUE).alias("torque_nm"),
+    )
+    motors = F.struct(
+        kind.alias("type"), number(MOTOR_COUNT).alias("count"), parse.metric_hp(motor).alias("power_hp"), motor.alias("power_kw"), number(MOTOR_TORQUE).alias("torque_nm"), axle.alias("axle"),
+        front.alias("front_kw"), rear.alias("rear_kw"), number(FRONT_TORQUE).alias("front_nm"), number(REAR_TORQUE).alias("rear_nm"),
+    )
+    battery = F.struct(
+        number(BATTERY).alias("kwh"), classify.first_containing(text(BATTERY_KIND), classify.CHEMISTRY).alias("chemistry"), text(BATTERY_BRAND).alias("brand"),
+        F.lit(None).cast("string").alias("supplier"), text(BATTERY_COOLING).alias("cooling"),
+    )
     return [
-        classify.first_containing(g("基本参数/能源类型"), classify.POWERTRAIN).alias("powertrain_type"),
-        F.when(power > 0, engine).alias("engine"),
-        F.when(motor > 0, F.struct(motor.alias("power_kw"), parse.metric_hp(motor).alias("power_hp"), axle.alias("axle"), front.alias("front_kw"), rear.alias("rear_kw"))).alias("motor"),
-        F.when(battery.isNotNull(), F.struct(battery.alias("kwh"), classify.first_containing(g("电池/电池类型"), classify.CHEMISTRY).alias("chemistry"))).alias("battery"),
-        classify.first_containing(g("底盘转向/驱动方式"), classify.DRIVE).alias("drive"),
-        charging(number("电池/快充时间(小时)"), number("电池/慢充时间(小时)"), g("电池/充电方式")).alias("charging"),
-        F.struct(*[size[i].cast("int").alias(n) for i, n in enumerate(("length", "width", "height"))]).alias("dimensions_mm"),
-        miit_fuel(g("基本参数/油耗(L/100km)")).alias("fuel_l_100km"),
+        classify.first_containing(text(POWER_TYPE), classify.POWERTRAIN).alias("powertrain_type"),
+        F.when(some(power), engine).alias("engine"),
+        F.when(some(motor), motors).alias("motor"),
+        parse.metric_hp(number(SYSTEM_POWER)).alias("system_power_hp"), number(SYSTEM_POWER).alias("system_power_kw"),
+        text(GEARBOX_NAME).alias("gearbox_cn"), text(GEARBOX_RAW).alias("gearbox_raw"),
+        classify.first_containing(text(DRIVE_NAME), classify.DRIVE).alias("drive"),
+        F.when(text(BATTERY).isNotNull(), battery).alias("battery"),
+        number(EV_RANGE).alias("miit_range_km"), number(CONSUMPTION).alias("consumption_kwh_100km"), miit_fuel(text(FUEL_FIGURES)).alias("fuel_l_100km"),
+        charging(number(DC_TIME), number(AC_TIME), text(CHARGE_MODE), number(DC_POWER), number(AC_POWER), text(DC_SHARE)).alias("charging"),
+        number(ACCELERATION).alias("accel_0_100_s"), number(TOP_SPEED).alias("top_speed_kmh"), number(WEIGHT).alias("curb_weight_kg"),
+        F.struct(*[size[i].alias(n) for i, n in enumerate(("length", "width", "height"))], number(WHEELBASE).alias("wheelbase")).alias("dimensions_mm"),
+        number(TANK).alias("tank_l"), text(POWER_TYPE).alias("power_type"),
     ]
 
 
-def charging(fast_h: Column, slow_h: Column, mode: Column) -> Column:
-    """Charging times, and whether direct current is supported: known by a time or by what the mode names, else null."""
+#: Fixed values. The plug that records name.
+CONNECTOR = "GB/T"
+
+
+def charging(fast_h: Column, slow_h: Column, mode: Column, fast_kw: Column | None = None, slow_kw: Column | None = None, share: Column | None = None) -> Column:
+    """Charging times and powers, and whether direct current is supported: known by a time or by what the mode names, else null."""
     fast = F.coalesce(fast_h != 0, F.lit(False)) | F.coalesce(mode.contains("快充"), F.lit(False))
-    return F.struct(F.when(fast, True).when(mode == "慢充", False).alias("dc_supported"), F.nullif(fast_h, F.lit(0.0)).alias("dc_to_80_h"), F.nullif(slow_h, F.lit(0.0)).alias("ac_full_h"))
+    none = F.lit(None)
+    return F.struct(
+        F.lit(CONNECTOR).alias("connector"), F.when(fast, True).when(mode == "慢充", False).alias("dc_supported"), (none.cast("double") if fast_kw is None else fast_kw).alias("dc_kw"), F.nullif(fast_h, F.lit(0.0)).alias("dc_to_80_h"),
+        (none.cast("string") if share is None else share).alias("dc_window_pct"), (none.cast("double") if slow_kw is None else slow_kw).alias("ac_kw"), F.nullif(slow_h, F.lit(0.0)).alias("ac_full_h"),
+    )
 
 
 #: Fixed values. What the last of several consumption figures is.

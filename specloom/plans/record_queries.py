@@ -5,61 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.functions import classify
-from specloom.operators import build, components, issues, records, specs
-from specloom.plans import catalogue, report
+from specloom.operators import components, issues, records, specs
+from specloom.plans import models, report
 from specloom.plans.queries import Tables, registered
 
 
 @registered("""
     WITH trims AS (SELECT p_partkey AS id, p_name, p_size, 2020 + p_size % 3 AS year, p_size % 4 = 0 AS ev, p_brand AS code, contains(p_name, 'widget') AS awd,
                           CASE WHEN p_size % 7 > 0 THEN (1000 + p_size * 10)::DOUBLE END AS w, CASE WHEN p_size % 5 > 0 THEN p_size / 4.0::DOUBLE END AS a FROM part WHERE p_size % 3 < 2),
-         g AS (SELECT year, ev, code, awd, min(id) AS id, count(*) AS n, arg_min(p_name, id) AS name, arg_min(p_size, id) AS size, bool_or(p_size % 10 = 0) AS sale, min(w) AS w1, max(w) AS w2, min(a) AS a1, max(a) AS a2 FROM trims GROUP BY ALL),
-         s AS (SELECT *, 'x_' || year || '_' || CASE WHEN ev THEN '18kwh-145kw' ELSE lower(code) || '-7dct' END || CASE WHEN awd THEN '-awd' ELSE '' END AS slug FROM g),
+         g AS (SELECT year, ev, code, awd, min(id) AS id, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n, arg_min(p_name, id) AS name, arg_min(p_size, id) AS size, bool_or(p_size % 10 = 0) AS sale, min(w) AS w1, max(w) AS w2, min(a) AS a1, max(a) AS a2 FROM trims GROUP BY ALL),
+         s AS (SELECT *, 'x_' || year || '_' || CASE WHEN ev THEN '18.3kwh-145kw' ELSE lower(code) || '-7dct' END || CASE WHEN awd THEN '-awd' ELSE '' END AS slug FROM g),
          c AS (SELECT * EXCLUDE slug, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY code, id) > 1 THEN slug || '-' || lower(code) ELSE slug END AS slug FROM s),
          hits AS (SELECT year, ev, code, awd, min(s_suppkey) AS k FROM trims JOIN supplier ON s_suppkey * 3 = id GROUP BY ALL),
-         m AS (SELECT c.*, k FROM c LEFT JOIN hits USING (year, ev, code, awd))
+         m AS (SELECT c.*, k, 'made' || CASE WHEN year = 2021 THEN ' late' ELSE '' END || CASE WHEN n > 1 THEN ' Масса и разгон — диапазон по комплектациям группы; прочие поля — по sohu ' || id || '.' ELSE '' END AS own, k % 2 = 0 AND 2019 + k % 3 <> year AS moved FROM c LEFT JOIN hits USING (year, ev, code, awd))
     SELECT CASE WHEN k IS NULL THEN slug ELSE 'old_' || k END AS slug, year, n AS trims_n, trim(name) || ' (sohu ' || id || ', 2024-' || (1 + size % 9) || ', ' || size || '万)' AS label,
            CASE WHEN k % 2 = 0 THEN 'key ' || k ELSE year || '款 ' || trim(name) END AS trim_key, CASE WHEN sale THEN 'в продаже (sohu)' ELSE 'снята с продажи (sohu)' END AS status,
-           CASE WHEN ev THEN 'PHEV_series_parallel' ELSE 'ICE' END AS powertrain, coalesce('Old ' || k, 'X') AS model, coalesce('n' || k || ' | made', 'made') AS notes,
-           'a=' || CASE WHEN k IS NULL THEN 'new' ELSE 'old' END || ';b=new' AS sources, CASE WHEN k IS NULL THEN 1 ELSE 2 END AS issues_n, w1 AS weight_min, w2 AS weight_max, a1 AS accel_min, a2 AS accel_max,
-           CASE WHEN w1 IS NOT NULL THEN n > 1 END AS several, CASE WHEN size % 11 > 0 THEN 110 END AS hp, CASE WHEN w1 IS NOT NULL AND size % 11 > 0 THEN 'verified' ELSE 'partial' END AS verification, k IS NOT NULL AS existing FROM m""")
+           CASE WHEN ev THEN 'PHEV_series_parallel' ELSE 'ICE' END AS powertrain, coalesce('Old ' || k, 'X') AS model, CASE WHEN year = 2021 THEN 'II' ELSE 'I' END AS generation,
+           CASE WHEN k IS NULL THEN own ELSE 'n' || k || ' | ' || own || CASE WHEN moved THEN ' Год в объявлении ' || (2019 + k % 3) || ', официальный 年款 — ' || year || '.' ELSE '' END END AS notes,
+           CASE WHEN moved THEN (2019 + k % 3)::VARCHAR END AS listing_year, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS checks_n,
+           CASE WHEN k IS NULL THEN 'https://portal.auto.sohu.com/aggr/model/trims/pk?trim_ids=' || ids || '&city_code=110000' ELSE 'old' END AS engine_source, 8 + CASE WHEN year = 2021 THEN 2 ELSE 1 END AS sources_n,
+           CASE WHEN k IS NULL THEN 1 ELSE 2 END AS issues_n, w1 AS weight_min, w2 AS weight_max, a1 AS accel_min, a2 AS accel_max, CASE WHEN w1 IS NOT NULL THEN n > 1 END AS several,
+           CASE WHEN size % 11 > 0 THEN (100 + size)::DOUBLE END AS torque, CASE WHEN ev THEN 197 ELSE 110 END AS fingerprint_hp, CASE WHEN ev THEN (50 + size)::DOUBLE END AS range_km, CASE WHEN ev THEN size::DOUBLE END AS fuel,
+           CASE WHEN ev AND size % 8 = 4 THEN TRUE END AS dc, CASE WHEN ev THEN 'LFP' END AS chemistry, CASE WHEN awd THEN 'AWD' ELSE 'FWD' END AS drive, 1837.0::DOUBLE AS width, CASE WHEN ev THEN 'E-CVT' ELSE 'DCT' END AS transmission,
+           CASE WHEN w1 IS NOT NULL THEN 'verified' ELSE 'partial' END AS verification, k IS NOT NULL AS existing FROM m""")
 def record_build(t: Tables) -> DataFrame:
-    """Trims of two model years grouped by their key, measured over all, named, merged over the records there are."""
+    """Records of a model from trims and their specification entries, merged over the records there are."""
     size, ev = F.col("p_size"), F.col("p_size") % 4 == 0
     trims = t.part.select(
-        F.col("p_partkey").alias("trim_id"), F.col("p_partkey").alias("pos"), (2020 + size % 3).alias("year"), F.when(ev, "18").alias("battery"), F.when(ev, "145").alias("motor_kw"), F.col("p_brand").alias("engine_code"), F.lit("81").alias("engine_kw"),
-        F.when(F.col("p_name").contains("widget"), "四驱").otherwise("前驱").alias("drive"), F.when(ev, "插电式混合动力").otherwise("汽油").alias("power_type"), F.lit("7挡湿式双离合").alias("gearbox"),
-        F.concat(F.lit(" "), "p_name").alias("name"), F.concat(F.lit("2024-"), 1 + size % 9).alias("launched"), size.alias("price"), (size % 10 == 0).alias("on_sale"), "p_size",
+        F.col("p_partkey").alias("trim_id"), F.col("p_partkey").alias("pos"), (2020 + size % 3).alias("year"), F.concat(F.lit(" "), "p_name").alias("name"),
+        F.concat(F.lit("2024-"), 1 + size % 9).alias("launched"), size.alias("price"), (size % 10 == 0).alias("on_sale"),
     )
-    trims = build.wanted(trims, 2020, 2021)
-    entry = lambda name, value: (F.lit(name), value.cast("string"))
-    pairs = [
-        entry("车身/整备质量(kg)", F.when(size % 7 > 0, (1000 + size * 10).cast("string")).otherwise("-")), entry("车辆基本/官方0-100加速(s)", F.when(size % 5 > 0, (size / 4).cast("string")).otherwise("--")),
-        entry("发动机/最大功率(kW)", F.when(size % 11 > 0, F.lit("81")).otherwise("-")), entry("基本参数/能源类型", F.when(size % 4 == 0, "插电式混合动力").otherwise("汽油")),
-        entry("电动机/总功率(kW)", F.when(size % 4 == 0, "145").otherwise("-")), entry("电池/电池能量(kWh)", F.when(size % 4 == 0, "18.3kWh").otherwise("")),
-    ]
-    rows_of_specs = trims.select("trim_id", F.explode(F.create_map(*[x for p in pairs for x in p])).alias("path", "value")).withColumn("pos", F.col("path"))
-    groups = build.grouped(trims)
-    made = build.measured(groups, specs.spec_maps(rows_of_specs), {"weight": ["车身/整备质量(kg)"], "accel": ["车辆基本/官方0-100加速(s)"]})
-    made = build.slugged(made, F.lit("x"), classify.gearbox_slug(F.col("gearbox")), ["engine_code", "ids[0]"])
-    made = made.select("*", *catalogue.base_record(F.col("spec"))[:3])  # powertrain, engine, motor
-    core = [F.col("weight"), F.when(F.col("powertrain_type") == "BEV", F.lit(1.0)).otherwise(F.col("engine.power_kw")), F.when(F.col("battery").isNull(), F.lit(1.0)).otherwise(F.col("motor.power_kw"))]
+    text = lambda c: c.cast("string") if not isinstance(c, str) else F.lit(c)
+    entries = {
+        "车身/整备质量(kg)": F.when(size % 7 > 0, text(1000 + size * 10)).otherwise("-"), "车辆基本/官方0-100加速(s)": F.when(size % 5 > 0, text(size / 4)).otherwise("--"),
+        "变速箱/变速箱": F.when(ev, "ECVT无级变速").otherwise("7挡湿式双离合"), "发动机/发动机型号": F.col("p_brand"), "发动机/最大功率(kW/rpm)": F.lit("81/6000"),
+        "发动机/最大扭矩(N·m/rpm)": F.when(size % 11 > 0, F.concat(text(100 + size), F.lit("/4500"))).otherwise("待查"), "底盘/驱动方式": F.when(F.col("p_name").contains("widget"), "电动四驱").otherwise(" 前置前驱 "),
+        "车辆/动力类型": F.when(ev, "插电式混合动力").otherwise("汽油"), "车辆/长x宽x高(mm)": F.lit("4780x1837x1495"), "电机/电动机总功率(kW)": F.when(ev, "145").otherwise("-"),
+        "电池/电池容量(kWh)": F.when(ev, "18.3").otherwise(""), "电池/电池种类": F.lit("磷酸铁锂电池"), "车辆/工信部纯电续航里程(km)": F.lit("-"), "电池/CLTC纯电续航里程(km)": text(50 + size),
+        "车辆/工信部油耗(L/100km)(城市/市郊/综合)": F.concat(F.lit("9.1/8.2/"), text(size)), "电池/充电方式": F.when(size % 8 == 4, "快充+慢充").otherwise("慢充,家充"),
+    }
+    spec = F.create_map(*[x for name, value in entries.items() for x in (F.lit(name), value)])
     issue = lambda *texts: F.array(*[F.struct(F.lit("s").alias("source"), F.lit(x).alias("text")) for x in texts])
-    rows = made.select(
-        "slug", "year", "ids", "trims", "trim_key", "status_china", "powertrain_type", F.lit("X").alias("model"), F.lit("made").alias("notes"), F.create_map(F.lit("a"), F.lit("new"), F.lit("b"), F.lit("new")).alias("sources"),
-        issue("t").alias("known_issues"), "weight", "accel", F.col("engine.power_hp").alias("hp"), records.verification(*core).alias("verification"),
-    )
-    k = F.col("s_suppkey")
+    generations = [models.Generation(F.col("year") == 2021, "II", notes="made late", sources={"a": "new", "b": "new"}), models.Generation(F.lit(True), "I", platform="p", notes="made", sources={"a": "new"})]
+    k, none = F.col("s_suppkey"), F.lit(None)
     old = t.supplier.select(
-        (k * 3).alias("trim_id"), F.concat(F.lit("old_"), k).alias("slug"), F.concat(F.lit("Old "), k).alias("model"), F.when(k % 2 == 0, F.concat(F.lit("key "), k)).alias("trim_key"),
-        F.concat(F.lit("n"), k, F.lit(" | more")).alias("notes"), F.create_map(F.lit("a"), F.lit("old")).alias("sources"), issue("t", "o").alias("known_issues"),
+        (k * 3).alias("trim_id"), F.concat(F.lit("old_"), k).alias("slug"), F.concat(F.lit("Old "), k).alias("model"), F.when(k % 2 == 0, F.concat(F.lit("key "), k)).alias("trim_key"), (2019 + k % 3).cast("int").alias("my"),
+        F.when(k % 2 == 0, F.create_map(F.lit("price"), F.lit("1"))).alias("listing_values"), F.when(k % 3 == 0, F.array(F.lit("check"))).alias("buyer_checks"),
+        F.concat(F.lit("n"), k, F.lit(" | more")).alias("notes"), F.create_map(F.lit("a"), F.lit("old"), F.lit("engine"), F.lit("old")).alias("sources"), issue("t", "o").alias("known_issues"),
     )
-    out = build.over_existing(rows, old, ["slug"])
-    joined = F.array_join(F.transform(F.array_sort(F.map_keys("sources")), lambda x: F.concat(x, F.lit("="), F.element_at("sources", x))), ";")
+    years = t.part.select((2020 + size % 3).alias("year")).distinct().withColumn("known_issues", issue("t"))
+    out = models.built(trims, t.part.select(F.col("p_partkey").alias("trim_id"), spec.alias("spec")), "x", {"model": "X", "model_cn": "某"}, generations, years, old, 2020, 2021)
     return out.select(
-        "slug", "year", F.size("ids").alias("trims_n"), F.col("trims")[0].alias("label"), "trim_key", F.col("status_china").alias("status"), F.col("powertrain_type").alias("powertrain"), "model", "notes", joined.alias("sources"), F.size("known_issues").alias("issues_n"),
-        F.col("weight.min").alias("weight_min"), F.col("weight.max").alias("weight_max"), F.col("accel.min").alias("accel_min"), F.col("accel.max").alias("accel_max"), F.col("weight.several").alias("several"), "hp", "verification", "existing",
+        "slug", "year", F.size("ids").alias("trims_n"), F.col("trims")[0].alias("label"), "trim_key", F.col("status_china").alias("status"), F.col("powertrain_type").alias("powertrain"), "model", "generation", "notes",
+        F.try_element_at("listing_values", F.lit("year")).alias("listing_year"), F.size("buyer_checks").alias("checks_n"), F.try_element_at("sources", F.lit("engine")).alias("engine_source"), F.size("sources").alias("sources_n"),
+        F.size("known_issues").alias("issues_n"), F.col("curb_weight_kg.min").alias("weight_min"), F.col("curb_weight_kg.max").alias("weight_max"), F.col("accel_0_100_s.min").alias("accel_min"), F.col("accel_0_100_s.max").alias("accel_max"),
+        F.col("curb_weight_kg.several").alias("several"), F.col("engine.torque_nm").alias("torque"), F.col("match_fingerprint.hp").alias("fingerprint_hp"), F.col("ev_range_km.MIIT").alias("range_km"), F.col("fuel_l_100km.value").alias("fuel"),
+        F.col("charging.dc_supported").alias("dc"), F.col("battery.chemistry").alias("chemistry"), "drive", F.col("dimensions_mm.width").alias("width"), "transmission", "verification", "existing",
     )
 
 
