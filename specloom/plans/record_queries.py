@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.operators import components, issues, records, specs
-from specloom.plans import models, report
+from specloom.plans import component_rules, models, report
 from specloom.plans.queries import Tables, registered
 
 
@@ -213,3 +213,43 @@ def issues_by_key(t: Tables) -> DataFrame:
     out = issues.merged_where_none(rows, keys, raw)
     shown = F.transform("known_issues", lambda i: F.concat(i["text"], F.coalesce(F.concat(F.lit("<"), i["source"]), F.lit("")), F.coalesce(F.concat(F.lit("+"), F.array_join(i["more_sources"], "+")), F.lit(""))))
     return out.select("c_custkey", F.array_join(shown, ";").alias("issues"))
+
+
+_FAMILIES = ["byd_qin-plus", "byd_leopard-7", "lynk-co_900", "zeekr_8x", "toyota_corolla-cross", "changan_cs75-plus", "changan_cs55-plus", "changan_uni-v", "changan_cs75", "changan_eado-phev", "deepal_s07", "zeekr_x"]
+_CODES, _BOXES = ["BYD472QC", "JL473ZQ", " ", "JL486Q", "1.5X"], ["8AT", "7DCT", "MT", "E-CVT", "Редуктор 1 ст.", ""]
+_GENERATIONS, _TYPES = ["第二代", "第二代+第三代", "第四代", "第四代 冠军版", ""], ["ICE", "PHEV_series_parallel", "EREV", "BEV", ""]
+_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@registered(f"""
+    WITH r AS (SELECT p_partkey, {_list(_FAMILIES)}[1 + p_partkey % 12] AS family, nullif(trim({_list(_CODES)}[1 + p_partkey // 12 % 5]), '') AS code, {_list(_BOXES)}[1 + p_size % 6] AS gb, {_list(_GENERATIONS)}[1 + p_partkey // 7 % 5] AS gen,
+                      nullif({_list(_TYPES)}[1 + p_partkey // 60 % 5], '') AS pt, 2022 + p_partkey % 4 AS my, p_size FROM part),
+         b AS (SELECT *, CASE split_part(split_part(family, '_', 1), '-', 1) WHEN 'deepal' THEN 'changan' ELSE split_part(split_part(family, '_', 1), '-', 1) END AS brand, starts_with(family, 'byd_') AS byd FROM r),
+         c AS (SELECT *, brand || '_' || regexp_replace(lower(replace(code, ' ', '')), '^byd', '') || CASE WHEN p_size % 3 = 0 THEN '_1.5' || CASE WHEN p_size % 2 = 0 THEN 't' ELSE '' END WHEN regexp_matches(code, '472|473|469|15') THEN '_1.5' || CASE WHEN p_size % 2 = 0 THEN 't' ELSE '' END
+                              WHEN regexp_matches(code, '486|484|20') THEN '_2.0' || CASE WHEN p_size % 2 = 0 THEN 't' ELSE '' END ELSE '' END AS eid FROM b),
+         t AS (SELECT *, CASE WHEN code IS NOT NULL THEN eid END AS engine, CASE WHEN code IS NULL THEN CASE WHEN pt = 'BEV' THEN 'нет ДВС (BEV)' ELSE 'код двигателя неизвестен' END END AS why_engine,
+                      CASE WHEN byd THEN CASE WHEN code = 'BYD472QC' OR family = 'byd_leopard-7' THEN 'byd_ehs_ecvt_dm5' ELSE 'byd_ehs_ecvt_dmi4' END WHEN family = 'lynk-co_900' THEN 'lynk_em-p_3dht' WHEN family = 'zeekr_8x' THEN 'zeekr_sep_1dht' WHEN brand = 'toyota' THEN 'toyota_ths5_ecvt'
+                           WHEN family = 'changan_cs75-plus' THEN CASE WHEN gb = '8AT' AND (my IN (2022, 2023) AND gen = '第二代' OR my = 2025 AND gen = '第四代') THEN 'aisin_8at' END
+                           WHEN family = 'changan_cs55-plus' AND gb = '7DCT' AND starts_with(code, 'JL473') OR family = 'changan_uni-v' AND gb = '7DCT' AND my = 2025 THEN 'changan_bluewhale_7dct_wet' END AS transmission,
+                      CASE WHEN byd THEN CASE WHEN code = 'BYD472QC' OR family = 'byd_leopard-7' THEN 'byd_dm_5.0' ELSE 'byd_dmi_4.0' END WHEN family = 'lynk-co_900' THEN 'lynk_em-p' WHEN family = 'zeekr_8x' THEN 'zeekr_sep' WHEN brand = 'toyota' THEN 'toyota_ths_5'
+                           WHEN pt IN ('ICE', 'BEV') THEN NULL WHEN code IS NOT NULL AND pt IS NOT NULL AND gb IN ('E-CVT', 'Редуктор 1 ст.') THEN brand || CASE pt WHEN 'EREV' THEN '_erev_' ELSE '_phev_' END || lower(code) || '_m' || CASE WHEN p_size % 5 > 0 THEN '100-' ELSE '' END || '60' END AS hybrid FROM c)
+    SELECT p_partkey, engine, transmission, hybrid, why_engine,
+           CASE WHEN transmission IS NOT NULL THEN NULL WHEN family = 'changan_cs75-plus' THEN CASE WHEN gb = '8AT' THEN 'Aisin 8AT подтверждён только для 第二代 и 第四代 (2025); здесь другое/смешанное поколение или 6AT' ELSE 'механика: тип/поставщик не подтверждены' END
+                WHEN gb = 'Редуктор 1 ст.' THEN 'редуктор EV/EREV — тип/поставщик не указаны' WHEN family IN ('changan_uni-v', 'changan_cs75', 'changan_cs55-plus') AND gb = '7DCT' THEN '7DCT: мокрое сцепление/поставщик для этого года источником не подтверждены'
+                WHEN gb = 'E-CVT' THEN 'E-CVT Changan: поколение гибридной трансмиссии не подтверждено' WHEN gb <> '' THEN gb || ': поставщик/поколение не подтверждены' WHEN pt = 'BEV' THEN 'BEV: редуктор, тип/поставщик не указаны' ELSE 'нет данных о трансмиссии' END AS why_transmission,
+           CASE WHEN hybrid IS NOT NULL THEN NULL WHEN pt IN ('ICE', 'BEV') THEN 'не гибрид (ICE/BEV)' ELSE 'гибрид без подтверждённого названия и без полного технического отпечатка' END AS why_hybrid FROM t""")
+def component_rules_assign(t: Tables) -> DataFrame:
+    """The catalogue's own rules for components over records; parts stand for records of its families."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + i % len(values)).cast("int"))
+    by = lambda d: F.floor(n / d)
+    kw = F.struct(F.when(size % 5 > 0, F.lit(100.0)).alias("front_kw"), F.lit(60.0).alias("rear_kw"), F.lit(160.0).alias("power_kw"))
+    engine = F.struct(pick(_CODES, by(12)).alias("code"), F.when(size % 3 == 0, F.lit(1498.0)).alias("displacement_cc"), F.when(size % 2 == 0, "turbo").otherwise("NA").alias("aspiration"))
+    rows = t.part.select(
+        "p_partkey", F.concat(pick(_FAMILIES, n), F.lit("_"), n).alias("slug"), F.replace(F.replace(pick(_FAMILIES, n), F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" ")).alias("model"), (2022 + n % 4).cast("int").alias("my"),
+        pick(_GENERATIONS, by(7)).alias("generation"), pick(_BOXES, size).alias("transmission"), F.nullif(pick(_TYPES, by(60)), F.lit("")).alias("powertrain_type"), engine.alias("engine"), kw.alias("motor"),
+    )
+    out = component_rules.assigned(rows)
+    part = lambda kind: F.element_at("components", F.lit(kind))
+    why = lambda kind: F.try_element_at("components_null_reason", F.lit(kind))
+    return out.select("p_partkey", part("engine").alias("engine"), part("transmission").alias("transmission"), part("hybrid_system").alias("hybrid"), why("engine").alias("why_engine"), why("transmission").alias("why_transmission"), why("hybrid_system").alias("why_hybrid"))
