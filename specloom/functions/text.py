@@ -37,7 +37,7 @@ def folded(text: Column, fragments: Column, kind: Column | None = None) -> Colum
 
 def numbers_of(text: Column) -> Column:
     """The sorted numbers of a text: thousands commas joined, decimal commas as points."""
-    joined = F.regexp_replace(F.regexp_replace(text, r"(\d),(\d{3})(?!\d)", "$1$2"), r"(\d),(\d)", "$1.$2")
+    joined = F.regexp_replace(F.regexp_replace(text, r"(?U)(\d),(\d{3})(?!\w)", "$1$2"), r"(\d),(\d)", "$1.$2")
     return F.sort_array(F.regexp_extract_all(joined, F.lit(r"(\d+(?:\.\d+)?)")))
 
 
@@ -61,6 +61,41 @@ def problems(source: Column, target: Column, protected: Sequence[str] = (), kind
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+#: Fixed values. Han letters; a thousand as a word; letters of Azerbaijani words, and those that only these have.
+HAN, THOUSANDS, AZ_WORD, AZ_LETTERS = "([一-鿿]+)", r"(\d+)\s*тыс\.", "([a-zəıöüçşğ]{4,})", "[əıöüçşğ]"
+
+
+def lost_labels(source: Column, target: Column, translated: Sequence[str] = ()) -> Column:
+    """The Chinese labels of a text that its translation neither has whole nor, after terms that have translations are taken out (the
+    longest first), has the rest of."""
+    runs = F.regexp_extract_all(source, F.lit(HAN), F.lit(1))
+
+    def rest(run: Column) -> Column:
+        for term in sorted(translated, key=len, reverse=True):
+            run = F.replace(run, F.lit(term), F.lit(""))
+        return run
+
+    return F.filter(runs, lambda r: (rest(r) != "") & ~F.contains(target, rest(r)) & ~F.contains(target, r))
+
+
+def translation_problems(source: Column, target: Column, protected: Sequence[str] = (), translated_labels: Sequence[str] = (), language: str = "other") -> Column:
+    """All that is wrong with a translation, as an array of texts; an empty one has no other problem. Null sources have none but that.
+
+    Numbers must be the same multiset, thousands commas joined, decimal commas as points; ``70 тыс.`` may stand for 70000.
+    """
+    target = F.coalesce(target, F.lit(""))
+    ours, theirs = numbers_of(source), numbers_of(target)
+    other = numbers_of(F.regexp_replace(source, THOUSANDS, "$1" + "000"))
+    found = [F.when((theirs != ours) & (theirs != other), F.concat(F.lit("numbers "), F.array_join(ours, " "), F.lit(" -> "), F.array_join(theirs, " ")))]
+    found += [F.when(F.contains(source, F.lit(p)) & ~F.contains(target, F.lit(p)), F.lit(f"term {p}")) for p in protected]
+    labels = F.transform(lost_labels(source, target, translated_labels), lambda r: F.concat(F.lit("label "), r))
+    last = [F.when(target.rlike(CYRILLIC), "cyrillic")]
+    if language == "az":
+        last.append(F.when((F.size(F.regexp_extract_all(target, F.lit(AZ_WORD))) >= 3) & ~target.rlike(AZ_LETTERS), "letters"))
+    there = F.concat(F.array(*found), F.coalesce(labels, F.array().cast("array<string>")), F.array(*last))
+    return F.when(F.trim(target) == "", F.array(F.lit("empty"))).otherwise(F.filter(there, lambda x: x.isNotNull()))
+
+
 def around(text: Column, marker: str, before: str | None = None, after: str | None = None) -> Column:
     """Whether the text holds ``marker`` and, within the match, what the bounds say (regular expressions)."""
     return text.rlike(f"{before or ''}{marker}{after or ''}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.operators import components, issues, records, specs
+from specloom.functions import text
+from specloom.operators import components, issues, records, specs, translate
 from specloom.plans import component_rules, models, report
 from specloom.plans.queries import Tables, registered
 
@@ -253,3 +254,57 @@ def component_rules_assign(t: Tables) -> DataFrame:
     part = lambda kind: F.element_at("components", F.lit(kind))
     why = lambda kind: F.try_element_at("components_null_reason", F.lit(kind))
     return out.select("p_partkey", part("engine").alias("engine"), part("transmission").alias("transmission"), part("hybrid_system").alias("hybrid"), why("engine").alias("why_engine"), why("transmission").alias("why_transmission"), why("hybrid_system").alias("why_hybrid"))
+
+
+@registered("""
+    WITH t AS (SELECT 'cn_issue' AS kind, 'шум ' || o_orderstatus || o_orderkey % 50 AS text FROM orders UNION SELECT 'cn_scope_note', 'только ' || o_orderkey % 7 FROM orders UNION SELECT 'cn_buyer_check', 'осмотр ' || c_nationkey FROM customer
+               UNION SELECT 'cn_note', 'заметка ' || c_nationkey FROM customer UNION SELECT 'cn_note', 'вторая ' || c_mktsegment FROM customer UNION SELECT 'cn_fuel_cycle', '工信部 ' || c_mktsegment FROM customer
+               UNION SELECT 'cn_component_name', 'узел ' || s_nationkey FROM supplier UNION SELECT 'cn_component_spec', 'тип ' || s_nationkey % 4 FROM supplier)
+    SELECT sha256(text) AS key, text, kind FROM t""")
+def translation_texts(t: Tables) -> DataFrame:
+    """The texts of nested records and components that need translation, each once, by paths."""
+    key = F.col("o_orderkey")
+    issue = F.struct(F.concat(F.lit("шум "), "o_orderstatus", key % 50).alias("text"), F.concat(F.lit("только "), key % 7).alias("scope_note"), F.lit("x").alias("review_car"))
+    found = t.orders.groupBy("o_custkey").agg(F.collect_list(issue).alias("known_issues"))
+    nation = F.col("c_nationkey").cast("string")
+    rows = t.customer.join(found, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.col("c_custkey").cast("string").alias("slug"), "known_issues", F.array(F.concat(F.lit("осмотр "), nation), F.lit("plain")).alias("buyer_checks"),
+        F.concat(F.lit("заметка "), nation, F.lit(" | plain | вторая "), "c_mktsegment").alias("notes"), F.struct(F.concat(F.lit("工信部 "), "c_mktsegment").alias("cycle")).alias("fuel_l_100km"),
+    )
+    own = F.col("s_nationkey")
+    parts = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("узел "), own).alias("name"), F.create_map(F.lit("a"), F.array(F.concat(F.lit("тип "), own % 4), F.lit("x"))).alias("specs"))
+    return translate.gathered(translate.extracted(rows, translate.RECORD_PATHS, "slug"), translate.extracted(parts, translate.COMPONENT_PATHS, "id", 1))
+
+
+@registered("""
+    WITH t AS (SELECT DISTINCT 'cn_note' AS kind, 'клиент ' || n_name || ' сегмент ' || c_mktsegment AS text, n_nationkey = 0 AS own, n_name AS name, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey
+               UNION ALL SELECT DISTINCT 'cn_fuel_cycle', '工信部 ' || o_orderpriority, false, o_orderpriority, '' FROM orders UNION ALL SELECT DISTINCT 'cn_status', 'сегмент ' || o_orderstatus, false, '', '' FROM orders),
+         r AS (SELECT *, CASE kind WHEN 'cn_note' THEN CASE WHEN own THEN 'client of ' || lower(name) ELSE 'client ' || name END || ' ' || seg || ' segment' WHEN 'cn_fuel_cycle' THEN CASE WHEN name[1] = '1' THEN 'MIIT ' || name END END AS result FROM t)
+    SELECT sha256(text) AS key, text, kind, result, CASE WHEN result IS NOT NULL THEN 'fragments' END AS method FROM r""")
+def translation_folds(t: Tables) -> DataFrame:
+    """Texts translated by the fragments that may occur in them, then by patterns; what keeps a label counts as untranslated."""
+    nation = t.nation.select("n_nationkey", "n_name")
+    rows = t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("cn_note").alias("kind"), F.concat(F.lit("клиент "), "n_name", F.lit(" сегмент "), "c_mktsegment").alias("text"))
+    rows = rows.union(t.orders.select(F.lit("cn_fuel_cycle"), F.concat(F.lit("工信部 "), "o_orderpriority"))).union(t.orders.select(F.lit("cn_status"), F.concat(F.lit("сегмент "), "o_orderstatus")))
+    wanted = rows.distinct().select(text.text_key(F.col("text")).alias("key"), "text", "kind")
+    note = F.array(F.lit("cn_note"))
+    some = t.region.where("r_regionkey = 0")
+    fragments = some.select(F.lit(0).alias("pos"), F.lit("клиент ").alias("source"), F.lit("client ").alias("target"), note.alias("kinds")).union(some.select(F.lit(1), F.lit("сегмент"), F.lit("segment"), note))
+    fragments = fragments.union(nation.where("n_nationkey = 0").select(F.lit(2), F.concat(F.lit("клиент "), "n_name"), F.concat(F.lit("client of "), F.lower("n_name")), note))
+    phrases = some.select(F.lit("нет такого").alias("source"), F.lit("none").alias("target"))
+    return translate.translated(wanted, phrases, fragments, [(["cn_note"], "segment ([A-Z]+)", r"\1 segment"), (["cn_fuel_cycle"], "工信部 1", "MIIT 1")])
+
+
+@registered("""
+    SELECT o_orderkey, CASE o_orderkey % 8 WHEN 2 THEN 'numbers ' || o_orderkey || ' -> ' || (o_orderkey + 1) WHEN 3 THEN 'term BYD' WHEN 4 THEN 'empty' WHEN 5 THEN 'label 国产双擎' WHEN 6 THEN 'cyrillic' WHEN 7 THEN 'letters' ELSE '' END AS problems FROM orders""")
+def translation_checks(t: Tables) -> DataFrame:
+    """Each of the checks of translations: emptiness, numbers, terms, labels, alphabet, letters of the language."""
+    k = F.col("o_orderkey")
+    targets = ["price %s000 BYD 国产双擎", "price %s BYD 国产双擎", None, "price %s 国产双擎", " ", "price %s BYD", "цена %s BYD 国产双擎", "qiymet %s min BYD deyer gore 国产"]
+    target = F.format_string("price %s BYD 国产", k + 1)
+    for n, shown in enumerate(targets):
+        if shown is not None:
+            target = F.when(k % 8 == n, F.format_string(shown, k) if "%" in shown else F.lit(shown)).otherwise(target)
+    source = F.format_string("цена %s тыс. BYD 国产双擎", k)
+    found = text.translation_problems(source, target, ("BYD",), ("双擎",), "az")
+    return t.orders.select("o_orderkey", F.array_join(found, ";").alias("problems"))
