@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.operators.firsts import united
+from specloom.operators.prefix import pairs
 
 
 def verification(*core: Column) -> Column:
@@ -53,5 +54,6 @@ def synced_copies(records: DataFrame, key: str, copy_of: str, fields: Sequence[s
 
 def unique_prefix(wanted: DataFrame, prefix: str, names: DataFrame, name: str) -> DataFrame:
     """Each prefix with the one name that begins with it; the query fails if there is none or more than one."""
-    found = wanted.join(names, F.col(name).startswith(F.col(prefix)), "left").groupBy(prefix).agg(F.count(name).alias("n"), F.first(name).alias(name))
+    met = pairs(names, name, wanted.select(prefix).distinct(), prefix).groupBy(prefix).agg(F.count(name).alias("n"), F.first(name).alias(name))
+    found = wanted.select(prefix).distinct().join(met, prefix, "left")
     return found.select(prefix, F.when(F.col("n") == 1, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("not one match: "), F.col(prefix)))).alias(name))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from specloom.operators.prefix import pairs
+
 
 def coverage(rows: DataFrame, row: str, column: str, columns: Sequence, names: DataFrame | None = None) -> DataFrame:
     """Counts of ``row`` by ``column``, with zeros and a total per row; ``names`` (one column) adds rows without any.
@@ -23,7 +25,20 @@ def coverage(rows: DataFrame, row: str, column: str, columns: Sequence, names: D
 
 def unmatched(rows: DataFrame, key: str, families: DataFrame, prefix: str) -> DataFrame:
     """Rows whose key begins with no family's prefix."""
-    return rows.join(F.broadcast(families), F.col(key).startswith(F.col(prefix)), "left_anti")
+    return rows.join(pairs(rows, key, families, prefix).select(key), key, "left_anti")
+
+
+def counters(df: DataFrame, name: str, conditions: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` and what gathers, in the pass that computes it, how many rows fulfil each of ``conditions``: its ``get`` has them then."""
+    told = Observation(name)
+    return df.observe(told, *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]), told
+
+
+def written(df: DataFrame, path: str, conditions: Mapping[str, Column], mode: str = "errorifexists") -> dict[str, int]:
+    """Writes ``df`` and returns its counters, gathered by the same pass."""
+    rows, told = counters(df, "written", conditions)
+    rows.write.mode(mode).parquet(path)
+    return {n: told.get[n] for n in conditions}
 
 
 def index_row(hp: Column, low: Column, high: Column, issues: Column, name: Column) -> list[Column]:

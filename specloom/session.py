@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Later map entries win, texts are UTC, errors are loud.
 SETTINGS = {
@@ -17,3 +19,13 @@ SETTINGS = {
 def session(master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in extra.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``; in a local one where that is unset and all runs on one machine."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="specloom-"))
+    return df.checkpoint()

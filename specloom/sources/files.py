@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from specloom.session import settled
+
 
 def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One row per JSON file with ``slug``, its stem. The schema is stated: inference breaks unions and open maps."""
@@ -51,15 +53,17 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.withColumnRenamed(first, "﻿" + first).write.option("sep", sep).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_new(df: DataFrame, path: str, key: str = "slug", force: bool = False) -> DataFrame:
-    """Appends the rows whose key the Parquet table at ``path`` lacks (all of them with ``force``) and returns them."""
-    spark = df.sparkSession
-    if not force:
-        try:
-            df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_new(df: DataFrame, path: str, key: str = "slug") -> DataFrame:
+    """Appends the rows whose key the Parquet table at ``path`` lacks and returns them; ``tables.KeyedTable`` replaces rows too."""
+    if exists(df.sparkSession, path):
+        df = df.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    df = settled(df)  # what is appended must not be read again
     df.write.mode("append").parquet(path)
     return df
 
@@ -72,15 +76,17 @@ def replaced_between(text: Column, name: str, new: Column) -> Column:
     return F.when(text.contains(start) & text.contains(stop), whole).otherwise(F.raise_error(F.lit(f"marker {name} is missing")))
 
 
-def write_json_array(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
-    """One text row holding the table as an indented JSON array, characters unescaped: a report, its rows bounded by the caller.
+def write_json_array(df: DataFrame, path: str, order: list[Column | str]) -> None:
+    """The table as a JSON array, in ``order``: the files at ``path``, put together by name, are the array, a row a line.
 
-    Rows are put in ``order`` within the array; the array is one value, so this is for small results only.
+    Rows are sorted by ranges, so no task has them all; brackets are rows of their own before and after.
     """
-    sort = F.struct(*(order or [F.lit(0)])).alias("_o")
-    packed = F.array_sort(F.collect_list(F.struct(sort, F.struct(*df.columns).alias("_r"))))
-    rows = df.agg(F.to_json(F.transform(packed, lambda x: x["_r"]), {"pretty": "true"}).alias("value"))
-    rows.write.mode("overwrite").text(path)
+    spark = df.sparkSession
+    bracket = lambda b: spark.range(0, 1, 1, 1).select(F.lit(b).alias("value"))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    comma = F.when(F.monotonically_increasing_id() == 0, " ").otherwise(",")  # the first row stands first in the first part
+    body = rows.select(F.concat(comma, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("value"))
+    bracket("[").union(body).union(bracket("]")).write.mode("overwrite").text(path)
 
 
 def write_sorted_json(df: DataFrame, path: str, key: str = "key") -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, Not, StringContains
 
 from specloom.operators.reviews import VISIT
+from specloom.session import settled
 from specloom.sources.web import Fetch, fetched, http_get
 
 #: Fixed values. Addresses of the answers: reviews of a series, of a trim; reviews of a page; pages asked for at most.
@@ -93,7 +94,7 @@ def fetch_reviews(keys: DataFrame, most: int = MOST, base: str = BASE, year: str
             rows = [(k, i, int(p), *asked(k, i, int(p), base, year, fetch, wait)) for k, i, p in batch.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["kind", "id", "page", "body", "error"])
 
-    first = keys.select("kind", F.col("id").cast("string").alias("id")).distinct().withColumn("page", F.lit(1)).mapInPandas(ask, ANSWERS).checkpoint()
+    first = settled(keys.select("kind", F.col("id").cast("string").alias("id")).distinct().withColumn("page", F.lit(1)).mapInPandas(ask, ANSWERS))
     pages = first.withColumn("last", F.try_variant_get(F.try_parse_json("body"), "$.result.pagecount", "int")).where("last >= 2")
     rest = pages.select("kind", "id", F.explode(F.sequence(F.lit(2), F.least("last", F.lit(most)))).alias("page")).where("page > 1")
     dealt = rest.repartition("kind", "id", "page")  # a page is a request: dealt out one by one
