@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,48 +104,129 @@ def tree(page: str) -> Element:
     return own.root
 
 
-def labelled(root: Element, labels: Mapping[str, str], item: str, enough: int = 5) -> dict[str, str]:
-    """Values by column: those of the elements of class ``item`` (with ``-name`` and ``-value`` in them); if they are
-    fewer than ``enough``, also those beside any text that is a label: the next element, else the rest of the parent's."""
-    found: dict[str, str] = {}
-    for e in root.walk():
-        if e.has_class(item):
-            name = next((x for x in e.walk() if x.has_class(f"{item}-name")), None)
-            value = next((x for x in e.walk() if x.has_class(f"{item}-value")), None)
-            if name is not None and value is not None and (own := name.text()) in labels:
-                found[labels[own]] = value.text()
-    if len(found) >= enough:
-        return found
-    for e in [root, *root.walk()]:
-        for s in e.children:
-            column = labels.get(s.strip()) if isinstance(s, str) else None
-            if column is None or column in found:
+class _Flat(HTMLParser):
+    """A page in one pass of events: its texts in order, and for each element by number which of them are its own.
+
+    Elements end where ``_Builder`` ends them. Element 0 is the page.
+    """
+
+    def __init__(self, labels: Mapping[str, str], item: str):
+        super().__init__(convert_charrefs=True)
+        self.labels, self.item, self.name_class, self.value_class = labels, item, f"{item}-name", f"{item}-value"
+        self.tags, self.parents, self.starts, self.ends, self.after, self.last = [""], [-1], [0], [-1], [0], [0]
+        self.texts: list[str] = []
+        self.at, self.silent = 0, 0
+        self.marked: dict[int, list[int]] = {}  # items: the first name and value in each
+        self.hits: list[tuple[int, str]] = []
+        self.firsts: dict[str, int] = {}
+
+    def _open(self, tag: str, attrs: list) -> int:
+        n, parent = len(self.tags), self.at
+        self.tags.append(tag), self.parents.append(parent), self.starts.append(len(self.texts)), self.ends.append(-1), self.after.append(0), self.last.append(0)
+        if before := self.last[parent]:
+            self.after[before] = n
+        self.last[parent] = n
+        if tag in ("title", "h1") and tag not in self.firsts:
+            self.firsts[tag] = n
+        for key, value in attrs:
+            if key == "class" and value and self.item in value:
+                classes = value.split()
+                if self.item in classes:
+                    self.marked[n] = [0, 0]
+                for place, name in enumerate((self.name_class, self.value_class)):
+                    if name in classes:
+                        self._mark(n, place)
+                break
+        return n
+
+    def _mark(self, n: int, place: int) -> None:
+        above = self.parents[n]
+        while above >= 0:
+            if (own := self.marked.get(above)) is not None and not own[place]:
+                own[place] = n
+            above = self.parents[above]
+
+    def _leave(self) -> None:
+        self.ends[self.at] = len(self.texts)
+        self.silent -= self.tags[self.at] in _SILENT
+        self.at = self.parents[self.at]
+
+    def handle_starttag(self, tag, attrs):
+        if self.tags[self.at] in _ENDED_BY.get(tag, ()) or (tag in _BLOCKS and self.tags[self.at] == "p"):
+            self._leave()
+        n = self._open(tag, attrs)
+        if tag in _VOID:
+            self.ends[n] = self.starts[n]
+        else:
+            self.at = n
+            self.silent += tag in _SILENT
+
+    def handle_startendtag(self, tag, attrs):
+        n = self._open(tag, attrs)
+        self.ends[n] = self.starts[n]
+
+    def handle_endtag(self, tag):
+        e = self.at
+        while e > 0 and self.tags[e] != tag:
+            e = self.parents[e]
+        if e > 0:
+            while self.at != e:
+                self._leave()
+            self._leave()
+
+    def handle_data(self, data):
+        if own := data.strip():
+            if not self.silent:
+                self.texts.append(own)
+            if own in self.labels:
+                self.hits.append((self.at, own))
+
+    def text(self, n: int, between: str = " ") -> str:
+        end = self.ends[n]
+        return between.join(self.texts[self.starts[n] : len(self.texts) if end < 0 else end])
+
+    def first(self, tag: str, between: str = " ") -> str | None:
+        return self.text(self.firsts[tag], between) if tag in self.firsts else None
+
+    def values(self, enough: int = 5) -> dict[str, str]:
+        """Values by column: those of the elements of class ``item`` (with ``-name`` and ``-value`` in them); if they are
+        fewer than ``enough``, also those beside any text that is a label: the next element, else the rest of the parent's."""
+        found = {}
+        for name, value in self.marked.values():
+            if name and value and (own := self.text(name)) in self.labels:
+                found[self.labels[own]] = self.text(value)
+        if len(found) >= enough:
+            return found
+        for n, own in sorted(self.hits, key=lambda hit: hit[0]):
+            column = self.labels[own]
+            if column in found:
                 continue
-            beside = e.following()
-            value = beside.text() if beside is not None else ""
-            if not value and e.parent is not None:
-                value = e.parent.text().replace(s.strip(), "", 1).strip()
+            value = self.text(self.after[n]) if self.after[n] else ""
+            if not value and self.parents[n] >= 0:
+                value = self.text(self.parents[n]).replace(own, "", 1).strip()
             if value:
                 found[column] = value
-    return found
-
-
-def _first(root: Element, tag: str) -> Element | None:
-    return next((e for e in root.walk() if e.tag == tag), None)
+        return found
 
 
 def listing(page: Column, labels: Mapping[str, str], item: str) -> Column:
     """(title, h1, text, values map) of a listing page; null for a null page."""
+    kinds = pa.struct([("title", pa.string()), ("h1", pa.string()), ("text", pa.string()), ("values", pa.map_(pa.string(), pa.string()))])
 
-    def run(pages: pd.Series) -> pd.DataFrame:
-        rows = []
+    def run(pages: pa.Array) -> pa.Array:
+        columns: list[list] = [[], [], [], []]
         for p in pages:
-            root = None if p is None else tree(p)
-            title, h1 = (None, None) if root is None else (_first(root, "title"), _first(root, "h1"))
-            rows.append({"title": title and title.text(""), "h1": h1 and h1.text(), "text": root and root.text(), "values": None if root is None else labelled(root, labels, item)})
-        return pd.DataFrame(rows, columns=["title", "h1", "text", "values"])
-
-    return F.pandas_udf(run, "title string, h1 string, text string, values map<string,string>")(page)
+            own = None
+            if p.is_valid:
+                own = _Flat(labels, item)
+                own.feed(p.as_py())
+                own.close()
+            told = (None,) * 4 if own is None else (own.first("title", ""), own.first("h1"), own.text(0), list(own.values().items()))
+            for column, value in zip(columns, told, strict=True):
+                column.append(value)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], fields=list(kinds))
+
+    return F.arrow_udf(run, "title string, h1 string, text string, values map<string,string>")(page)
 
 
 def _date_near(a: Element) -> str | None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.operators.firsts import first_rows
@@ -76,6 +76,83 @@ def category_counts(found: DataFrame, key: str, names: Sequence[str] = ()) -> Da
     return found.groupBy("category").agg(F.count_distinct(key).alias("reviews")).orderBy(F.desc("reviews"), place)
 
 
+#: Fixed values. Complaints by category, and what says in a match's window that there is none.
+CATEGORIES = {
+    "head_unit": "死机|黑屏|白屏|自动重启|重启|卡顿|卡死|闪退|花屏",
+    "rattle": "异响|咯吱|嘎吱|吱吱|咔咔|哒哒",
+    "brake": "刹车.{0,8}(异响|偏软|太软|发软|偏硬|点头|不线性|不跟脚|前段|行程|异常|抖)",
+    "noise_road": "胎噪|风噪|路噪|隔音",
+    "engine_noise": "发动机.{0,8}(噪音|声音|吵|轰|嗡|震动|抖)|增程器.{0,6}(噪音|声音|吵|震)",
+    "suspension": "底盘.{0,6}(硬|软|松散|颠|异响|调校)|悬挂.{0,4}(硬|软)|减震.{0,4}(硬|软|差)|避震.{0,4}(硬|软|差)",
+    "jerk": "顿挫|前窜|往前窜|窜一下|一冲一冲|耸",
+    "range_fuel": "续航.{0,6}(虚|打折|缩水|掉|达成率)|亏电.{0,4}油耗.{0,6}(高|偏高)|油耗.{0,3}(高|偏高|大)",
+    "paint_body": "车漆|漆面|漆薄|生锈|锈",
+    "adas": "智驾|辅助驾驶|AEB|误刹|幽灵刹车|自动泊车|车道保持|NOA|领航",
+    "lights": "大灯|车灯|远光|近光",
+    "leak": "漏水|进水|渗水|漏油|起雾",
+    "charge": "充电.{0,8}(故障|失败|慢|跳枪|中断|中止|充不进)|充不进",
+    "climate": "空调.{0,8}(异味|不制冷|故障|噪音|吵)|热泵",
+    "app_key": "APP|App|app|蓝牙钥匙|手机钥匙|NFC",
+    "door_handle": "门把手",
+    "smell": "异味|味道大|气味",
+    "tire": "轮胎|胎压|爆胎|鼓包",
+    "steering": "方向盘.{0,6}(抖|异响|跑偏|虚位)|跑偏",
+    "battery12v": "亏电(?!.{0,4}油耗)|小电瓶|电瓶",
+}
+NEGATIONS = "没有|没遇到|无故障|还没|未出现|不卡顿|无卡顿|减少卡顿|不会卡|暂无|从未|零故障|目前没|无异响|没出现|没啥|几乎感觉不到|无顿挫|没有顿挫|毫无顿挫|感受不到"
+#: Reviews that a report shows of a category, snippets of a review; letters of the trim's name in a review's line.
+SHOWN, SNIPPETS, TRIM_LETTERS = 14, 2, 22
+
+
+def review_meta(trim: Column, owned: Column) -> Column:
+    """What a report says of a review beside its id: the beginning of the trim's name and how long it has been owned."""
+    return F.concat(F.substring(F.trim(trim), 1, TRIM_LETTERS), F.lit("/"), F.trim(owned))
+
+
+def complaint_report(reviews: DataFrame, key: str, text: str, meta: Column, position: str, categories: Mapping[str, str] | None = None, negation: str = NEGATIONS, shown: int = SHOWN) -> DataFrame:
+    """(rank, category, reviews, place, key, meta, snippets): categories by the reviews that complain, the first ``shown`` of each.
+
+    Categories with as many stand in the order in which they first occur, by ``position`` of the review, then as listed. A review shows
+    its first SNIPPETS snippets, line ends as spaces, between bars. Texts are read once; what is shuffled are the snippets only.
+    """
+    names = CATEGORIES if categories is None else dict(categories)
+    found = complaints(reviews, key, text, names, negation).where(F.col("place") < SNIPPETS)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "snippet"))), lambda x: F.replace(x["snippet"], F.lit("\n"), F.lit(" ")))
+    each = found.groupBy(key, "category").agg(F.array_join(lines, " || ").alias("snippets"))
+    each = each.join(reviews.select(key, F.col(position).alias("_position"), meta.alias("meta")), key)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category"))
+    counts = each.groupBy("category").agg(F.count("*").alias("reviews"), F.min("_position").alias("_first")).withColumn("_place", place)
+    counts = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("reviews"), "_first", "_place")))  # a row a category
+    first = first_rows(each.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("_position", key))), ["category"], ["_position", key], shown)
+    return first.join(F.broadcast(counts), "category").select("rank", "category", "reviews", "place", key, "meta", "snippets")
+
+
+def report_lines(report: DataFrame, key: str) -> DataFrame:
+    """(rank, place, line): a report as lines, each category's heading at place 0."""
+    head = report.where("place = 1").select("rank", F.lit(0).alias("place"), F.format_string("#### %s: %d reviews", "category", "reviews").alias("line"))
+    return head.union(report.select("rank", "place", F.format_string("  %s %s: %s", F.col(key).cast("string"), "meta", "snippets")))
+
+
+#: Fixed values. Where parts of a review page begin and end, and how long they may be.
+PAGE_SPEC, PAGE_MINUS, PAGE_BROKEN = ("Характеристики", 300), "Недостатки(.{0,1200}?)(Поломки|Оценка|Комментари|Достоинства)", "Поломки(.{0,600}?)(Оценка|Комментари)"
+BODY_FROM, BODY_TO, BODY_LETTERS, BODY_MOST = "Год выпуска", ("Мнения владельцев", "Комментарии"), 4000, 3500
+
+
+def page_opinions(text: Column) -> Column:
+    """A struct of what a page's plain text gives as specification (empty without), faults and breakdowns (null without)."""
+    at = F.instr(text, PAGE_SPEC[0])
+    part = lambda pattern: F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.struct(F.when(at > 0, F.substr(text, at, F.lit(PAGE_SPEC[1]))).otherwise("").alias("spec"), part(PAGE_MINUS).alias("minus"), part(PAGE_BROKEN).alias("broken"))
+
+
+def page_body(text: Column) -> Column:
+    """A review page's text from BODY_FROM up to the first of BODY_TO after it; empty without a beginning."""
+    at = F.instr(text, BODY_FROM)
+    tail = F.substr(text, at, F.lit(BODY_LETTERS))
+    ends = F.filter(F.array(*[F.instr(F.substr(text, at), p) for p in BODY_TO]), lambda e: e > 1)
+    return F.when(at > 0, F.substr(tail, F.lit(1), F.least(F.coalesce(F.array_min(ends) - 1, F.lit(BODY_LETTERS)), F.lit(BODY_MOST)))).otherwise("")
+
+
 def between(text: Column, start: str, stop: str, most: int = 1200) -> Column:
     """What stands between the markers, at most ``most`` letters; null without the first marker."""
     tail = F.element_at(F.split(text, f"\\Q{start}\\E", 2), -1)
@@ -98,10 +175,12 @@ def owners_only(reviews: DataFrame, trim: str = "") -> DataFrame:
 
 
 def least_liked(text: Column, most: int = 1200) -> Column:
-    """What a review's text says under LEAST, up to the next rating, at most ``most`` letters; empty without it."""
+    """What a review's text says under LEAST, up to the next rating, at most ``most`` letters; without a rating, ``most`` from the mark's
+    own beginning; empty without the mark."""
     body = F.substring_index(text, RIGHTS, 1)
     tail = F.when(F.contains(body, F.lit(LEAST)), F.element_at(F.split(body, LEAST, 2), 2))
-    return F.coalesce(F.trim(F.substring(F.element_at(F.split(tail, AFTER, 2), 1), 1, most)), F.lit(""))
+    parts = F.split(tail, AFTER, 2)
+    return F.coalesce(F.trim(F.substring(F.element_at(parts, 1), F.lit(1), F.when(F.size(parts) > 1, most).otherwise(most - len(LEAST)))), F.lit(""))
 
 
 def fault_snippets(reviews: DataFrame, key: str, text: str, n: int = 8, context: int = 70, faults: str = FAULTS) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions import text
-from specloom.operators import reviews, specs
-from specloom.plans import catalogue
+from specloom.operators import prefix, reviews, specs
+from specloom.plans import catalogue, report
 from specloom.plans.queries import Tables, registered
-from specloom.sources import files
+from specloom.session import shared_folder
+from specloom.sources import files, tables
 from specloom.sources import reviews as paged
 
 
@@ -33,7 +36,9 @@ def listing_rows(t: Tables) -> DataFrame:
     head = F.when(k % 3 == 0, F.concat(F.lit("<h1>Head <b>"), k, F.lit("</b></h1>"))).otherwise("")
     page = F.concat(F.lit("<html><head><title>Car, qiyməti "), price, F.lit(" USD</title></head><body>"), head, F.when(even, primary).otherwise(other), F.lit("<script>var a = '999 999 AZN';</script></body></html>"))
     gone, late = k % 13 == 0, (k % 13 > 0) & (k % 17 == 0)
-    pages = t.orders.select(k.cast("string").alias("url"), F.when(gone, 404).when(late, F.lit(None).cast("int")).otherwise(200).alias("status"), F.when(~gone & ~late, page).alias("html"), F.when(late, "late").alias("error"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders = orders.repartition(orders.sparkSession.sparkContext.defaultParallelism, "o_orderkey")  # a few bytes become a page each: dealt out before
+    pages = orders.select(k.cast("string").alias("url"), F.when(gone, 404).when(late, F.lit(None).cast("int")).otherwise(200).alias("status"), F.when(~gone & ~late, page).alias("html"), F.when(late, "late").alias("error"))
     return catalogue.listings(pages).select(F.col("url").cast("long").alias("o_orderkey"), "error", "title", "make", "year", "mileage_km", "gearbox", "drive", "city", "engine_l", "battery_kwh", "hp", "fuel", "price_azn", "under_budget")
 
 
@@ -106,10 +111,10 @@ def owner_reviews(t: Tables) -> DataFrame:
 
 
 @registered("""
-    SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN trim(substr(x, 1, 1200)) ELSE '' END AS least FROM (SELECT doc_id, replace(regexp_replace(substr(text, 1, 4000), '[\\s\\x0B]+', ' ', 'g'), '  ', ' ') AS x FROM documents)""")
+    SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN trim(substr(x, 1, 1200)) ELSE '' END AS least FROM (SELECT doc_id, replace(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), '  ', ' ') AS x FROM documents)""")
 def least_liked(t: Tables) -> DataFrame:
     """What a review says its owner likes least: between two markers, cut to 1200 letters."""
-    body = F.replace(F.regexp_replace(F.substring("text", 1, 4000), r"[\s\x0B]+", " "), F.lit("  "), F.lit(" "))
+    body = F.replace(F.regexp_replace("text", r"[\s\x0B]+", " "), F.lit("  "), F.lit(" "))
     page = F.concat(F.lit("最满意 all "), F.when(F.col("doc_id") % 3 > 0, F.lit("最不满意")).otherwise(""), body, F.lit(" 空间 4 and more 上述内容的版权 x 最不满意"))
     return t.documents.select("doc_id", reviews.least_liked(page).alias("least"))
 
@@ -202,3 +207,62 @@ def review_answers(t: Tables) -> DataFrame:
     body = F.when(good, F.to_json(F.struct(F.struct("list").alias("result"))))
     answers = pages.select(F.when(F.col("o_custkey") % 3 == 0, "spec").otherwise("series").alias("kind"), F.col("o_custkey").cast("string").alias("id"), (F.col("p") + 1).alias("page"), body.alias("body"), F.when(~good, "HTTP 500").alias("error"))
     return paged.parsed(answers).select("kind", "id", "page", "pos", "show_id", "specname", "visit", F.try_element_at("sections", F.lit(1))["text"].alias("said"), "error")
+
+
+@registered("""
+    WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS n, o_custkey % 2 = 0 AS more FROM orders),
+         f AS (SELECT k, 'rattle' AS category, 2 AS cat_place, CASE n WHEN 0 THEN '异响 在 ' || k ELSE '刹车 偏软 异响' END AS snippet FROM o WHERE n IN (0, 2) UNION ALL SELECT k, 'brake', 3, '刹车 偏软 异响' FROM o WHERE n = 2
+               UNION ALL SELECT k, 'head_unit', 1, '黑屏 重启' FROM o WHERE n = 3 UNION ALL SELECT k, 'lights', 11, '大灯 APP' FROM o WHERE n = 4 UNION ALL SELECT k, 'app_key', 15, '大灯 APP' FROM o WHERE n = 4),
+         c AS (SELECT category, count(*) AS reviews, row_number() OVER (ORDER BY count(*) DESC, min(k), any_value(cat_place)) AS rank FROM f GROUP BY category),
+         r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS place FROM f)
+    SELECT rank::INTEGER AS rank, place::INTEGER AS place, '  ' || k || ' ' || substr('trim number ' || k || ' of a long name', 1, 22) || '/3 months: ' || snippet AS line FROM r JOIN c USING (category) WHERE place <= 14
+    UNION ALL SELECT rank::INTEGER, 0, '#### ' || category || ': ' || reviews || ' reviews' FROM c""")
+def complaint_report(t: Tables) -> DataFrame:
+    """Reviews by category of complaint, the first fourteen of each, as lines."""
+    k = F.col("o_orderkey")
+    n = k % 6
+    body = F.when(n == 0, F.concat(F.lit("异响 在 "), k)).when(n == 1, "没有 异响").when(n == 2, "刹车 偏软 异响").when(n == 3, "黑屏 重启").when(n == 4, "大灯 APP").otherwise("好")
+    rows = t.orders.select("o_orderkey", body.alias("body"), F.concat(F.lit(" trim number "), k, F.lit(" of a long name")).alias("trim"))
+    found = reviews.complaint_report(rows, "o_orderkey", "body", reviews.review_meta(F.col("trim"), F.lit("3 months ")), "o_orderkey")
+    return reviews.report_lines(found, "o_orderkey")
+
+
+@registered("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN substr('Характеристики ' || o_orderpriority || repeat(' x', o_orderkey % 200) || ' Недостатки шум ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' Поломки ' || o_orderstatus ELSE '' END || ' Оценка 5 Год выпуска 2020 ' || o_custkey || ' Комментарии', 1, 300) ELSE '' END AS spec,
+           'шум ' || o_orderkey AS minus, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS broken, 'Год выпуска 2020 ' || o_custkey || ' ' AS body FROM orders""")
+def page_opinions(t: Tables) -> DataFrame:
+    """What the plain text of a review page says of specification, faults and breakdowns, and its body."""
+    k = F.col("o_orderkey")
+    spec = F.when(k % 3 > 0, "Характеристики ").otherwise("x ")
+    broken = F.when(k % 2 == 0, F.concat(F.lit(" Поломки "), "o_orderstatus")).otherwise("")
+    page = F.concat(F.lit("head "), spec, "o_orderpriority", F.repeat(F.lit(" x"), (k % 200).cast("int")), F.lit(" Недостатки шум "), k, broken, F.lit(" Оценка 5 Год выпуска 2020 "), "o_custkey", F.lit(" Комментарии"))
+    rows = t.orders.select("o_orderkey", reviews.page_opinions(page).alias("o"), reviews.page_body(page).alias("body"))
+    return rows.select("o_orderkey", "o.spec", "o.minus", "o.broken", "body")
+
+
+@registered("SELECT p_partkey, CASE WHEN p_name LIKE 'b%' THEN 'b' WHEN p_name LIKE 'wi%' THEN 'wi' WHEN p_name LIKE 'w%' THEN 'w' WHEN p_name LIKE 'gear%' THEN 'gear' END AS family FROM part")
+def prefix_families(t: Tables) -> DataFrame:
+    """The first family whose prefix a name begins with, met by equality of cut names."""
+    known = t.region.where("r_regionkey = 0").select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p).alias("p"), F.lit(p).alias("family")) for i, p in enumerate(("b", "wi", "w", "gear"))])).alias("x")).select("x.*")
+    return prefix.first_prefixed(t.part, "p_name", known, "p", "pos", "family").select("p_partkey", "family")
+
+
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'first' END AS segment, c_custkey % 3 < 2 AS early FROM customer")
+def keyed_replace(t: Tables) -> DataFrame:
+    """A table with a row a key: rows added, then put in place of others by key, in their buckets."""
+    table = tables.KeyedTable(t.customer.sparkSession, f"{shared_folder(t.customer.sparkSession)}/specloom-keyed-{uuid.uuid4().hex}", "c_custkey", 16)
+    early = F.col("c_custkey") % 3 < 2
+    table.put(t.customer.where(early).select("c_custkey", F.lit("first").alias("segment"), F.lit(True).alias("early")))
+    changed = t.customer.where(F.col("c_custkey") % 3 == 0).select("c_custkey", F.col("c_mktsegment").alias("segment"), F.lit(True).alias("early"))
+    table.put(changed, force=True)
+    table.put(t.customer.select("c_custkey", F.lit("first").alias("segment"), F.lit(False).alias("early")))
+    return table.read()
+
+
+@registered("SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS moved, count(*) FILTER (WHERE l_discount > 0.05) AS kept, count(*) FILTER (WHERE l_linenumber = 1) AS inherited FROM lineitem")
+def process_counters(t: Tables) -> DataFrame:
+    """How many rows a write moved, kept and inherited, counted by the pass that writes them."""
+    spark = t.lineitem.sparkSession
+    conditions = {"moved": F.col("l_returnflag") == "R", "kept": F.col("l_discount") > 0.05, "inherited": F.col("l_linenumber") == 1}
+    told = report.written(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_discount"), f"{shared_folder(spark)}/specloom-written-{uuid.uuid4().hex}", conditions)
+    return spark.createDataFrame([tuple(told.values())], ", ".join(f"{n} long" for n in told))

@@ -21,11 +21,18 @@ def session(master: str | None = None, **extra: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``; in a local one where that is unset and all runs on one machine."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a new local one where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="specloom-"))
+        base = "file://" + tempfile.mkdtemp(prefix="specloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

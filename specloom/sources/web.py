@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from specloom.session import settled
+
 #: Fixed values. Answers that are asked for again, times to try, seconds to wait (times the try).
 AGAIN = frozenset({429, 500, 502, 503, 504})
 TRIES, BACKOFF = 4, 1.5
@@ -90,3 +92,35 @@ def batches_of(ids: DataFrame, position: str, value: str, size: int = 10) -> Dat
 def tombstones(pages: DataFrame) -> DataFrame:
     """Pages with an ``error`` column that also names pages that are gone."""
     return pages.withColumn("error", F.coalesce("error", F.when(F.col("status") == 404, "404")))
+
+
+#: Fixed values. A charset that pages name in their first letters, and where it is looked for.
+OTHER_CHARSET, WITHIN = "windows-1251", 5000
+
+
+def sniffed(raw: bytes) -> str:
+    """A page's text: in OTHER_CHARSET if its beginning names that, else in UTF-8; what does not decode is left out."""
+    return raw.decode(OTHER_CHARSET if OTHER_CHARSET.encode() in raw[:WITHIN].lower() else "utf-8", "ignore")
+
+
+def sniffing_get(url: str, timeout: float = 30.0) -> tuple[int, str]:
+    """As ``http_get``, the charset told by the page and not by the answer's head."""
+    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return r.status, sniffed(r.read())
+    except urllib.error.HTTPError as e:
+        return e.code, ""
+
+
+def crawled(lists: DataFrame, fetch: Fetch = sniffing_get, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """SCHEMA rows of the numbered pages below each ``url`` of ``lists`` (``.../model/``) that its page links to, each once.
+
+    Lists that fail are rows with an error. Both steps run on the executors; the addresses are dealt out between them.
+    """
+    first = settled(fetch_all(lists, fetch, wait))
+    path = F.concat(F.parse_url("url", F.lit("PATH")))
+    found = F.regexp_extract_all("html", F.concat(F.lit("\\Q"), path, F.lit("\\E(\\d+)/")), F.lit(1))
+    links = first.where("html is not null").select(F.explode(F.transform(F.array_distinct(found), lambda i: F.concat(F.col("url"), i, F.lit("/")))).alias("url"))
+    failed = first.where(F.col("html").isNull() | (F.col("status") == 404)).select("url", "status", F.lit(None).cast("string").alias("html"), F.coalesce("error", F.lit("HTTP 404")).alias("error"))
+    return failed.union(fetch_all(links.repartition("url"), fetch, wait))

@@ -90,3 +90,41 @@ def test_no_two_rows_share_a_slug(spark):
     df = spark.createDataFrame([(1, "a", "C 1"), (2, "a", "C 1"), (3, "a", "C1"), (4, "a", None), (5, "a", None), (6, "b", "C1")], "i int, slug string, code string")
     rows = specs.without_collisions(df, "slug", "code", ["i"]).orderBy("i").collect()
     assert [r.slug for r in rows] == ["a", "a-c1", "a-c1-2", "a-2", "a-3", "b"]
+
+
+def test_flat_pages_read_as_trees_do(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from specloom.functions import dom
+
+    labels, item = {"A": "a", "B b": "b", "C": "c"}, "p__i"
+    bits = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<div class='x p__i'>", "<span class=p__i-name>", "<i class='p__i-value z'>", "</i>", "</span>", "</div>", "A", " B b ", "C", "1", "x &amp; y", "<br>", "<br/>", "<script>A</script>", "<title>t ", "</title>", "<h1>", "</h1>", "<dt>", "<dd>", "<table><tr><td>", "</table>", "<!-- A -->", "<b>", "</b>"]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.sampled_from(bits), max_size=40).map("".join))
+    def same(page):
+        root, flat = dom.tree(page), dom._Flat(labels, item)
+        flat.feed(page)
+        flat.close()
+        assert flat.text(0) == root.text()
+        for tag, between in (("title", ""), ("h1", " ")):
+            e = next((e for e in root.walk() if e.tag == tag), None)
+            assert flat.first(tag, between) == (e and e.text(between))
+        for e in root.walk():
+            assert e.tag != "h2"
+        assert sorted(flat.texts) == sorted(root.strings())
+
+    same()
+
+
+LISTING_ITEMS = "".join(f"<div class='product-properties__i'><label class='product-properties__i-name'>{n}</label><span class='product-properties__i-value'>{v}</span></div>" for n, v in (("Marka", "BYD"), ("Model", "Song"), ("Marka", "Zeekr"), ("Başqa", "x")))
+
+
+def test_listing_values_by_markup_and_beside_labels(spark):
+    page = f"<title>T</title>{LISTING_ITEMS}<ul><li><b>Rəng</b><i></i> Ağ<li><b>Yürüş</b> <i>5 km</i></ul><p>Şəhər</p><p>Bakı</p><b>Model</b><i>no</i>"
+    rows = spark.createDataFrame([(page,), ("",), (None,), ("<h1>only",)], "p string")
+    from specloom.functions import dom
+
+    got = rows.select(dom.listing(F.col("p"), catalogue.LISTING_LABELS, catalogue.LISTING_ITEM).alias("f")).collect()
+    assert got[0].f["values"] == {"make": "Zeekr", "model": "Song", "color": "Ağ", "mileage_raw": "5 km", "city": "Bakı"}
+    assert got[1].f.text == "" and got[1].f["values"] == {} and got[2].f.text is None and got[3].f.h1 == "only"

@@ -98,3 +98,41 @@ def test_odd_answers():
     assert reviews.rows_of("series", "1", 1, None)[0][-1] == "no list of reviews"
     assert reviews.rows_of("series", "1", 1, '{"result": {"list": null}}') == []
     assert reviews.rows_of("series", "1", 1, '{"result": {"list": [{"exinfolist": null, "contents": null, "distance": 5}]}}')[0][8:11] == ("5", False, [])
+
+
+def test_numbered_pages_are_crawled_from_lists(spark, tmp_path):
+    from specloom.operators import reviews as operators
+    from specloom.sources import web
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    list_page = '<meta charset=windows-1251><a href="/r/byd/x/12/">a</a><a href="/r/byd/x/12/">a</a><a href="/r/byd/x/7/?p">b</a><a href="/r/byd/y/9/">c</a>'
+
+    def fetch(url):
+        if url.endswith("/gone/"):
+            return 404, ""
+        if url.endswith("/7/"):
+            raise TimeoutError("late")
+        return 200, list_page if url.endswith("/x/") else "x Характеристики 1.5 Недостатки шум Поломки нет Оценка 5 Год выпуска 2020 текст Комментарии z"
+
+    lists = spark.createDataFrame([("http://h/r/byd/x/",), ("http://h/r/byd/gone/",)], "url string")
+    rows = {r.url: r for r in web.crawled(lists, fetch, lambda s: None).collect()}
+    assert {u: (r.status, r.error) for u, r in rows.items()} == {"http://h/r/byd/gone/": (404, "HTTP 404"), "http://h/r/byd/x/12/": (200, None), "http://h/r/byd/x/7/": (None, "late")}
+    text = spark.createDataFrame([(rows["http://h/r/byd/x/12/"].html,), ("nothing",)], "t string").select(operators.page_opinions(F.col("t")).alias("o"), operators.page_body(F.col("t")).alias("b")).collect()
+    assert (text[0].o.minus, text[0].o.broken, text[0].b) == ("шум", "нет", "Год выпуска 2020 текст ") and (text[1].o.spec, text[1].o.minus, text[1].b) == ("", None, "")
+    assert web.sniffed("<meta charset=Windows-1251>шум".encode("cp1251")).endswith("шум") and web.sniffed("шум".encode() + b"\xff") == "шум"
+
+
+def test_complaint_report_orders_and_bounds(spark):
+    from specloom.operators import reviews as operators
+
+    rows = [(i, f"{'x' * 60}刹车 有点 异响\n{'y' * 60}大灯 暗", f"trim {i} with a very long name", "1y") for i in range(20)] + [(30, "没有 异响", "t", None), (31, None, None, None), (32, "车灯", None, "2y")]
+    df = spark.createDataFrame(rows, "k int, body string, trim string, owned string")
+    found = operators.complaint_report(df, "k", "body", operators.review_meta(F.col("trim"), F.col("owned")), "k", operators.CATEGORIES | {"extra": "y{5}"}).collect()
+    heads = sorted({(r.rank, r.category, r.reviews) for r in found})
+    assert heads == [(1, "lights", 21), (2, "rattle", 20), (3, "brake", 20), (4, "extra", 20)]
+    assert sum(r.category == "lights" for r in found) == 14 and all(r.k == r.place - 1 for r in found)
+    one = next(r for r in found if r.category == "rattle" and r.k == 0)
+    assert one.meta == "trim 0 with a very lon/1y" and "\n" not in one.snippets and "异响" in one.snippets
+    lines = operators.report_lines(spark.createDataFrame(found), "k").orderBy("rank", "place").collect()
+    assert lines[0].line == "#### lights: 21 reviews" and lines[1].line.startswith("  0 trim 0")
+    assert operators.complaint_report(df.limit(0), "k", "body", F.lit("m"), "k").count() == 0
