@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,14 +16,14 @@ from .common import BLANK, free, settled, table, unit
 #: Findings that the forest is trained on, about and at most.
 MAX_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
-#: What evidence from outside the forest does to its odds: an issuer's shape, an assignment to a secret's name, such a name only, none of them.
-ISSUED_ODDS, ASSIGNED_ODDS, NAMED_ODDS, OTHER_ODDS = 1000.0, 20.0, 2.0, 0.5
+#: Share of the weight in training that the stated findings have against those of the documents.
+STATED_SHARE = 0.5
 #: Score from which a candidate is a secret.
 THRESHOLD = 0.5
 #: Rows that may be broadcast, and bytes.
 FEW, FEW_BYTES = 100_000, 16_000_000
-#: A word is in the dictionary if so many documents have it, and this share of all.
-DICTIONARY_DOCS, DICTIONARY_SHARE = 5, 1e-6
+#: A word is in the dictionary if this share of all documents has it, two at least.
+DICTIONARY_SHARE = 1e-4
 
 #: Fixed values. Names that stand before a secret.
 NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
@@ -41,7 +42,20 @@ _RUNS = r"[A-Za-z0-9+/_.~-]{16,}={0,2}"
 
 #: Transitions between kinds of characters: a lower-case, B upper-case, 1 digit, - other; their shares are features.
 TRANSITIONS = ["aa", "aB", "Ba", "BB", "a1", "1a", "B1", "1B", "11", "a-", "-a"]
-FEATURES = ["length", "digits", "uppers", "lowers", "signs", *[f"from_{t.replace('-', 'x')}" for t in TRANSITIONS], "pairs", "distinct", "hexadecimal", "coverage", "quoted", "path", "neighbours"]
+#: Fixed values. Words of values that stand for a secret and are none, and of the text around such values.
+STAND_INS = r"(?i)example|sample|dummy|placeholder|change.?me|your|insert|redact|replace|x{4,}|\*{3,}|\.{3}|\$\{|\{\{|test|fake|none|null|string|undefined|password|passwd|secret|token"
+AROUND = r"(?i)example|sample|dummy|placeholder|fake|documentation|template"
+#: Fixed values. Names and ways in which stated findings are given, values that are no secrets, and beginnings and lengths of issued keys.
+STATED_NAMES = ["password", "passwd", "secret", "token", "api_key", "auth", "access_key", "client_secret"]
+STATED_WAYS = ["{name}={value}", "{name}: {value}", 'set {name} = "{value}" here', '{{"{name}":"{value}"}}', "export {name}='{value}'", "url?{name}={value}&x=1"]
+STATED_FALSE = [
+    "string", "changeme", "changeme123", "change-me-now", "your-password-here", "your_api_key", "YOUR_TOKEN_HERE", "yourpassword", "example", "examplekey", "sample-secret", "dummy-value", "placeholder", "xxxxxxxx", "XXXXXXXXXXXXXXXX",
+    "********", "........", "password", "password123", "mypassword", "secret", "supersecret", "secretkey", "token123", "testtest", "test1234", "testpassword", "undefined", "nullnull", "insert_key_here", "replace-this", "redacted", "${PASSWORD}",
+    "{{token}}", "null,none", "required", "optional", "boolean", "integer", "function", "constant", "settings", "username", "process.env.API_KEY", "os.environ", "config.password", "request.token", "get_token()", "fake-token-000",
+]
+STATED_ISSUED = [("AKIA", 16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("ghp_", 36, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), ("sk_live_", 24, "abcdefghijklmnopqrstuvwxyz0123456789"), ("AIza", 35, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")]
+STATED_WORDS = ["hunter", "dragon", "summer", "monkey", "purple", "winter", "coffee", "orange"]
+FEATURES = ["stand_in", "around", "named", "assigned", "issued", "length", "digits", "uppers", "lowers", "signs", *[f"from_{t.replace('-', 'x')}" for t in TRANSITIONS], "pairs", "distinct", "hexadecimal", "coverage", "quoted", "path", "neighbours"]
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -88,7 +102,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def dictionary(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(piece): the letter runs of candidates that enough documents have as a word (DICTIONARY_DOCS, DICTIONARY_SHARE).
+    """(piece): the letter runs of candidates that enough documents have as a word (DICTIONARY_SHARE).
 
     Only words that candidates contain are kept, counted over all documents; a broadcast of few pieces drops the
     others before the count, many pieces are joined after each task has counted its words.
@@ -100,7 +114,7 @@ def dictionary(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     every = docs.select(F.explode(words).alias("piece"))
     if few:
         every = every.join(F.broadcast(wanted), "piece", "left_semi")
-    counts = every.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= max(DICTIONARY_DOCS, DICTIONARY_SHARE * docs.count()))
+    counts = every.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, DICTIONARY_SHARE * docs.count()))
     return counts.select("piece") if few else counts.join(wanted, "piece", "left_semi").select("piece")
 
 
@@ -146,38 +160,71 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
         "path": flag(F.concat(before, value).rlike(r"https?:|www\.|\.[a-z]{2,4}/|/\w+/|@|\.(?:com|net|org|html?|php)\b")),
         "neighbours": F.regexp_count(F.regexp_replace(F.concat_ws(" ", before, after), NAMES, ""), F.lit(r"\b[a-z]{2,}\b")).cast("double"),
     }
-    evidence = {"named": before.rlike(NAMES), "assigned": before.rlike(r"[=:]\s*['\"]?$"), "issued": value.rlike(f"^(?:{ISSUED})")}
+    evidence = {
+        "named": before.rlike(NAMES), "assigned": before.rlike(r"[=:]\s*['\"]?$"), "issued": value.rlike(f"^(?:{ISSUED})"),
+        "stand_in": value.rlike(STAND_INS), "around": before.rlike(AROUND) | after.rlike(AROUND),
+        "mixed": value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6),
+    }
+    columns |= {n: flag(evidence[n]) for n in ("stand_in", "around", "named", "assigned", "issued")}
     rows = found.select("*", *[c.cast("double").alias(f"f_{n}") for n, c in columns.items()], *[flag(c).alias(f"e_{n}") for n, c in evidence.items()])
     rows = rows.join(covered, "value", "left")
     return rows.withColumn("f_coverage", F.coalesce(F.col("covered"), F.lit(0)) / size).drop("covered")
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """``rows`` whose label is known without the forest: ``label`` 1 for secrets, 0 for false positives.
+    """``rows`` of documents whose label is fairly sure: ``label`` 1 for secrets, 0 for false positives.
 
-    No table labels findings, so evidence does that the forest does not see: shapes of known issuers and values
-    assigned to a secret's name are secrets; candidates without either, and without such a name before them, are not.
-    Names without an assignment stay unlabelled.
+    Secrets are values with an issuer's shape or assigned to a secret's name that mix letters and digits and have no word of a
+    stand-in, in them or around. False positives are candidates without such a name or shape, and those with a stand-in's word in them.
+    All others (passwords of letters, names without an assignment, values amid talk of examples) are left to the forest.
     """
     e = lambda n: F.col(f"e_{n}") == 1
-    return rows.withColumn("label", F.when(e("issued") | (e("named") & e("assigned")), 1.0).when(~e("named"), 0.0)).where("label is not null")
+    told = e("issued") | (e("named") & e("assigned"))
+    sure = F.when(told & e("mixed") & ~e("stand_in") & ~e("around"), 1.0).when(~told & ~e("named"), 0.0).when(e("stand_in") & ~e("mixed"), 0.0)
+    return rows.withColumn("label", sure).where("label is not null")
+
+
+def stated(spark) -> DataFrame:
+    """(text, value, label): stated findings, so that the forest sees what a corpus may lack: stand-ins as they are given and keys
+    and passwords made by rule. About 1,600 rows, whatever the input."""
+    rnd, rows = random.Random(SEED), []
+    letters, hexadecimal = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    ways = [(name, way) for name in STATED_NAMES for way in STATED_WAYS]
+    for n, value in enumerate(STATED_FALSE):
+        rows += [(way.format(name=name, value=value), value, 0.0) for name, way in ways[n % 3 :: 3]]
+    for n, (name, way) in enumerate(ways * 12):
+        word = rnd.choice(STATED_WORDS)
+        kinds = [
+            "".join(rnd.choices(hexadecimal, k=rnd.choice([12, 18, 32, 40]))), "".join(rnd.choices(letters, k=rnd.choice([8, 16, 24, 44]))), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rnd.choice([7, 8, 10, 12]))),
+            f"{word}{rnd.randint(1, 99)}{rnd.choice(['pass', '!', '#Zq', rnd.choice(STATED_WORDS)])}", f"{word.title()}-{rnd.choice(STATED_WORDS)}-{rnd.randint(10, 999)}", "".join(rnd.choices(letters[:52], k=rnd.choice([10, 22]))),
+        ]
+        rows.append((way.format(name=name, value=kinds[n % 6]), kinds[n % 6], 1.0))
+    for n in range(160):
+        head, size, of = STATED_ISSUED[n % 4]
+        true = head + "".join(rnd.choices(of, k=size))
+        false = head + (rnd.choice(of) * size if n % 8 < 4 else "".join(rnd.choices(of, k=size - 7)) + ("EXAMPLE" if head == "AKIA" else "example"))
+        frame = ["see {} now", "key {}", "key={}", '"id": "{}"'][n // 4 % 4]
+        rows += [(frame.format(true), true, 1.0), (frame.format(false), false, 0.0)]
+    packed = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(v).alias("_value"), F.lit(x).alias("label")) for t, v, x in rows])
+    return spark.range(0, 1, 1, 1).select(F.explode(packed).alias("x")).select("x.*")
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="_features").transform(rows)
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel | None:
-    """The forest over labelled findings (f_* columns and label); about MAX_FINDINGS of them, picked by hash. None
-    if only one class is there."""
-    n = dict(findings.groupBy("label").count().collect())
-    if len(n) < 2:
-        return None
-    part = MAX_FINDINGS / sum(n.values())
-    rows = settled(findings.where(unit("value", "before", F.lit(3)) < part).select(*[f"f_{x}" for x in FEATURES], "label"))
+def train(findings: DataFrame, sure: DataFrame | None = None) -> RandomForestClassificationModel | None:
+    """The forest over labelled findings (f_* columns and label); about MAX_FINDINGS of them, picked by hash, and all of ``sure``,
+    the stated ones, which have STATED_SHARE of the weight. None if only one class is there."""
+    names = [f"f_{x}" for x in FEATURES]
+    part = MAX_FINDINGS / max(findings.count(), 1)
+    rows = settled(findings.where(unit("value", "before", F.lit(3)) < part).select(*names, "label").withColumn("weight", F.lit(1.0)))
+    if sure is not None:
+        weight = max(1.0, rows.count() * STATED_SHARE / (1 - STATED_SHARE) / max(sure.count(), 1))
+        rows = settled(rows.union(sure.select(*names, "label").withColumn("weight", F.lit(weight))))
     if rows.select("label").distinct().count() < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(_assembled(rows.repartition(4, *rows.columns).sortWithinPartitions(*rows.columns)))
 
 
@@ -186,40 +233,51 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), findings: DataFra
 
     Whole texts are read; null and empty texts have no candidates; an empty table gives no rows. Copies of one text
     give the same findings for each copy. Columns of ``docs`` other than ``keep`` and text play no part; ``keep``
-    must not have names of this result. The score is the forest's probability, its odds multiplied by what the
-    evidence is worth that it does not see. ``findings`` (value, label 0 or 1) are labels from elsewhere, used
-    instead of ``labelled``. Without labels of both classes candidates with a secret's evidence score 1, others 0.
+    must not have names of this result. The score is the forest's probability and nothing else; evidence such as a secret's
+    name before a value is one of its features. ``findings`` (value, label 0 or 1) are labels from elsewhere, used
+    instead of ``labelled`` and ``stated``; if they have one class only, all candidates score 0.
     """
-    rows = settled(featured(settled(candidates(docs, keep)), docs))
-    model = train(rows.join(findings.select("value", F.col("label").cast("double").alias("label")).dropDuplicates(["value"]), "value") if findings is not None else labelled(rows))
-    e = lambda n: F.col(f"e_{n}") == 1
+    own = free(docs, "stated")
+    examples = candidates(stated(docs.sparkSession), ("_value", "label")).where("value = _value").drop("_value").withColumnRenamed("label", own)
+    every = candidates(docs, keep).withColumn(own, F.lit(None).cast("double")).unionByName(examples, allowMissingColumns=True)
+    rows = settled(featured(settled(every), docs))
+    real = rows.where(F.col(own).isNull()).drop(own)
+    if findings is not None:
+        model = train(real.join(findings.select("value", F.col("label").cast("double").alias("label")).dropDuplicates(["value"]), "value"))
+    else:
+        model = train(labelled(real), rows.where(F.col(own).isNotNull()).withColumn("label", F.col(own)))
     if model is None:
-        score = (e("issued") | (e("named") & e("assigned"))).cast("double")
-        out = rows.withColumn("score", score)
+        out = real.withColumn("score", F.lit(0.0))
     else:
-        p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), vector_to_array("probability")[1]))
-        odds = p / (1 - p) * F.when(e("issued"), ISSUED_ODDS).when(e("named") & e("assigned"), ASSIGNED_ODDS).when(e("named"), NAMED_ODDS).otherwise(OTHER_ODDS)
-        out = model.transform(_assembled(rows)).withColumn("score", odds / (1 + odds))
+        out = model.transform(_assembled(real)).withColumn("score", vector_to_array("probability")[1])
     return out.select(*keep, "place", "word", "value", "score", (F.col("score") >= THRESHOLD).alias("secret"))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every found secret replaced by ``mask`` in its text, n_chars counted anew; all rows and columns stay.
+    """``docs`` with every found secret replaced by ``mask`` in the word where it was found, n_chars counted anew; all rows and columns stay.
 
-    Rows are matched by doc_id and the hash of the text, so repeated ids with other texts keep their own findings.
-    Null and empty texts stay as they are; an empty table gives none.
+    The same characters elsewhere in the text stay unless they are found there too. Rows are matched by doc_id and the hash of the
+    text, so repeated ids with other texts keep their own findings. Null and empty texts stay as they are; an empty table gives none.
     """
     key, many = free(docs, "key"), free(docs, "values")  # names that no column of docs has
     made = F.xxhash64("doc_id", "text").alias(key)
     found = scan(docs.select(made, "text"), (key,)).where("secret")
-    values = found.groupBy(key).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(many))
-    values = settled(values)
-    n, size = values.agg(F.count("*"), F.sum(F.length(F.array_join(many, " ")))).first()
+    one = F.struct("place", "value")
+    values = settled(found.groupBy(key).agg(F.array_sort(F.collect_set(one), lambda a, b: F.length(b["value"]) - F.length(a["value"])).alias(many)))
+    n, size = values.agg(F.count("*"), F.sum(F.length(F.array_join(F.col(many)["value"], " ")) + 8 * F.size(many))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
     rows = docs.withColumn(key, made)
     rows = rows.join(F.broadcast(values) if few else values, key, "left")
-    text = F.when(F.col(many).isNull(), F.col("text")).otherwise(F.aggregate(many, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask))))
-    rows = rows.withColumn("text", text)
+    text = F.col("text").cast("string")
+    places = F.col(many)["place"]
+
+    def masked(word: Column, i: Column) -> Column:
+        here = F.filter(F.col(many), lambda m: m["place"] == i + 1)
+        return F.when(F.array_contains(places, i + 1), F.aggregate(here, word, lambda t, m: F.replace(t, m["value"], F.lit(mask)))).otherwise(word)
+
+    between = F.concat(F.regexp_extract_all(text, F.lit(f"({BLANK})"), F.lit(1)), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.transform(F.split(text, BLANK), masked), between, lambda word, blank: F.concat(word, blank)), "")
+    rows = rows.withColumn("text", F.when(F.col(many).isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(many).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
