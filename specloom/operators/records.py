@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.operators.firsts import united
 from specloom.operators.prefix import pairs
+from specloom.session import settled
 
 
 def verification(*core: Column) -> Column:
@@ -52,6 +53,22 @@ def synced_copies(records: DataFrame, key: str, copy_of: str, fields: Sequence[s
     return both.select(*[F.when(F.col("_k").isNotNull(), F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in records.columns])
 
 
+def in_name_order(records: DataFrame, name: str = "slug") -> DataFrame:
+    """Records as their files are read: by name in code-point order, with ``place`` from 1.
+
+    Places come from ranges of names: each task numbers its own, on top of how many the ranges before have.
+    """
+    ranged = settled(records.repartitionByRange(name).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # a row a range
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    first = records.sparkSession.createDataFrame(before, "_part int, _before long")
+    place = F.expr(f"row_number() over (partition by _part order by `{name}`)") + F.col("_before")
+    return ranged.join(F.broadcast(first), "_part").withColumn("place", place).select(*records.columns, "place")
+
+
 def unique_prefix(wanted: DataFrame, prefix: str, names: DataFrame, name: str) -> DataFrame:
     """Each prefix with the one name that begins with it; the query fails if there is none or more than one."""
     met = pairs(names, name, wanted.select(prefix).distinct(), prefix).groupBy(prefix).agg(F.count(name).alias("n"), F.first(name).alias(name))

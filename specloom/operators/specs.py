@@ -38,11 +38,21 @@ def flattened(spark: SparkSession, trims: DataFrame, skip: Sequence[str] = ()) -
         from items where variant_get(node, '$.value', 'string') is not null""")
 
 
+#: Columns that a table of values may have, one a trim.
+WIDEST = 1000
+
+
 def wide(rows: DataFrame, trims: Sequence | None = None) -> DataFrame:
-    """One row per path with a column per trim; rows whose values are all missing go."""
+    """One row per path with a column per trim; rows whose values are all missing go.
+
+    Without ``trims`` the columns are the trims there are, WIDEST at most: more are an error, as a table is for reading.
+    """
+    if trims is None:
+        trims = sorted(r[0] for r in rows.select("trim_id").where("trim_id is not null").distinct().limit(WIDEST + 1).collect())
+        if len(trims) > WIDEST:
+            raise ValueError(f"more than {WIDEST} trims; name those to show")
     shown = rows.where(~F.col("value").isin(*MISSING_ROW) & F.col("value").isNotNull())
-    pivot = shown.groupBy("path").pivot("trim_id", list(trims) if trims is not None else None)
-    return pivot.agg(F.max_by("value", "pos"))
+    return shown.groupBy("path").pivot("trim_id", list(trims)).agg(F.max_by("value", "pos"))
 
 
 def spec_maps(rows: DataFrame) -> DataFrame:

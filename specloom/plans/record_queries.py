@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions import text
-from specloom.operators import components, issues, records, specs, translate
+from specloom.operators import build, components, issues, records, specs, translate
 from specloom.plans import component_rules, models, report
 from specloom.plans.queries import Tables, registered
 
@@ -308,3 +308,34 @@ def translation_checks(t: Tables) -> DataFrame:
     source = F.format_string("цена %s тыс. BYD 国产双擎", k)
     found = text.translation_problems(source, target, ("BYD",), ("双擎",), "az")
     return t.orders.select("o_orderkey", F.array_join(found, ";").alias("problems"))
+
+
+@registered("SELECT p_partkey, 'r' || p_partkey AS slug, row_number() OVER (ORDER BY encode('r' || p_partkey)) AS place FROM part")
+def record_order(t: Tables) -> DataFrame:
+    """Records in the order of their names, with their places."""
+    return records.in_name_order(t.part.select("p_partkey", F.concat(F.lit("r"), "p_partkey").alias("slug")))
+
+
+@registered("""
+    WITH o AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey)
+    SELECT c_custkey, CASE WHEN k % 3 = 0 THEN 'named ' || k ELSE c_name END AS name, CASE WHEN k % 3 = 1 THEN k::DOUBLE ELSE c_acctbal END AS balance,
+           CASE WHEN c_nationkey < 5 AND c_mktsegment = 'BUILDING' THEN 'early builder' WHEN c_nationkey < 5 THEN 'early' WHEN contains(c_mktsegment, 'A') THEN 'late A' ELSE 'other' END AS generation FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def record_overrides(t: Tables) -> DataFrame:
+    """Records with corrections from another table where it has any, and their generation by ordered rules."""
+    k = F.col("o_orderkey")
+    changes = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    changes = changes.select("c_custkey", F.when(k % 3 == 0, F.concat(F.lit("named "), k)).alias("name"), F.when(k % 3 == 1, k.cast("double")).alias("balance"))
+    rows = t.customer.select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), "c_nationkey", "c_mktsegment")
+    early = F.col("c_nationkey") < 5
+    label = build.labelled_generation([(early & (F.col("c_mktsegment") == "BUILDING"), "early builder"), (early, "early"), (F.contains("c_mktsegment", F.lit("A")), "late A")], F.lit("other"))
+    return build.overridden(rows, "c_custkey", changes).select("c_custkey", "name", "balance", label.alias("generation"))
+
+
+@registered("""
+    SELECT 'n' || c_nationkey AS family, sum(c_custkey)::BIGINT AS total FROM customer JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0) s ON s_nationkey = c_nationkey WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0 GROUP BY c_nationkey""")
+def original_totals(t: Tables) -> DataFrame:
+    """Records that may be matched, of allowed names and no copies of listings, summed by group."""
+    nation = F.concat(F.lit("n"), "c_nationkey")
+    rows = t.customer.select(nation.alias("slug"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey")).alias("trim_id"), F.when(F.col("c_custkey") % 7 == 0, True).alias("listing_copy"))
+    allowed = t.supplier.where("s_nationkey % 2 = 0").select(F.concat(F.lit("n"), "s_nationkey").alias("slug"))
+    return report.counted(build.originals(rows, allowed), "slug", "trim_id").select(F.col("slug").alias("family"), F.col("trim_id").alias("total"))
