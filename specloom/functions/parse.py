@@ -70,14 +70,17 @@ def metric_hp(kw: Column) -> Column:
 
 
 def composite(text: Column) -> Column:
-    """``1.5 L / 18.3 kWh / 331 a.g. / fuel`` as a struct of engine_l, battery_kwh, hp and fuel; later parts win."""
+    """``1.5 L / 18.3 kWh / 331 a.g. / fuel`` as a struct of engine_l, battery_kwh, hp and fuel; later parts win.
+
+    Numbers have decimal points; what has a decimal comma is no number with a unit and so counts as fuel.
+    """
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "/"), lambda p: F.trim(p)), lambda p: p != "")
-    litres, kwh, power = r"^(?:\d+(?:[.,]\d+)?\s*L)\z", r"(?i)^(?:\d+(?:[.,]\d+)?\s*kWh)\z", r"^(?:\d+\s*a\.?\s*g\.?)\z"
+    litres, kwh, power = r"^(?:[\d.]+\s*L)\z", r"(?i)^(?:[\d.]+\s*kWh)\z", r"^(?:\d+\s*a\.?\s*g\.?)\z"
 
     def last(keep) -> Column:
         return F.try_element_at(F.filter(parts, keep), F.lit(-1))
 
-    number = lambda p: F.regexp_extract(F.replace(p, F.lit(","), F.lit(".")), r"\d+(\.\d+)?", 0)
+    number = lambda p: F.regexp_extract(p, r"[\d.]+", 0)
     return F.struct(
         number(last(lambda p: p.rlike(litres))).try_cast("double").alias("engine_l"),
         number(last(lambda p: p.rlike(kwh))).try_cast("double").alias("battery_kwh"),

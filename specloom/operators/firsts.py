@@ -49,3 +49,8 @@ def distinct_sorted(value: Column | str) -> Column:
 def united(base: Column, over: Column) -> Column:
     """The entries of two maps; ``over`` wins where both have a key, whatever the session says of duplicates."""
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def with_failures(good: DataFrame, failed: DataFrame) -> DataFrame:
+    """Good rows, then failed ones, as one table: columns that a side lacks are null there."""
+    return good.unionByName(failed, allowMissingColumns=True)

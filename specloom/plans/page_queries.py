@@ -12,7 +12,7 @@ from specloom.operators import prefix, reviews, specs
 from specloom.plans import catalogue, report
 from specloom.plans.queries import Tables, registered
 from specloom.session import shared_folder
-from specloom.sources import files, tables
+from specloom.sources import files, tables, web
 from specloom.sources import reviews as paged
 
 
@@ -20,7 +20,7 @@ from specloom.sources import reviews as paged
     SELECT o_orderkey, CASE WHEN gone THEN 'объявление удалено' WHEN late THEN 'late' END AS error, CASE WHEN NOT gone AND NOT late THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Head ' || o_orderkey ELSE 'Car, qiyməti ' || price || ' USD' END END AS title,
            CASE WHEN NOT gone AND NOT late THEN o_orderstatus END AS make, CASE WHEN NOT gone AND NOT late THEN 2000 + o_custkey % 25 END AS year, CASE WHEN NOT gone AND NOT late THEN o_custkey * 1000 END AS mileage_km,
            CASE WHEN NOT gone AND NOT late THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Автомат' ELSE 'Avtomat (Variator)' END END AS gearbox, CASE WHEN NOT gone AND NOT late AND o_orderkey % 2 = 0 THEN 'Полный' END AS drive, CASE WHEN NOT gone AND NOT late AND o_orderkey % 2 = 0 THEN 'Bakı' END AS city,
-           CASE WHEN NOT gone AND NOT late THEN 1.5 END AS engine_l, CASE WHEN NOT gone AND NOT late AND o_orderkey % 2 = 0 THEN 18.3 END AS battery_kwh, CASE WHEN NOT gone AND NOT late THEN 100 + o_custkey % 50 END AS hp, CASE WHEN NOT gone AND NOT late THEN 'Гибрид' END AS fuel,
+           CASE WHEN NOT gone AND NOT late AND o_orderkey % 2 = 0 THEN 1.5 END AS engine_l, CASE WHEN NOT gone AND NOT late AND o_orderkey % 2 = 0 THEN 18.3 END AS battery_kwh, CASE WHEN NOT gone AND NOT late THEN 100 + o_custkey % 50 END AS hp, CASE WHEN NOT gone AND NOT late THEN 'Гибрид' END AS fuel,
            CASE WHEN NOT gone AND NOT late THEN CAST(round_even(price * 1.70::DOUBLE, 0) AS INTEGER) END AS price_azn, CASE WHEN NOT gone AND NOT late THEN round_even(price * 1.70::DOUBLE, 0) <= 44000 ELSE false END AS under_budget
     FROM (SELECT *, o_orderkey % 13 = 0 AS gone, o_orderkey % 13 > 0 AND o_orderkey % 17 = 0 AS late, CAST(floor(o_totalprice / 10) AS INTEGER) + 100 AS price FROM orders)""")
 def listing_rows(t: Tables) -> DataFrame:
@@ -83,8 +83,8 @@ def brand_models(t: Tables) -> DataFrame:
 def trim_batches(t: Tables) -> DataFrame:
     """The trims that a model's page names, each once, in batches of ten."""
     pages = t.customer.groupBy(F.col("c_nationkey").alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: F.concat(F.lit("/trim_"), x, F.lit("/ trim_"), x)), " ").alias("html"))
-    rows = files.trims_of(pages).withColumn("batch", F.floor(F.col("pos") / 10))
-    return rows.groupBy("url", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "trim_id"))), lambda x: x["trim_id"]), ",").alias("ids"))
+    batches = web.batches_of(files.trims_of(pages), "pos", "trim_id", by=["url"])
+    return batches.withColumn("ids", F.array_join("ids", ","))
 
 
 @registered("SELECT s_suppkey AS spec_id, s_name AS name, s_nationkey AS reviews FROM supplier WHERE regexp_matches(s_name, '[02468]$') AND s_nationkey > 0")

@@ -296,7 +296,7 @@ def union_ok_failed(t: Tables) -> DataFrame:
     """Good rows and failed ones, which have other columns, as one table."""
     ok = t.events.where("event_type <> 'error'").select("event_id", "event_type", "value")
     failed = t.events.where("event_type = 'error'").select("event_id", "event_type", F.concat(F.lit("HTTP "), F.col("event_id") % 600).alias("error"))
-    return ok.unionByName(failed, allowMissingColumns=True)
+    return firsts.with_failures(ok, failed)
 
 
 @registered("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) <= 2")

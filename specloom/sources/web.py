@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,9 +84,10 @@ class _PagesReader(DataSourceReader):
         yield fetched(partition.value)
 
 
-def batches_of(ids: DataFrame, position: str, value: str, size: int = 10) -> DataFrame:
-    """(batch, ids): values in order, ``size`` to a request."""
-    return ids.groupBy(F.floor(F.col(position) / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda x: x[value]).alias("ids"))
+def batches_of(ids: DataFrame, position: str, value: str, size: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(by, batch, ids): values in order, ``size`` to a request, for each of ``by``."""
+    rows = ids.groupBy(*by, F.floor(F.col(position) / size).alias("batch"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda x: x[value]).alias("ids"))
 
 
 def tombstones(pages: DataFrame) -> DataFrame:

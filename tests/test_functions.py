@@ -29,6 +29,8 @@ def test_metric_hp(spark, kw, want):
         ("1.5 L / 18.3 kWh / 331 a.g. / Hibrid", (1.5, 18.3, 331, "Hibrid")),
         ("2.0 L/1.6 L/150 ag", (1.6, None, 150, None)),
         ("82 KWH / Elektro / Benzin", (None, 82.0, None, "Benzin")),
+        ("1,5 L / 90 a.g.", (None, None, 90, "1,5 L")),
+        ("1,5 L / 1.5.2 L / Hibrid / 7 a g", (None, None, 7, "Hibrid")),
         ("", (None, None, None, None)),
         (None, (None, None, None, None)),
     ],
