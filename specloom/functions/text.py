@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,17 +95,6 @@ def translation_problems(source: Column, target: Column, protected: Sequence[str
     return F.when(F.trim(target) == "", F.array(F.lit("empty"))).otherwise(F.filter(there, lambda x: x.isNotNull()))
 
 
-def around(text: Column, marker: str, before: str | None = None, after: str | None = None) -> Column:
-    """Whether the text holds ``marker`` and, within the match, what the bounds say (regular expressions)."""
-    return text.rlike(f"{before or ''}{marker}{after or ''}")
-
-
-def urljoin(base: str, link: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin as join
-
-    return link.map(lambda x: None if x is None else join(base, x))
-
-
 def replaced_patterns(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Regular expressions replaced one after the other, in the given order; groups are ``$1``."""
     for pattern, new in pairs:

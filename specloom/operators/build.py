@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions.parse import first_number, first_present
 from specloom.operators import records, specs
+from specloom.operators.firsts import united
 
 #: Fixed values. What a status says of a group with a trim on sale, and without.
 ON_SALE, OFF_SALE = "в продаже (sohu)", "снята с продажи (sohu)"
@@ -104,8 +105,7 @@ def over_existing(rows: DataFrame, old: DataFrame, key: Sequence[str], old_wins:
 
 
 def specs_united(new: Column, old: Column, empty: Column) -> Column:
-    from specloom.operators.firsts import united
-
+    """The entries of two maps, null ones empty; the old ones win."""
     return united(F.coalesce(new, empty), F.coalesce(old, empty))
 
 
