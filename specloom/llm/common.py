@@ -39,6 +39,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, as a written table: columns packed and compressed take about a third of a checkpoint's place."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/specloom-{kind}-{uuid.uuid4().hex}"
 

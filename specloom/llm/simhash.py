@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, free, settled, table
+from .common import connected, free, settled, stored, table
 
 #: Shingles whose bits are counted at once: bounds a task's memory for very long texts.
 BLOCK = 1 << 15
@@ -173,23 +173,23 @@ def linked(fps: DataFrame, limit: int = 4) -> DataFrame:
     if not 0 <= limit <= SEGMENTS // 2:
         raise ValueError(f"limit must be 0 to {SEGMENTS // 2}")
     dealt = fps.repartition(1 + fps.count() // IN_TASK)
-    ends = settled(_keyed(dealt).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y"))
+    ends = stored(_keyed(dealt).groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y"))
     known = F.broadcast(ends) if ends.count() <= BROADCAST_KEYS else ends
-    rows = settled(_keyed(dealt).join(known, "key"))  # key, fp, x, y of the keys that several share
+    rows = stored(_keyed(dealt).join(known, "key"))  # key, fp, x, y of the keys that several share
     near = ends.where(_near(F.col("x"), F.col("y"), limit)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    one = settled(_rooted(rows.select("fp").distinct(), near, "fp", "c"))  # c: a component's name, a fingerprint of its own
+    one = stored(_rooted(rows.select("fp").distinct(), near, "fp", "c"))  # c: a component's name, a fingerprint of its own
     one = one.join(one.groupBy("c").agg(F.count("*").alias("n")), "c")  # n only chooses the largest of a key
-    named = settled(rows.join(one.select("fp", "c", "n"), "fp"))
+    named = stored(rows.join(one.select("fp", "c", "n"), "fp"))
     several = named.groupBy("key").agg(F.max_by("c", "n").alias("lo"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
-    mixed = settled(named.join(several.select("key", "lo"), "key").select("key", "fp", "c", "lo", "x", "y"))
+    mixed = stored(named.join(several.select("key", "lo"), "key").select("key", "fp", "c", "lo", "x", "y"))
     small = mixed.where("c <> lo")
     tips = small.select("fp", F.col("c").alias("d"), F.explode(F.array("x", "y")).alias("g")).where(_near(F.col("fp"), F.col("g"), limit)).select("d", "g").distinct()
     tips = tips.join(mixed.select(F.col("fp").alias("g"), "c").distinct(), "g").where("c <> d").select("c", "d").distinct()
-    again = settled(_rooted(mixed.select("c").distinct(), tips, "c", "e"))
-    mixed = settled(mixed.join(again, "c").join(again.select(F.col("c").alias("lo"), F.col("e").alias("main")), "lo").select("key", "fp", "c", "e", "main"))
+    again = stored(_rooted(mixed.select("c").distinct(), tips, "c", "e"))
+    mixed = stored(mixed.join(again, "c").join(again.select(F.col("c").alias("lo"), F.col("e").alias("main")), "lo").select("key", "fp", "c", "e", "main"))
     other = mixed.select("key", F.col("fp").alias("g"), F.col("c").alias("d"), F.col("e").alias("h"))
     pairs = mixed.where("e <> main").join(other, "key").where((F.col("e") != F.col("h")) & _near(F.col("fp"), F.col("g"), limit)).select("c", "d").distinct()
-    every = settled(_rooted(one.select("c").distinct(), tips.union(pairs), "c", "root"))
+    every = stored(_rooted(one.select("c").distinct(), tips.union(pairs), "c", "root"))
     found = one.select("fp", "c").join(every, "c").select(F.col("fp").alias("_fp"), "root")
     return fps.join(found, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -222,9 +222,9 @@ def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
     sizes = roots.groupBy("r").agg(F.count("*").alias("n"))
     of = roots.join(sizes, "r").select("h", F.struct((-F.col("n")).alias("n"), F.col("r").alias("r")).alias("c"))
     lone = F.struct(F.lit(-1).cast("long").alias("n"), F.col("h").alias("r"))
-    rows = settled(buckets.select("key", "h", "size").join(of, "h", "left").select("key", "h", "size", F.coalesce("c", lone).alias("c")))
+    rows = stored(buckets.select("key", "h", "size").join(of, "h", "left").select("key", "h", "size", F.coalesce("c", lone).alias("c")))
     several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return settled(rows.join(several, "key", "left_semi"))
+    return stored(rows.join(several, "key", "left_semi"))
 
 
 def _set(text: str | None, width: int) -> np.ndarray:
@@ -242,22 +242,25 @@ def _by_differences(deltas: DataFrame, similarity: float) -> DataFrame:
     L(x, y) = (|x| + |y|) (1 - s) / (1 + s) shingles may differ between similar x and y, and as many differ as in the
     two deltas together but for twice those in both. So the deltas must share some shingle, and at least
     (dx + dy - L) / 2 of them, where dx > L(x, b) and dy >= dx - L. By the prefix filter both then share one of their
-    rarest ones: x of its dx - (dx - |x| (1 - s) / s) + 1, y of its dy - (dy + (|b| - |y|) (1 - s) / (1 + s)) / 2 + 1.
-    What shares one is counted exactly, from the deltas. Shingles of an edit are rare, so a group of copies yields
+    first ones: x of its dx - (dx - |x| (1 - s) / s) + 1, y of its dy - (dy + (|b| - |y|) (1 - s) / (1 + s)) / 2 + 1, in an
+    order of all shingles beside b: first those that b lacks, which edits have made and few share, then b's own.
+    Both are taken in one order, so where two texts meet at their first common shingle, what follows must hold the rest of
+    those that they must share; other meetings go. What is left is counted exactly, from the deltas. Shingles of an edit are rare, so a group of copies yields
     few pairs, whatever its size.
     """
     d, ratio = F.size("delta"), (1 - similarity) / (1 + similarity)
     as_x = F.ceil(d - F.col("size") * ((1 - similarity) / similarity) - 1e-6)
     as_y = F.ceil((d + (F.col("of") - F.col("size")) * ratio) / 2 - 1e-6)
-    prefix = lambda k: (d - F.greatest(F.lit(1), k) + 1).cast("int")
-    each = deltas.select("a", "b", "size", "c", "outside", d.alias("d"), prefix(as_x).alias("px"), prefix(as_y).alias("py"), F.explode("delta").alias("s"))
-    counts = each.groupBy("b", "s").agg(F.count("*").alias("n"))
-    rank = F.expr("row_number() over (partition by a, b order by n, s)")
-    ranked = each.join(counts, ["b", "s"]).withColumn("rank", rank)
-    ranked = settled(ranked.where("n > 1 and (rank <= py or (outside and rank <= px))"))
-    xs = ranked.where("outside and rank <= px").select("b", "s", "a", "size", "c", "d")
-    ys = ranked.where("rank <= py").select("b", "s", F.col("a").alias("g"), F.col("size").alias("z"), F.col("c").alias("e"), F.col("d").alias("f"))
-    may = (F.col("c") != F.col("e")) & (F.abs(F.col("d") - F.col("f")) <= (F.col("size") + F.col("z")) * ratio + 1e-6)
+    prefix = lambda k: F.greatest(d - F.greatest(F.lit(1), k) + 1, F.lit(0)).cast("int")
+    sized = deltas.select("a", "b", "size", "c", "outside", d.alias("d"), prefix(as_x).alias("px"), prefix(as_y).alias("py"), "delta")
+    longest = F.greatest("py", F.when(F.col("outside"), F.col("px")).otherwise(0))
+    ranked = sized.select("a", "b", "size", "c", "outside", "d", "px", "py", F.posexplode(F.slice("delta", F.lit(1), longest)).alias("at", "s"))
+    ranked = ranked.withColumn("rank", F.col("at") + 1)
+    xs = ranked.where("outside and rank <= px").select("b", "s", "a", "size", "c", "d", F.col("rank").alias("i"))
+    ys = ranked.where("rank <= py").select("b", "s", F.col("a").alias("g"), F.col("size").alias("z"), F.col("c").alias("e"), F.col("d").alias("f"), F.col("rank").alias("j"))
+    most = (F.col("size") + F.col("z")) * ratio + 1e-6
+    rest = 1 + F.least(F.col("d") - F.col("i"), F.col("f") - F.col("j"))  # shared ones at most, if this is the first of both
+    may = (F.col("c") != F.col("e")) & (F.abs(F.col("d") - F.col("f")) <= most) & (2 * rest >= F.col("d") + F.col("f") - most)
     pairs = xs.join(ys, ["b", "s"]).where(may).select("b", F.greatest("a", "g").alias("a"), F.least("a", "g").alias("g")).distinct()
     own = deltas.select("a", "b", "size", "delta")
     both = pairs.join(own, ["a", "b"]).join(own.select(F.col("a").alias("g"), "b", F.col("size").alias("z"), F.col("delta").alias("other")), ["g", "b"])
@@ -301,14 +304,14 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
-    made = settled(texts.mapInArrow(run, kind).dropDuplicates(["h"]))
-    heads = settled(made.groupBy("fp").agg(F.min("h").alias("head")))
+    made = stored(texts.mapInArrow(run, kind).dropDuplicates(["h"]))
+    heads = stored(made.groupBy("fp").agg(F.min("h").alias("head")))
     roots = linked(heads.select("fp"), limit).join(heads, "fp")
-    roots = settled(roots.join(roots.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", "least"))
+    roots = stored(roots.join(roots.groupBy("root").agg(F.min("head").alias("least")), "root").select("fp", "least"))
     by_bits = made.select("h", "fp").join(roots, "fp").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
     parts = made.select("h", "size", F.explode("parts").alias("key"))
     least = parts.groupBy("key").agg(F.min(F.struct("h", "size")).alias("b"), F.max("h").alias("top")).where("b.h < top").drop("top")
-    buckets = settled(parts.join(settled(least), "key").select("key", "h", "size", "b"))
+    buckets = stored(parts.join(stored(least), "key").select("key", "h", "size", "b"))
 
     def fits(x: Column, y: Column) -> Column:
         """Whether sets of these sizes can be so similar."""
@@ -320,12 +323,12 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
                 part = batch.slice(first, 512)
                 sets = [(_set(x.as_py(), width), _set(y.as_py(), width)) for x, y in zip(part.column(2), part.column(3), strict=True)]
                 new = [pa.array([len(x) for x, _ in sets], pa.int32()), pa.array([len(y) for _, y in sets], pa.int32())]
-                deltas = pa.array([np.setxor1d(x, y, True).view(np.int64) for x, y in sets], pa.list_(pa.int64()))
+                deltas = pa.array([np.concatenate((np.setdiff1d(x, y, True), np.setdiff1d(y, x, True))).view(np.int64) for x, y in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new, deltas], names=["a", "b", "size", "of", "delta"])
 
     def beside(pairs: DataFrame) -> DataFrame:
         """The texts of pairs (a, b), each pair once: a, b, x, y."""
-        pairs = settled(pairs.select("a", "b").distinct())
+        pairs = stored(pairs.select("a", "b").distinct())
         needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
         own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
         both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
@@ -335,17 +338,17 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
         return beside(pairs).mapInArrow(compare, "a long, b long, good boolean").where("good").select("a", "b")
 
     first = buckets.where((F.col("h") != F.col("b.h")) & fits(F.col("size"), F.col("b.size")))
-    links = settled(by_bits.union(checked(first.select(F.col("h").alias("a"), F.col("b.h").alias("b")))))
+    links = stored(by_bits.union(checked(first.select(F.col("h").alias("a"), F.col("b.h").alias("b")))))
     mixed = _mixed(buckets, links)
     degree = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("n"))
     linked_to = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "c", "size")
     hubs = mixed.join(degree, "h", "left").groupBy("key").agg(F.max(linked_to).alias("hub"))
-    hubs = settled(hubs.select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s")))
+    hubs = stored(hubs.select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s")))
     near = mixed.join(hubs, "key").where((F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
-    links = settled(links.union(checked(near.select(F.col("h").alias("a"), "b"))))
+    links = stored(links.union(checked(near.select(F.col("h").alias("a"), "b"))))
     mixed = _mixed(mixed, links)
     counts = mixed.groupBy("key").agg(F.count("*").alias("n"))
-    mixed = settled(mixed.join(counts, "key"))
+    mixed = stored(mixed.join(counts, "key"))
     few, many = mixed.where(F.col("n") <= PAIRED), mixed.where(F.col("n") > PAIRED)
     other = few.select("key", F.col("h").alias("g"), F.col("c").alias("d"), F.col("size").alias("s"))
     pairs = few.join(other, "key").where((F.col("h") > F.col("g")) & (F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
@@ -354,7 +357,7 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     deltas = beside(against).mapInArrow(differ, "a long, b long, size int, of int, delta array<long>")
     of = many.select("h", "c").distinct()
     deltas = deltas.join(of.select(F.col("h").alias("a"), "c"), "a").join(of.select(F.col("h").alias("b"), F.col("c").alias("e")), "b")
-    rest = _by_differences(settled(deltas.select("a", "b", "size", "of", "delta", "c", (F.col("c") != F.col("e")).alias("outside"))), similarity)
+    rest = _by_differences(stored(deltas.select("a", "b", "size", "of", "delta", F.col("c.r").alias("c"), (F.col("c") != F.col("e")).alias("outside"))), similarity)
     found = connected(links.union(paired).union(rest)).select(F.col("node").alias("h"), F.col("root").alias("r"))
     return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
 
@@ -371,7 +374,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     roots = similar(docs.select("text"), **options)
     name, own = free(docs, "d"), free(docs, "h")  # names that no column of docs has
     keep = first.join(roots, "h").groupBy("root").agg(F.min("key").alias("k")).select(F.col("k.d").alias(name), F.col("k.h").alias(own))
-    return docs.join(settled(keep), docs["doc_id"].eqNullSafe(F.col(name)) & (text == F.col(own)), "left_semi")
+    return docs.join(stored(keep), docs["doc_id"].eqNullSafe(F.col(name)) & (text == F.col(own)), "left_semi")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
