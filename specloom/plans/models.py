@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specloom.functions import classify, parse
 from specloom.operators import build, records, specs
 from specloom.plans import catalogue
+from specloom.session import settled
 
 #: Fixed values. Addresses of a specification table and of a trim's page; sources that are the table unless told otherwise.
 TABLE_URL, PAGE_URL = "https://portal.auto.sohu.com/aggr/model/trims/pk?trim_ids=%s&city_code=110000", "https://db.auto.sohu.com/trim_%s/"
@@ -45,9 +46,10 @@ def _said(generations: Sequence[Generation], of, kind: str = "string") -> Column
 def keyed(trims: DataFrame, spec_maps: DataFrame, first: int = 2020, last: int = 2027) -> DataFrame:
     """``trims`` (trim_id, year, ...) of the years with their entries by name (found), KEY columns and the two measures.
 
-    ``spec_maps`` has (trim_id, spec); a trim without one has no entries.
+    ``spec_maps`` has (trim_id, spec); a trim without one has no entries. Maps made of small columns are far larger than
+    Spark takes them for, so they are shuffled, never broadcast.
     """
-    rows = build.wanted(trims, first, last).join(spec_maps, "trim_id", "left")
+    rows = build.wanted(trims, first, last).join(spec_maps.hint("merge"), "trim_id", "left")
     measure = lambda path: parse.first_number(F.try_element_at("spec", F.lit(path)))
     rows = rows.select(*trims.columns, parse.by_name(F.col("spec"), catalogue.SPEC_NAMES).alias("found"), measure(WEIGHT_PATH).alias("weight"), measure(ACCELERATION_PATH).alias("acceleration"))
     trimmed = lambda names: F.coalesce(*[parse.present(F.trim(F.try_element_at("found", F.lit(n)))) for n in names])
@@ -141,7 +143,8 @@ def built(trims: DataFrame, spec_maps: DataFrame, prefix: str, model: Mapping[st
     """The records of a model: one per year and powertrain of its ``trims`` (trim_id, pos, year, name, launched, price, on_sale).
 
     ``spec_maps`` has (trim_id, spec: path to value); ``old`` the records there are, by trim_id. Trims are joined with their
-    entries and grouped, one shuffle each; null parts of a key are equal to each other. No trims give no rows.
+    entries and grouped, one shuffle each, once even if ``old`` is looked through; null parts of a key are equal to each
+    other. No trims give no rows.
     """
     rows = described(grouped(keyed(trims, spec_maps, first, last)), prefix, model, generations, issues)
-    return rows.withColumn("existing", F.lit(False)) if old is None else merged(rows, old)
+    return rows.withColumn("existing", F.lit(False)) if old is None else merged(settled(rows), old)
