@@ -9,33 +9,32 @@ from pyspark.sql import functions as F
 
 from specloom.functions.parse import MISSING_ROW
 from specloom.operators.firsts import in_order
+from specloom.session import settled
 
 #: The columns that make a configuration.
 KEY = ("year", "battery", "motor_kw", "engine_code", "engine_kw", "drive", "power_type", "gearbox")
 
 
 def flattened(spark: SparkSession, trims: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """(trim_id, pos, path, value) from (trim_id, tree): a recursive query over ``config`` of categories and items.
+    """(trim_id, pos, path, value) from (trim_id, tree): a walk level by level over ``config`` of categories and items.
 
     An item's path is the first four letters of its category, a slash, the name of the item right above it with
     ``>`` if there is one, and its own name. Categories whose name holds one of ``skip`` are left out before the walk.
+    Each level is kept and the walk ends with the first that is empty, so neither rows nor depth have a bound (a
+    recursive query stops at a million rows).
     """
-    trims.createOrReplaceTempView("_specloom_trims")
-    bad = " or ".join(f"contains(category, '{s}')" for s in skip) or "false"
-    return spark.sql(f"""
-        with recursive items(trim_id, category, place, parent, node, depth) as (
-          select trim_id, category, array(c.pos, i.pos), '', i.value, 1 from (
-            select trim_id, c.pos, c.value as cat, variant_get(c.value, '$.category_name', 'string') as category
-            from _specloom_trims, lateral variant_explode(variant_get(tree, '$.config', 'variant')) c
-          ) c, lateral variant_explode(variant_get(cat, '$.config_list', 'variant')) i where not ({bad})
-          union all
-          select trim_id, category, array_append(place, k.pos), variant_get(node, '$.name', 'string'), k.value, depth + 1
-          from items, lateral variant_explode(variant_get(node, '$.child_config_list', 'variant')) k
-        )
-        select trim_id, place as pos,
-               concat(left(category, 4), '/', case when parent <> '' then concat(parent, '>') else '' end, variant_get(node, '$.name', 'string')) as path,
-               variant_get(node, '$.value', 'string') as value
-        from items where variant_get(node, '$.value', 'string') is not null""")
+    category, fields = "variant_get(c.value, '$.category_name', 'string')", "variant_get({0}.value, '$.name', 'string') as name, variant_get({0}.value, '$.value', 'string') as value, variant_get({0}.value, '$.child_config_list', 'variant') as children"
+    bad = " or ".join(f"contains({category}, '{s}')" for s in skip) or "false"
+    level = spark.sql(f"""
+        select trim_id, {category} as category, array(c.pos, i.pos) as place, '' as parent, {fields.format("i")}
+        from {{trims}}, lateral variant_explode(variant_get(tree, '$.config', 'variant')) c, lateral variant_explode(variant_get(c.value, '$.config_list', 'variant')) i where not ({bad})""", trims=trims)
+    rows = None
+    while not (level := settled(level)).isEmpty():
+        rows = level.drop("children") if rows is None else rows.union(level.drop("children"))
+        level = spark.sql(f"select trim_id, category, array_append(place, k.pos) as place, level.name as parent, {fields.format("k")} from {{level}} as level, lateral variant_explode(level.children) k", level=level)
+    rows = level.drop("children") if rows is None else rows
+    path = F.concat(F.left("category", F.lit(4)), F.lit("/"), F.when(F.col("parent") != "", F.concat("parent", F.lit(">"))).otherwise(""), "name")
+    return rows.where("value is not null").select("trim_id", F.col("place").alias("pos"), path.alias("path"), "value")
 
 
 #: Columns that a table of values may have, one a trim.

@@ -1,5 +1,7 @@
 """What fails only on larger or odd tables: plans and bounds that small ones do not show."""
 
+from pyspark.sql import functions as F
+from specloom.operators import specs
 from specloom.plans import models
 
 
@@ -13,3 +15,13 @@ def test_specification_maps_are_shuffled(spark):
     rows = models.keyed(trims, maps)
     assert "Broadcast" not in plan(rows)
     assert rows.select("weight").first()[0] == 1500
+
+
+def test_trees_have_more_rows_than_recursion_allows(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        tree = '{"config":[{"category_name":"main","config_list":[{"name":"a","value":"1","child_config_list":[{"name":"b","value":"2"}]}]}]}'
+        df = spark.range(20).select(F.col("id").alias("trim_id"), F.parse_json(F.lit(tree)).alias("tree"))
+        assert specs.flattened(spark, df).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
