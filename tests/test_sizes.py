@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 from specloom.operators import specs
-from specloom.plans import models
+from specloom.plans import models, queries
+
+from tests.oracle import compare
 
 
 def plan(df) -> str:
@@ -25,3 +27,11 @@ def test_trees_have_more_rows_than_recursion_allows(spark):
         assert specs.flattened(spark, df).count() == 40
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_references_without_semicolon_count_in_sql_too(spark, tmp_path):
+    page = "<html><head><title> A&amp;B &amp</title></head><body><h1>x &lt;&lt y&quot</h1><a href='x'>y</a></body></html>"
+    spark.createDataFrame([(1, "u", page), (2, "u", "<title></title>")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    [part] = [p for p in (tmp_path / "p").iterdir() if p.name.endswith(".parquet")]
+    part.rename(tmp_path / "pages.parquet")
+    compare(spark, queries.QUERIES["html_extract"], queries.SQL["html_extract"], str(tmp_path))
