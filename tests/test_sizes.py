@@ -1,10 +1,13 @@
 """What fails only on larger or odd tables: plans and bounds that small ones do not show."""
 
 from pyspark.sql import functions as F
-from specloom.operators import specs
-from specloom.plans import models, queries
+from specloom.functions import dom
+from specloom.operators import issues, reviews, specs
+from specloom.plans import models, page_queries, queries  # noqa: F401  they register themselves
 
-from tests.oracle import compare
+from tests.oracle import compare, connection
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -35,3 +38,9 @@ def test_references_without_semicolon_count_in_sql_too(spark, tmp_path):
     [part] = [p for p in (tmp_path / "p").iterdir() if p.name.endswith(".parquet")]
     part.rename(tmp_path / "pages.parquet")
     compare(spark, queries.QUERIES["html_extract"], queries.SQL["html_extract"], str(tmp_path))
+
+
+def test_every_listing_has_litres(spark):
+    compare(spark, queries.QUERIES["listing_rows"], queries.SQL["listing_rows"], SF)
+    con = connection(SF)
+    assert con.execute(f"select count(*) from ({queries.SQL['listing_rows']}) where error is null and engine_l is null").fetchone() == (0,)
