@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions.parse import years_in
 from specloom.operators.firsts import first_rows
+from specloom.session import settled
 
 #: Fixed values. Order in which a record inherits from its components, and how each is called.
 KINDS = (("engine", "двигатель"), ("transmission", "коробка"), ("hybrid_system", "гибридная система"))
 OWN = "модель"
+#: Issues of components up to this count are broadcast.
+BROADCAST_ISSUES = 50_000
 
 
 def from_reviews(raw: DataFrame) -> DataFrame:
@@ -85,13 +90,17 @@ def inherited(own: DataFrame, linked: DataFrame, shared: DataFrame, labels: Data
     return first_rows(mine.union(theirs), ["slug", "source", "text"], ["rank", "pos"])
 
 
-def merged_where_none(records: DataFrame, keys: DataFrame, raw: DataFrame) -> DataFrame:
+def merged_where_none(records: DataFrame, keys: DataFrame, raw: DataFrame, shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """``records`` (slug, known_issues) without issues take those of their key: (slug, key) and raw issues (key, issues).
 
-    Records with issues, without a key or whose key has none stay as they are.
+    Records with issues, without a key or whose key has none stay as they are. ``shown`` is applied to known_issues: to
+    those of a key once, before records take them, as many may share a key.
     """
     issue = F.struct(F.col("text"), F.col("source"), F.col("more_sources"), F.col("review_car"))
-    found = from_reviews(raw).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", issue.alias("i")))), lambda x: x["i"]).alias("_new"))
-    rows = records.join(keys.select("slug", F.col("key").alias("_key")), "slug", "left").join(found, F.col("_key") == F.col("key"), "left")
+    shown = shown or (lambda c: c)
+    new = F.transform(F.array_sort(F.collect_list(F.struct("pos", issue.alias("i")))), lambda x: x["i"])
+    found = from_reviews(raw).groupBy("key").agg(shown(new).alias("_new"))
     none = F.col("known_issues").isNull() | (F.size("known_issues") == 0)
-    return rows.select(*[F.when(none & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(c)).alias(c) if c == "known_issues" else F.col(c) for c in records.columns])
+    own = records.select("*", none.alias("_none"), shown(F.col("known_issues")).alias("_own"))
+    rows = own.join(keys.select("slug", F.col("key").alias("_key")), "slug", "left").join(found, F.col("_key") == F.col("key"), "left")
+    return rows.select(*[F.when(F.col("_none") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("_own")).alias(c) if c == "known_issues" else F.col(c) for c in records.columns])

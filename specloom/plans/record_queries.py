@@ -207,13 +207,15 @@ def issues_by_key(t: Tables) -> DataFrame:
     """Records without issues take those filed under their key."""
     none = F.array().cast("array<struct<text:string,source:string,more_sources:array<string>,review_car:string>>")
     own = F.array(F.struct(F.lit("own").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("array<string>").alias("more_sources"), F.lit(None).cast("string").alias("review_car")))
-    rows = t.customer.select("c_custkey", F.col("c_custkey").alias("slug"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, own).otherwise(none).alias("known_issues"))
+    customers = t.customer.select("c_custkey", "c_nationkey")
+    customers = customers.repartition(customers.sparkSession.sparkContext.defaultParallelism, "c_custkey")  # a few bytes become a long text each: dealt out before
+    rows = customers.select("c_custkey", F.col("c_custkey").alias("slug"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, own).otherwise(none).alias("known_issues"))
     keys = t.customer.where("c_nationkey % 4 > 0").select(F.col("c_custkey").alias("slug"), F.col("c_nationkey").alias("key"))
     issue = F.struct(F.col("s_name").alias("text"), F.lit(None).cast("int").alias("count"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("sources"), F.lit("car").alias("review_car"))
     raw = t.supplier.groupBy(F.col("s_nationkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", issue.alias("i")))), lambda x: x["i"]).alias("issues"))
-    out = issues.merged_where_none(rows, keys, raw)
-    shown = F.transform("known_issues", lambda i: F.concat(i["text"], F.coalesce(F.concat(F.lit("<"), i["source"]), F.lit("")), F.coalesce(F.concat(F.lit("+"), F.array_join(i["more_sources"], "+")), F.lit(""))))
-    return out.select("c_custkey", F.array_join(shown, ";").alias("issues"))
+    one = lambda i: F.concat(i["text"], F.coalesce(F.concat(F.lit("<"), i["source"]), F.lit("")), F.coalesce(F.concat(F.lit("+"), F.array_join(i["more_sources"], "+")), F.lit("")))
+    out = issues.merged_where_none(rows, keys, raw, lambda known: F.array_join(F.transform(known, one), ";"))
+    return out.select("c_custkey", F.col("known_issues").alias("issues"))
 
 
 _FAMILIES = ["byd_qin-plus", "byd_leopard-7", "lynk-co_900", "zeekr_8x", "toyota_corolla-cross", "changan_cs75-plus", "changan_cs55-plus", "changan_uni-v", "changan_cs75", "changan_eado-phev", "deepal_s07", "zeekr_x"]

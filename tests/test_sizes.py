@@ -44,3 +44,12 @@ def test_every_listing_has_litres(spark):
     compare(spark, queries.QUERIES["listing_rows"], queries.SQL["listing_rows"], SF)
     con = connection(SF)
     assert con.execute(f"select count(*) from ({queries.SQL['listing_rows']}) where error is null and engine_l is null").fetchone() == (0,)
+
+
+def test_issues_of_a_key_are_shown_once(spark):
+    kind = "array<struct<text:string,source:string,more_sources:array<string>,review_car:string>>"
+    records = spark.createDataFrame([(1, []), (2, [("own", None, None, None)]), (3, None), (4, [])], f"slug int, known_issues {kind}")
+    keys = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "slug int, key int")
+    raw = spark.createDataFrame([(7, [("a", 1, ["s"], None), ("b", 1, ["s"], None)])], "key int, issues array<struct<text:string,count:int,sources:array<string>,review_car:string>>")
+    out = issues.merged_where_none(records, keys, raw, lambda known: F.array_join(F.transform(known, lambda i: i["text"]), ";"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a;b"), (2, "own"), (3, None), (4, "")]
