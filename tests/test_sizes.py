@@ -53,3 +53,8 @@ def test_issues_of_a_key_are_shown_once(spark):
     raw = spark.createDataFrame([(7, [("a", 1, ["s"], None), ("b", 1, ["s"], None)])], "key int, issues array<struct<text:string,count:int,sources:array<string>,review_car:string>>")
     out = issues.merged_where_none(records, keys, raw, lambda known: F.array_join(F.transform(known, lambda i: i["text"]), ";"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a;b"), (2, "own"), (3, None), (4, "")]
+
+
+def test_siblings_are_linked_when_made():
+    first, second = [e for e in dom.tree("<ul><li>a</li> x <!-- c --><li>b<br>y</li></ul>").walk() if e.tag == "li"]
+    assert first.after is second and first.following() is second and second.after is None
