@@ -82,7 +82,9 @@ def inherited(own: DataFrame, linked: DataFrame, shared: DataFrame, labels: Data
     order = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(KINDS) for x in (k, i + 1)])
     called = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     mine = own.select("slug", "text", "source", F.lit(0).alias("rank"), "pos", F.lit(None).cast("string").alias("component"), F.lit(OWN).alias("origin"), F.lit(True).alias("own_model"))
-    rows = linked.join(shared, ["kind", "id"]).join(labels, ["kind", "id"])
+    # A component may have a large part of all records, so where the components are few they go to the records.
+    known = settled(shared.join(labels, ["kind", "id"]))
+    rows = linked.join(F.broadcast(known) if known.count() <= BROADCAST_ISSUES else known, ["kind", "id"])
     here = F.coalesce(F.array_contains("reported_in", F.col("model")), F.lit(False))
     by = F.coalesce(F.nullif(F.array_join("reported_in", ", "), F.lit("")), F.lit("неизвестно"))
     origin = F.concat(F.element_at(called, F.col("kind")), F.lit(" "), F.col("label"), F.lit(", отзыв по "), by, F.when(here, F.lit(" (эта модель)")).otherwise(""))

@@ -58,3 +58,18 @@ def test_issues_of_a_key_are_shown_once(spark):
 def test_siblings_are_linked_when_made():
     first, second = [e for e in dom.tree("<ul><li>a</li> x <!-- c --><li>b<br>y</li></ul>").walk() if e.tag == "li"]
     assert first.after is second and first.following() is second and second.after is None
+
+
+def test_few_components_go_to_their_records(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = spark.createDataFrame([("r", "m", 0, "t", "s")], "slug string, model string, pos int, text string, source string")
+        linked = spark.createDataFrame([("r", "m", "engine", "e")], "slug string, model string, kind string, id string")
+        shared = spark.createDataFrame([("engine", "e", 0, "t2", "s", ["m"])], "kind string, id string, pos int, text string, source string, reported_in array<string>")
+        labels = spark.createDataFrame([("engine", "e", "E")], "kind string, id string, label string")
+        out = issues.inherited(own, linked, shared, labels)
+        assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+        assert out.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
