@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.operators.firsts import first_rows
+from specloom.session import settled
 
 #: Letters on either side of a match; the part of a window that tells repeats.
 CONTEXT, REPEAT = 45, (20, 60)
@@ -40,16 +41,16 @@ def _windows(text: str, pattern: re.Pattern, negation: re.Pattern | None, contex
     return kept
 
 
-def complaints(reviews: DataFrame, key: str, text: str, categories: Mapping[str, str], negation: str | None = None, context: int = CONTEXT) -> DataFrame:
-    """(key, category, place, snippet): matches of each category's pattern with ``context`` letters around.
+def complaints(reviews: DataFrame, key: str, text: str, categories: Mapping[str, str], negation: str | None = None, context: int = CONTEXT, beside: Sequence[str] = ()) -> DataFrame:
+    """(key, category, place, snippet) and the columns ``beside``: matches of each category's pattern with ``context`` letters around.
 
     A window that the negation matches is no complaint. One whose letters 20 to 60 stand in a kept window of the same
     text and category is a repeat. Spark has no function for the places of all matches, so texts that can match at
     all, told by a built-in filter, go through an Arrow function that holds the compiled patterns.
     """
     any_of = "|".join(f"(?:{p})" for p in categories.values())
-    rows = reviews.where(F.col(text).rlike(any_of)).select(key, text)
-    kind = reviews.schema[key].dataType.simpleString()
+    rows = reviews.where(F.col(text).rlike(any_of)).select(key, text, *beside)
+    kinds = [f"`{c}` {reviews.schema[c].dataType.simpleString()}" for c in (key, *beside)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = {name: re.compile(p) for name, p in categories.items()}
@@ -60,9 +61,11 @@ def complaints(reviews: DataFrame, key: str, text: str, categories: Mapping[str,
                 for name, pattern in patterns.items():
                     for n, window in enumerate(_windows(value.as_py(), pattern, no, context)):
                         at.append(i), names.append(name), places.append(n), snippets.append(window)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(snippets, pa.string())], names=[key, "category", "place", "snippet"])
+            rows_at = pa.array(at, pa.int64())
+            carried = [batch.column(i).take(rows_at) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_at), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(snippets, pa.string()), *carried], names=[key, "category", "place", "snippet", *beside])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, category string, place int, snippet string")
+    return rows.mapInArrow(run, ", ".join([kinds[0], "category string, place int, snippet string", *kinds[1:]]))
 
 
 def top_snippets(found: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -113,17 +116,20 @@ def complaint_report(reviews: DataFrame, key: str, text: str, meta: Column, posi
     """(rank, category, reviews, place, key, meta, snippets): categories by the reviews that complain, the first ``shown`` of each.
 
     Categories with as many stand in the order in which they first occur, by ``position`` of the review, then as listed. A review shows
-    its first SNIPPETS snippets, line ends as spaces, between bars. Texts are read once; what is shuffled are the snippets only.
+    its first SNIPPETS snippets, line ends as spaces, between bars. Keys tell reviews apart; those without one are left out. What is
+    shuffled are the snippets only, with position and ``meta`` beside them.
     """
     names = CATEGORIES if categories is None else dict(categories)
-    found = complaints(reviews, key, text, names, negation).where(F.col("place") < SNIPPETS)
+    rows = reviews.where(F.col(key).isNotNull()).select(key, text, F.col(position).alias("_position"), meta.alias("meta"))
+    found = complaints(rows, key, text, names, negation, beside=("_position", "meta")).where(F.col("place") < SNIPPETS)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "snippet"))), lambda x: F.replace(x["snippet"], F.lit("\n"), F.lit(" ")))
-    each = found.groupBy(key, "category").agg(F.array_join(lines, " || ").alias("snippets"))
-    each = each.join(reviews.select(key, F.col(position).alias("_position"), meta.alias("meta")), key)
+    each = found.groupBy(key, "category").agg(F.array_join(lines, " || ").alias("snippets"), F.first("_position").alias("_position"), F.first("meta").alias("meta"))
+    each = settled(each)  # counted and shown: patterns are looked for once
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category"))
     counts = each.groupBy("category").agg(F.count("*").alias("reviews"), F.min("_position").alias("_first")).withColumn("_place", place)
     counts = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("reviews"), "_first", "_place")))  # a row a category
-    first = first_rows(each.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("_position", key))), ["category"], ["_position", key], shown)
+    # The place alone is the bound: so each task keeps the first rows of a category before they are dealt out.
+    first = each.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("_position", key))).where(F.col("place") <= shown)
     return first.join(F.broadcast(counts), "category").select("rank", "category", "reviews", "place", key, "meta", "snippets")
 
 

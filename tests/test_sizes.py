@@ -73,3 +73,10 @@ def test_few_components_go_to_their_records(spark):
         assert out.count() == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_complaints_carry_what_stands_beside(spark):
+    df = spark.createDataFrame([(1, "xx noise yy", "m", 5), (2, "quiet", "n", 6), (None, "noise", "o", 7)], "k int, body string, trim string, at int")
+    assert [tuple(r) for r in reviews.complaints(df.where("k = 1"), "k", "body", {"n": "noise"}, beside=("trim",)).collect()] == [(1, "n", 0, "xx noise yy", "m")]
+    report = reviews.complaint_report(df, "k", "body", F.col("trim"), "at", {"n": "noise"})
+    assert [tuple(r) for r in report.collect()] == [(1, "n", 1, 1, 1, "m", "xx noise yy")]
