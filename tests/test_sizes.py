@@ -1,5 +1,7 @@
 """What fails only on larger or odd tables: plans and bounds that small ones do not show."""
 
+import random
+
 from pyspark.sql import functions as F
 from specloom.functions import dom
 from specloom.operators import issues, reviews, specs
@@ -80,3 +82,24 @@ def test_complaints_carry_what_stands_beside(spark):
     assert [tuple(r) for r in reviews.complaints(df.where("k = 1"), "k", "body", {"n": "noise"}, beside=("trim",)).collect()] == [(1, "n", 0, "xx noise yy", "m")]
     report = reviews.complaint_report(df, "k", "body", F.col("trim"), "at", {"n": "noise"})
     assert [tuple(r) for r in report.collect()] == [(1, "n", 1, 1, 1, "m", "xx noise yy")]
+
+
+def test_plain_pages_read_the_same_by_one_pattern():
+    labels, item = {"A": "a", "B": "b"}, "i"
+    pick = random.Random(7)
+    parts = ['<div class="x i">', "</div>", '<label class="i-name">', "</label>", '<b id="1" class="i-value">', "</b>", "A", " B ", "x > y", "<p>", "</p>", "<br>", "<li>", "<title>t</title>", "<h1>", "</h1>", "<script>A 1</script>", "</i>", "<ul>", "</ul>", "<td>", "<style></style>", "\n"]
+    odd = ["&amp;", "<!-- A -->", "<br/>", "<P>", "<script>", "<title>", "<b x>", "</b x=\"1\">", "<", "<title><b>", "<x-y>"]
+
+    def told(own):
+        return own.first("title", ""), own.first("h1"), own.text(0), own.values(), own.hits, own.tags, own.ends, own.after
+
+    plain = 0
+    for n in range(3000):
+        page = "".join(pick.choice(parts + odd if n % 3 == 0 else parts) for _ in range(pick.randrange(25)))
+        fast, slow = dom._Flat(labels, item), dom._Flat(labels, item)
+        fast.read(page)
+        slow.feed(page)
+        slow.close()
+        assert told(fast) == told(slow), page
+        plain += dom._plain_tokens(page) is not None
+    assert plain >= 2000
