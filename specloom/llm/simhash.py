@@ -25,6 +25,8 @@ IN_TASK = 8_000
 PAIRED = 16
 #: Segments of the ring.
 SEGMENTS = 8
+#: Words of 64 bits in the odd sketch of a set of shingles.
+ODD = 8
 
 
 def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -233,8 +235,30 @@ def _set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _by_differences(deltas: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): similar texts of different components, from rows (a, b, size, of, delta, c, outside): a text, one it is
+def _odd(deltas: DataFrame) -> DataFrame:
+    """``deltas`` with columns o0, o1, ...: bits that tell whether an odd number of the delta's shingles fall there.
+
+    Two such sketches beside the same text differ in as many bits as the sketch of the shingles that only one of both
+    texts has, hence in as many bits as there are such shingles, or fewer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                column = part.column(part.schema.get_field_index("delta"))
+                rows = np.repeat(np.arange(part.num_rows), np.diff(column.offsets.to_numpy()))
+                bits = column.flatten().to_numpy().view(np.uint64) * np.uint64(0x9FB21C651E98DF25) % np.uint64((1 << 61) - 1) % np.uint64(64 * ODD)
+                odd = np.bincount(rows * 64 * ODD + bits.astype(np.int64), minlength=part.num_rows * 64 * ODD) & 1
+                words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, ODD)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(w) for w in words.T)], names=[*part.schema.names, *(f"o{n}" for n in range(ODD))])
+
+    kinds = ", ".join([*(f"{name} {kind}" for name, kind in deltas.dtypes), *(f"o{n} long" for n in range(ODD))])
+    return deltas.mapInArrow(run, kinds)
+
+
+def _meetings(deltas: DataFrame, similarity: float) -> DataFrame:
+    """(b, a, g): texts a and g that may be similar, from rows (a, b, size, of, delta, c, outside): a text, one it is
     compared with by all its bucket, the sizes of their sets of shingles, the shingles that only one of both has, the
     component of a, and whether b has another.
 
@@ -245,23 +269,30 @@ def _by_differences(deltas: DataFrame, similarity: float) -> DataFrame:
     first ones: x of its dx - (dx - |x| (1 - s) / s) + 1, y of its dy - (dy + (|b| - |y|) (1 - s) / (1 + s)) / 2 + 1, in an
     order of all shingles beside b: first those that b lacks, which edits have made and few share, then b's own.
     Both are taken in one order, so where two texts meet at their first common shingle, what follows must hold the rest of
-    those that they must share; other meetings go. What is left is counted exactly, from the deltas. Shingles of an edit are rare, so a group of copies yields
-    few pairs, whatever its size.
+    those that they must share; other meetings go. So do those whose odd sketches (``_odd``) differ in more than L bits:
+    copies of one text that lack the same word meet in many shingles, but few of them are similar.
     """
     d, ratio = F.size("delta"), (1 - similarity) / (1 + similarity)
     as_x = F.ceil(d - F.col("size") * ((1 - similarity) / similarity) - 1e-6)
     as_y = F.ceil((d + (F.col("of") - F.col("size")) * ratio) / 2 - 1e-6)
     prefix = lambda k: F.greatest(d - F.greatest(F.lit(1), k) + 1, F.lit(0)).cast("int")
-    sized = deltas.select("a", "b", "size", "c", "outside", d.alias("d"), prefix(as_x).alias("px"), prefix(as_y).alias("py"), "delta")
+    odd = [f"o{n}" for n in range(ODD)]
+    sized = _odd(deltas).select("a", "b", "size", "c", "outside", d.alias("d"), prefix(as_x).alias("px"), prefix(as_y).alias("py"), "delta", *odd)
     longest = F.greatest("py", F.when(F.col("outside"), F.col("px")).otherwise(0))
-    ranked = sized.select("a", "b", "size", "c", "outside", "d", "px", "py", F.posexplode(F.slice("delta", F.lit(1), longest)).alias("at", "s"))
+    ranked = sized.select("a", "b", "size", "c", "outside", "d", "px", "py", *odd, F.posexplode(F.slice("delta", F.lit(1), longest)).alias("at", "s"))
     ranked = ranked.withColumn("rank", F.col("at") + 1)
-    xs = ranked.where("outside and rank <= px").select("b", "s", "a", "size", "c", "d", F.col("rank").alias("i"))
-    ys = ranked.where("rank <= py").select("b", "s", F.col("a").alias("g"), F.col("size").alias("z"), F.col("c").alias("e"), F.col("d").alias("f"), F.col("rank").alias("j"))
+    xs = ranked.where("outside and rank <= px").select("b", "s", "a", "size", "c", "d", F.col("rank").alias("i"), *odd)
+    ys = ranked.where("rank <= py").select("b", "s", F.col("a").alias("g"), F.col("size").alias("z"), F.col("c").alias("e"), F.col("d").alias("f"), F.col("rank").alias("j"), *[F.col(o).alias(f"q{o}") for o in odd])
     most = (F.col("size") + F.col("z")) * ratio + 1e-6
     rest = 1 + F.least(F.col("d") - F.col("i"), F.col("f") - F.col("j"))  # shared ones at most, if this is the first of both
     may = (F.col("c") != F.col("e")) & (F.abs(F.col("d") - F.col("f")) <= most) & (2 * rest >= F.col("d") + F.col("f") - most)
-    pairs = xs.join(ys, ["b", "s"]).where(may).select("b", F.greatest("a", "g").alias("a"), F.least("a", "g").alias("g")).distinct()
+    may = may & (sum((F.bit_count(F.col(o).bitwiseXOR(F.col(f"q{o}"))) for o in odd), F.lit(0)) <= most)
+    return xs.join(ys, ["b", "s"]).where(may).select("b", F.greatest("a", "g").alias("a"), F.least("a", "g").alias("g")).distinct()
+
+
+def _by_differences(deltas: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar texts of different components among the rows that ``_meetings`` takes, counted exactly from the deltas."""
+    d, pairs = F.size("delta"), _meetings(deltas, similarity)
     own = deltas.select("a", "b", "size", "delta")
     both = pairs.join(own, ["a", "b"]).join(own.select(F.col("a").alias("g"), "b", F.col("size").alias("z"), F.col("delta").alias("other")), ["g", "b"])
     apart = d + F.size("other") - 2 * F.size(F.array_intersect("delta", "other"))
@@ -284,8 +315,9 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     2. In buckets that still have several components, all with the text that has most links so far (the original of
        a group of copies), where their components differ. Groups become one component without all their pairs.
     3. In buckets that still have several, all texts of different components if they are few (PAIRED), else those
-       that differ from the text of step 2 in some same shingle, see ``_by_differences``: no link within a bucket is
-       left out, and heavily edited copies are not paired with all.
+       that differ from one text in some same shingle, see ``_by_differences``: no link within a bucket is
+       left out, and heavily edited copies are not paired with all. That text is the most linked of those of step 2
+       in all buckets of the bucket's own, so the buckets of one group are compared once, beside its original.
     """
     kind = "h long, fp long, parts array<long>, size int"
 
@@ -343,7 +375,7 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     degree = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("n"))
     linked_to = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "c", "size")
     hubs = mixed.join(degree, "h", "left").groupBy("key").agg(F.max(linked_to).alias("hub"))
-    hubs = stored(hubs.select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s")))
+    hubs = stored(hubs.select("key", F.col("hub.h").alias("b"), F.col("hub.c").alias("d"), F.col("hub.size").alias("s"), F.col("hub.n").alias("n")))
     near = mixed.join(hubs, "key").where((F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
     links = stored(links.union(checked(near.select(F.col("h").alias("a"), "b"))))
     mixed = _mixed(mixed, links)
@@ -353,11 +385,17 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
     other = few.select("key", F.col("h").alias("g"), F.col("c").alias("d"), F.col("size").alias("s"))
     pairs = few.join(other, "key").where((F.col("h") > F.col("g")) & (F.col("c") != F.col("d")) & fits(F.col("size"), F.col("s")))
     paired = checked(pairs.select(F.col("h").alias("a"), F.col("g").alias("b")))
-    against = many.join(hubs.select("key", "b"), "key").where("h <> b").select(F.col("h").alias("a"), "b")
-    deltas = beside(against).mapInArrow(differ, "a long, b long, size int, of int, delta array<long>")
     of = many.select("h", "c").distinct()
+    seen = stored(many.select("key", "h").join(hubs.select("key", "b", "n"), "key"))
+    tops = seen.groupBy("h").agg(F.max(F.struct("n", "b")).alias("t")).select(F.col("h").alias("b"), F.col("t.b").alias("top"))
+    against = seen.select("h", "b").distinct().join(tops, "b").where("h <> top").select(F.col("h").alias("a"), F.col("top").alias("b"))
+    deltas = beside(against).mapInArrow(differ, "a long, b long, size int, of int, delta array<long>")
     deltas = deltas.join(of.select(F.col("h").alias("a"), "c"), "a").join(of.select(F.col("h").alias("b"), F.col("c").alias("e")), "b")
-    rest = _by_differences(stored(deltas.select("a", "b", "size", "of", "delta", F.col("c.r").alias("c"), (F.col("c") != F.col("e")).alias("outside"))), similarity)
+    total = F.col("size") + F.col("of")
+    alike = (total - F.size("delta")) / (total + F.size("delta")) >= similarity
+    deltas = stored(deltas.select("a", "b", "size", "of", "delta", F.col("c.r").alias("c"), (F.col("c") != F.col("e")).alias("other"), alike.alias("alike")))
+    beyond = (F.col("other") & ~F.col("alike")).alias("outside")
+    rest = _by_differences(deltas.select("a", "b", "size", "of", "delta", "c", beyond), similarity).union(deltas.where("other and alike").select("a", "b"))
     found = connected(links.union(paired).union(rest)).select(F.col("node").alias("h"), F.col("root").alias("r"))
     return made.select("h").join(found, "h", "left").select("h", F.coalesce("r", "h").alias("root"))
 

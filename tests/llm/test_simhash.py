@@ -203,6 +203,24 @@ def test_differences_find_every_similar_pair(spark):
         assert have == want and len(want) > 20
 
 
+def test_copies_that_lack_the_same_words_are_seldom_compared(spark):
+    rnd = random.Random(17)
+    base = ["w%d" % i for i in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(300):  # every word is missing in about 30 of them
+        lacks = set(rnd.sample(range(150), 15))
+        texts.append(" ".join(w for i, w in enumerate(base) if i not in lacks))
+    texts += [" ".join(w for w in t.split() if w != "w%d" % rnd.randrange(150)) for t in texts[1:9]]
+    sets = [set(simhash._set(t, 5).view(np.int64).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    assert not any(alike(i, 0) for i in range(1, len(texts)))
+    rows = [(i, 0, len(sets[i]), len(sets[0]), sorted(sets[i] ^ sets[0]), i, True) for i in range(1, len(texts))]
+    deltas = spark.createDataFrame(rows, "a long, b long, size int, of int, delta array<long>, c long, outside boolean")
+    want = [(i, j) for i in range(1, len(texts)) for j in range(1, i) if alike(i, j)]
+    assert len(want) >= 8 and sorted((r.a, r.b) for r in simhash._by_differences(deltas, 0.8).collect()) == want
+    assert simhash._meetings(deltas, 0.8).count() <= 200 + len(want)
+
+
 def test_heavily_edited_copies_match_brute_force(spark):
     texts = edited_copies(random.Random(21), 400, 9)
     have, want = partition(spark, texts)
