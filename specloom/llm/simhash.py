@@ -19,6 +19,8 @@ BLOCK = 1 << 15
 PART, LEAST_PARTS, BANDS = 6, 16, 32
 #: Keys up to this count may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Texts to be compared, up to this many of which are named by a broadcast, so that only they are shuffled; beyond it all texts are.
+NAMED = 1_000_000
 #: Fingerprints whose keys one task makes: bounds the memory of the minimum and maximum a key within a task.
 IN_TASK = 8_000
 #: Texts in a bucket up to which they are compared two by two; more go by their differences to the bucket's hub.
@@ -362,6 +364,7 @@ def similar(docs: DataFrame, width: int = 5, limit: int = 4, similarity: float =
         """The texts of pairs (a, b), each pair once: a, b, x, y."""
         pairs = stored(pairs.select("a", "b").distinct())
         needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        needed = F.broadcast(needed) if 2 * pairs.count() <= NAMED else needed
         own = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
         both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
         return both.select("a", "b", "x", "y")
