@@ -71,25 +71,38 @@ def consolidated(rows: DataFrame, position: str = "pos") -> DataFrame:
     return out.select("scope", "component", "source", "text", "review_car", F.when(F.size(more) > 0, more).alias("more_sources"), F.array_distinct(F.transform("p", lambda x: x["model"])).alias("reported_in"))
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """``rows`` (slug, text, source, rank, pos, model, own, kind, id, label, reported_in) with where they come from in place of what tells it."""
+    called = F.create_map(*[F.lit(x) for pair in KINDS for x in pair])
+    here = F.coalesce(F.array_contains("reported_in", F.col("model")), F.lit(False))
+    by = F.coalesce(F.nullif(F.array_join("reported_in", ", "), F.lit("")), F.lit("неизвестно"))
+    origin = F.concat(F.element_at(called, F.col("kind")), F.lit(" "), F.col("label"), F.lit(", отзыв по "), by, F.when(here, F.lit(" (эта модель)")).otherwise(""))
+    return rows.select("slug", "text", "source", "rank", "pos", F.when(~F.col("own"), F.col("id")).alias("component"), F.when(F.col("own"), OWN).otherwise(origin).alias("origin"), (F.col("own") | here).alias("own_model"))
+
+
 def inherited(own: DataFrame, linked: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The issues of every record: its own, then those of its engine, transmission and hybrid system that are new to it.
 
-    ``own``: slug, model, pos, text, source. ``linked``: slug, model, kind, id. ``shared``: kind, id, pos, text,
-    source, reported_in. ``labels``: kind, id, label. Adds rank, component and origin: where the row comes from, by
-    whose reports, and whether this model is among them.
+    ``own``: slug, model, pos, text, source. ``linked``: slug, model, kind, id; a component that is linked twice counts once.
+    ``shared``: kind, id, pos, text, source, reported_in. ``labels``: kind, id, label. Adds rank, component and origin: where
+    the row comes from, by whose reports, and whether this model is among them.
     """
-    names = {k: n for k, n in KINDS}
     order = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(KINDS) for x in (k, i + 1)])
-    called = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    mine = own.select("slug", "text", "source", F.lit(0).alias("rank"), "pos", F.lit(None).cast("string").alias("component"), F.lit(OWN).alias("origin"), F.lit(True).alias("own_model"))
-    # A component may have a large part of all records, so where the components are few they go to the records.
-    known = settled(shared.join(labels, ["kind", "id"]))
-    rows = linked.join(F.broadcast(known) if known.count() <= BROADCAST_ISSUES else known, ["kind", "id"])
-    here = F.coalesce(F.array_contains("reported_in", F.col("model")), F.lit(False))
-    by = F.coalesce(F.nullif(F.array_join("reported_in", ", "), F.lit("")), F.lit("неизвестно"))
-    origin = F.concat(F.element_at(called, F.col("kind")), F.lit(" "), F.col("label"), F.lit(", отзыв по "), by, F.when(here, F.lit(" (эта модель)")).otherwise(""))
-    theirs = rows.select("slug", "text", "source", F.element_at(order, F.col("kind")).alias("rank"), "pos", F.col("id").alias("component"), origin.alias("origin"), here.alias("own_model"))
-    return first_rows(mine.union(theirs), ["slug", "source", "text"], ["rank", "pos"])
+    keys, place, none = ["slug", "source", "text"], ["rank", "pos"], F.lit(None).cast("string")
+    mine = own.select("slug", none.alias("model"), none.alias("kind"), none.alias("id"), F.lit(True).alias("own"), "text", "source", F.lit(0).alias("rank"), "pos")
+    known = settled(shared.join(labels, ["kind", "id"]).withColumn("n", F.monotonically_increasing_id()))
+    if known.count() > BROADCAST_ISSUES:
+        theirs = linked.join(known, ["kind", "id"]).select("slug", "model", "kind", "id", F.lit(False).alias("own"), "text", "source", F.element_at(order, F.col("kind")).alias("rank"), "pos", "label", "reported_in")
+        return first_rows(_told(mine.unionByName(theirs, allowMissingColumns=True)), keys, place)
+    # A component may have a large part of all records, so where the components are few they go to the records. These are
+    # brought together once, with links in place of issues; their issues are numbers of the known ones until the first are chosen.
+    links = linked.select("slug", "model", "kind", "id", F.lit(False).alias("own"))
+    records = mine.drop("rank").unionByName(links, allowMissingColumns=True).repartition("slug")
+    issue = known.select("kind", "id", F.struct("text", "source", "pos", "n", F.element_at(order, F.col("kind")).alias("rank")).alias("i"))
+    rows = records.join(F.broadcast(issue), ["kind", "id"], "left").where(F.col("own") | F.col("i").isNotNull())
+    of = lambda c, mine: F.when(F.col("own"), mine).otherwise(F.col(f"i.{c}")).alias(c)
+    first = first_rows(rows.select("slug", "model", "own", of("text", F.col("text")), of("source", F.col("source")), of("rank", F.lit(0)), of("pos", F.col("pos")), "i.n"), keys, place)
+    return _told(first.join(F.broadcast(known.select("n", "kind", "id", "label", "reported_in")), "n", "left"))
 
 
 def merged_where_none(records: DataFrame, keys: DataFrame, raw: DataFrame, shown: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """What fails only on larger or odd tables: plans and bounds that small ones do not show."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 from specloom.functions import dom
@@ -77,6 +78,29 @@ def test_few_components_go_to_their_records(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_links_are_brought_to_their_records_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries.QUERIES["issue_inheritance"](spark, SF))
+        assert "HashAggregate" not in text and text.count("SortMergeJoin") == 1  # tables of keys hold memory that sorts beside them need
+        assert re.findall(r"hashpartitioning\((\w+)#\w+, \d+\)", text).count("slug") == 1 and not re.search(r"hashpartitioning\(slug#\w+, source", text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_inheritance_is_the_same_for_few_and_many_components(spark, monkeypatch):
+    own = spark.createDataFrame([("r", "m", 0, "t", "s"), ("q", "m", 0, None, "s"), (None, "m", 0, "t", "s")], "slug string, model string, pos int, text string, source string")
+    linked = spark.createDataFrame([("r", "m", "engine", "e"), ("r", "m", "engine", "e"), ("q", "o", "transmission", "g"), ("q", "o", None, None), ("q", "o", "engine", "unknown"), ("z", None, "engine", "e")], "slug string, model string, kind string, id string")
+    shared = spark.createDataFrame([("engine", "e", 0, "t2", "s", ["m"]), ("engine", "e", 1, "t", "s", ["m"]), ("transmission", "g", 0, None, "s", []), ("transmission", "g", 1, "t3", None, None)], "kind string, id string, pos int, text string, source string, reported_in array<string>")
+    labels = spark.createDataFrame([("engine", "e", "E"), ("transmission", "g", "G")], "kind string, id string, label string")
+    told = lambda: sorted(map(repr, issues.inherited(own, linked, shared, labels).collect()))
+    few = told()
+    monkeypatch.setattr(issues, "BROADCAST_ISSUES", 0)
+    assert few == told() and len(few) == 7
+    assert few.count("Row(slug='r', text='t2', source='s', rank=1, pos=0, component='e', origin='двигатель E, отзыв по m (эта модель)', own_model=True)") == 1
+
+
 def test_complaints_carry_what_stands_beside(spark):
     df = spark.createDataFrame([(1, "xx noise yy", "m", 5), (2, "quiet", "n", 6), (None, "noise", "o", 7)], "k int, body string, trim string, at int")
     assert [tuple(r) for r in reviews.complaints(df.where("k = 1"), "k", "body", {"n": "noise"}, beside=("trim",)).collect()] == [(1, "n", 0, "xx noise yy", "m")]
